@@ -48,6 +48,18 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_documents(_table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import write_and_read
+
+    return write_and_read(_table(spark, sf_dir, "pages"), min_revisit_bytes=0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import counted
+
+    return counted(_table(spark, sf_dir, "documents"), *tokenizer())
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import digest
 
@@ -68,6 +80,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -76,10 +94,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_url_filters,
         op4_line_dedup,
         op5_ngram_jaccard_join,
+        op6_warc,
+        op7_token_counts,
         op8_byte_bpe,
         op9_language_id,
         op10_decontamination,
+        pipeline,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+def oracle_sql() -> dict[str, str]:
+    from .oracle import SQL
+
+    return SQL
