@@ -1,0 +1 @@
+"""No operator here is a stream: the networks and their runs are bounded tables."""
