@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hinspark.llm import bpe, decontam, langid, line_dedup, ngram_join
 from hinspark.llm.queries import tokenizer
-from hinspark.llm.scratch import written
+from hinspark.scratch import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

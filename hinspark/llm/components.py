@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import dropped, written
+from ..scratch import dropped, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import dropped, written
+from ..scratch import dropped, written
 
 #: Lines' places are broadcast to fetch their texts while there are at most this many; beyond, a shuffled join does.
 MAX_BROADCAST_LINES = 500_000

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import arrays
 from .components import components
-from .scratch import dropped, written
+from ..scratch import dropped, written
 
 _U = np.uint64
 

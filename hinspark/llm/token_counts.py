@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from . import files
 from .bpe import encode_pieces
-from .scratch import new_path, written
+from ..scratch import new_path, written
 
 #: Bytes of a block.
 BLOCK_BYTES = 8 << 20

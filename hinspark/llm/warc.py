@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import files
-from .scratch import new_path, written
+from ..scratch import new_path, written
 
 #: Cells of the histogram that shards are cut from, whatever the input.
 CELLS = 1 << 14
