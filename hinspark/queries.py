@@ -199,7 +199,7 @@ def onehot_train_only(spark, sf_dir):
 
 @query("SELECT vec_id AS row, i - 1 AS col, round(embedding[i]::DOUBLE + 1e-9, 6) AS weight FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) WHERE embedding[i] <> 0")
 def atomize_dense(spark, sf_dir):
-    return atomize.dense_columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("row", "col", rounded("weight").alias("weight"))
+    return atomize.dense_columns(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").select("row", F.col("col").cast("long").alias("col"), rounded("weight").alias("weight"))
 
 
 @query("SELECT s_suppkey AS nid, 'supplier' AS slot, s_suppkey AS col, 1.0::DOUBLE AS val FROM supplier")
@@ -460,7 +460,7 @@ def roc_auc(spark, sf_dir):
 @query(
     f"""WITH {_BUYS}, {_SCORED}, r AS (SELECT src, y, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS r FROM scored),
     h AS (SELECT src, sum(y) AS n, min(r) FILTER (y = 1) AS first, sum(y / r) AS rr, sum(y / log2(1 + r)) AS dcg FROM r GROUP BY src HAVING sum(y) > 0),
-    i AS (SELECT src, sum(1.0 / k) AS ir, sum(1.0 / log2(1 + k)) AS idcg FROM (SELECT src, unnest(range(1, n + 1)) AS k FROM h) GROUP BY src)
+    i AS (SELECT src, sum(1.0 / k) AS ir, sum(1.0 / log2(1 + k)) AS idcg FROM (SELECT src, unnest(range(1, n::BIGINT + 1)) AS k FROM h) GROUP BY src)
     SELECT round(avg(1.0 / first) + 1e-9, 6) AS mrr, round(avg(rr / n) + 1e-9, 6) AS amrr, round(avg(rr / ir) + 1e-9, 6) AS nmrr, round(avg(dcg / idcg) + 1e-9, 6) AS ndcg FROM h JOIN i USING (src)"""
 )
 def ranking_metrics(spark, sf_dir):

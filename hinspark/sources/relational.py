@@ -22,7 +22,7 @@ def commerce(spark: SparkSession, sf_dir: str) -> HinGraph:
 
     The target is the customer; its class is its market segment, which is no node type.
     """
-    t = lambda name: table(spark, sf_dir, name)
+    t = {name: table(spark, sf_dir, name) for name in ("customer", "orders", "lineitem", "part", "supplier", "nation", "region")}.__getitem__
     segments = t("customer").select("c_mktsegment").distinct().select("c_mktsegment", (F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1).cast("long").alias("label"))
     customers = t("customer").join(F.broadcast(segments), "c_mktsegment").select(F.col("c_custkey").alias("nid"), "label", F.expr(SPLIT).alias("split"))  # a row for each segment
     ids = lambda name, key: t(name).select(F.col(key).cast("long").alias("nid"))
