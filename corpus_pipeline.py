@@ -36,11 +36,8 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, lang, source, n_tokens, ids, and whether the ids decode to the text."""
-    rank_file, pattern = tokenizer()
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), rank_file, pattern)
-    decoded = bpe.decode(encoded, rank_file, pattern)
-    same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
-    return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("decodes"))
+    checked = bpe.encode_and_check(docs.select("doc_id", "lang", "source", "text"), *tokenizer())
+    return checked.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "decodes")
 
 
 STAGES = [

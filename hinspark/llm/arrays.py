@@ -28,6 +28,21 @@ def byte_class(test) -> np.ndarray:
 NOT_SPACE = byte_class(lambda b: b not in WHITE_SPACE)
 
 
+#: Rows of text that the session sends to Python at once, at most.
+BATCH_ROWS = 1000
+
+
+def batched(df):
+    """``df``, with its session told to send rows to Python in batches of at most BATCH_ROWS: texts are wide rows.
+
+    Only lowers ``spark.sql.execution.arrow.maxRecordsPerBatch``; results don't depend on it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every input bit (the public splitmix64 finaliser)."""
     h = h ^ (h >> _U(30))

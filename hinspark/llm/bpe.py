@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from . import arrays
+
 #: Characters that are encoded at once; a longer text is cut at the next safe boundary.
 PIECE_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=\S)[ \n]")
@@ -68,7 +70,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", to
                 ids = [np.concatenate([np.zeros(0, "<u4"), *encode_pieces(t.as_py(), rank_file, pattern)]).astype(np.int32) for t in part.column(keep.index(text))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, type=pa.list_(pa.int32()))], names=[*keep, to])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return arrays.batched(docs.select(*keep)).mapInArrow(run, schema)
 
 
 def decode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -84,7 +86,33 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids: str = "ids", to:
                 said = [None if x.as_py() is None else coder.decode_bytes(x.as_py()) for x in part.column(keep.index(ids))]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, type=pa.binary())], names=[*keep, to])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return arrays.batched(docs.select(*keep)).mapInArrow(run, schema)
+
+
+def encode_and_check(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", to: str = "ids", check: str = "decodes") -> DataFrame:
+    """``docs`` with the ids of each text, and whether they decode to its bytes; one pass, so a task has one Python worker."""
+    keep = [c for c in docs.columns if c not in (to, check)]
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(to, T.ArrayType(T.IntegerType())), T.StructField(check, T.BooleanType())])
+
+    def one(value: str | None) -> tuple[np.ndarray, bool]:
+        coder = encoding(rank_file, pattern)
+        ids, same = [np.zeros(0, "<u4")], True
+        for piece in safe_pieces(value or ""):
+            found = coder.encode_ordinary(piece) if piece else []
+            ids.append(np.array(found, dtype="<u4"))
+            same = same and coder.decode_bytes(found) == piece.encode()
+        return np.concatenate(ids).astype(np.int32), same
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(0, batch.num_rows, 64):
+                part = batch.slice(row, 64)
+                out = [one(t.as_py()) for t in part.column(keep.index(text))]
+                ends = np.concatenate(([0], np.cumsum([len(ids) for ids, _ in out])))
+                ids = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.array(np.concatenate([ids for ids, _ in out])))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array([same for _, same in out], type=pa.bool_())], names=[*keep, to, check])
+
+    return arrays.batched(docs.select(*keep)).mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -109,4 +137,4 @@ def digest(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ke
             n, ids, back = ([x[i] for x in out] for i in range(3))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, type=pa.int64()), pa.array(ids, type=pa.string()), pa.array(back, type=pa.string())], names=schema.names)
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
+    return arrays.batched(docs.select(F.col(key), F.col(text))).mapInArrow(run, schema)

@@ -156,7 +156,7 @@ def find_hits(docs: DataFrame, bench: DataFrame, text: str = "text", bench_text:
             extra = [pa.array(v, type=k) for v, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*keep, *HITS.names])
 
-    return docs.select(*keep).mapInArrow(scan, schema)
+    return arrays.batched(docs.select(*keep)).mapInArrow(scan, schema)
 
 
 def report(docs: DataFrame, bench: DataFrame, **kw) -> DataFrame:

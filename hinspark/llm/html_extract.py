@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
+from . import arrays
+
 #: Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
@@ -171,4 +173,4 @@ def extract(pages: DataFrame, html: str = "html", to: str = "text", sigma: float
             texts = [main_text(x.as_py(), sigma) for x in batch.column(keep.index(html))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, type=pa.string())], names=[*keep, to])
 
-    return pages.select(*keep).mapInArrow(run, schema)
+    return arrays.batched(pages.select(*keep)).mapInArrow(run, schema)

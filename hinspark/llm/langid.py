@@ -137,7 +137,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), type=pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "cell", "n"])
 
-    cells = rows.where(keep).select("lang", "text").mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    cells = arrays.batched(rows.where(keep).select("lang", "text")).mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = cells.toPandas()  # at most max_languages * CELLS rows, whatever the input
     languages = sorted(sizes)
     counts = np.zeros((len(languages), CELLS))
@@ -157,7 +157,7 @@ def predict(docs: DataFrame, model: Mixture, text: str = "text", to: str = "lang
             extra = [pa.array([x[0] for x in out], type=pa.string()), pa.array([x[1] for x in out], type=pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*keep, to, score])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return arrays.batched(docs.select(*keep)).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Mixture, text: str = "text", least_share: float = 0.5) -> DataFrame:

@@ -92,7 +92,7 @@ def _shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
 
     schema = "slice int, task long, cells binary"
     texts = docs.select("text")
-    parts, tasks = texts.mapInArrow(count, schema), texts.rdd.getNumPartitions()
+    parts, tasks = arrays.batched(texts).mapInArrow(count, schema), texts.rdd.getNumPartitions()
     while True:
         parts = parts.groupBy("slice", F.floor(F.col("task") / _FAN_IN).alias("to")).applyInPandas(lambda key, pdf: add(pdf), schema)
         tasks = -(-tasks // _FAN_IN)
@@ -138,7 +138,7 @@ def _signatures(docs: DataFrame, n: int, percent: int, counts: np.ndarray) -> Da
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in values]))), type=pa.int32()), pa.array(np.concatenate(values), type=pa.int64())) for values in (prefixes, bitmaps)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns, *lists], names=["doc_id", "n", "s1", "s2", "p1", "p2", "prefix", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, bits array<long>")
+    return arrays.batched(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, p1 long, p2 long, prefix array<long>, bits array<long>")
 
 
 def _fold(bits: Column, to: Column) -> Column:
@@ -183,7 +183,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
                 sums = [[_checksum(s, salt) for s in sets] for salt in (0x51, 0xA7C3)]
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, type=pa.int64()) for x in sums), pa.array([s.tobytes() for s in sets], type=pa.binary())], names=["s1", "s2", "elements"])
 
-    sets = known.select("doc_id", "text").mapInArrow(cut, "s1 long, s2 long, elements binary").where("octet_length(elements) > 0")
+    sets = arrays.batched(known.select("doc_id", "text")).mapInArrow(cut, "s1 long, s2 long, elements binary").where("octet_length(elements) > 0")
     sets = written(sets.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).select("cid", "elements"), "sets")
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("elements").alias("of_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("elements").alias("of_b")), "b")
 

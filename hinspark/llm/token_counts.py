@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from . import files
+from . import arrays, files
 from .bpe import encode_pieces
 from ..scratch import new_path, written
 
@@ -53,7 +53,7 @@ def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, key
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(part), type=pa.string()), pa.array(range(n, n + len(part)), type=pa.int64()), part], names=["file", "ordinal", key])
             n += len(part)
 
-    return written(docs.select(key, text).mapInArrow(put, schema), "order")
+    return written(arrays.batched(docs.select(key, text)).mapInArrow(put, schema), "order")
 
 
 def _sizes(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import files
+from . import arrays, files
 from ..scratch import new_path, written
 
 #: Cells of the histogram that shards are cut from, whatever the input.
@@ -178,7 +178,7 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes
 
     names = [c.split()[0] for c in MANIFEST.split(", ")]
     arrow = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.string()}[c.split()[1]]) for c in MANIFEST.split(", ")])
-    placed.mapInArrow(put, MANIFEST).write.parquet(f"{folder}/manifest")
+    arrays.batched(placed).mapInArrow(put, MANIFEST).write.parquet(f"{folder}/manifest")
     return manifest(spark, folder)
 
 
