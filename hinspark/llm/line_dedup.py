@@ -148,4 +148,6 @@ def without_repeated_lines(docs: DataFrame, text: str = "text", **kw) -> DataFra
     """The documents with their remaining lines; one that loses its last line with a visible character goes."""
     done = dedup_lines(docs, text, n_lines="__n_lines", n_dropped="__n_dropped", **kw)
     visible = F.length(F.translate(F.col(text), " \t\r\n\x0b\x0c", "")) > 0
-    return done.where((F.col("__n_dropped") == 0) | visible).select(*docs.columns)
+    # a partition id in the condition keeps the filter above the projection: pushed below, it would split a text again for each line
+    done = done.withColumn("__part", F.spark_partition_id())
+    return done.where(((F.col("__n_dropped") == 0) | visible) & (F.col("__part") >= 0)).select(*docs.columns)
