@@ -360,6 +360,27 @@ def nhop_pairs(spark, sf_dir):
     return linalg.within_hops(li.select((F.col("l_orderkey") % 500).alias("src"), (F.col("l_partkey") % 500).alias("dst")), 2)
 
 
+@query(
+    """WITH e AS (SELECT 'order-' || l_orderkey AS src, 'part-' || l_partkey AS dst FROM lineitem UNION SELECT 'part-' || p_partkey, 'brand-' || p_brand FROM part
+    UNION SELECT 'order-' || o_orderkey, 'customer-' || o_custkey FROM orders UNION SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey FROM customer
+    UNION SELECT 'nation-' || n_nationkey, 'region-' || n_regionkey FROM nation) SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst"""
+)
+def nhop_pairs_all(spark, sf_dir):
+    """Over whole tables and ids as they are; two hops end at brands, nations and regions, so pairs grow with the lines."""
+    steps = (
+        ("lineitem", "order", "l_orderkey", "part", "l_partkey"),
+        ("part", "part", "p_partkey", "brand", "p_brand"),
+        ("orders", "order", "o_orderkey", "customer", "o_custkey"),
+        ("customer", "customer", "c_custkey", "nation", "c_nationkey"),
+        ("nation", "nation", "n_nationkey", "region", "n_regionkey"),
+    )
+    out = None
+    for name, a, src, b, dst in steps:
+        part = table(spark, sf_dir, name).select(F.concat(F.lit(f"{a}-"), F.col(src)).alias("src"), F.concat(F.lit(f"{b}-"), F.col(dst)).alias("dst"))
+        out = part if out is None else out.unionByName(part)
+    return linalg.within_hops(out, 2)
+
+
 @query("SELECT r_regionkey::BIGINT AS a, n_nationkey::BIGINT AS b, s_suppkey AS c FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey")
 def path_instances(spark, sf_dir):
     g = commerce(spark, sf_dir)
