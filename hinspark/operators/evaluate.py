@@ -154,6 +154,23 @@ def edge_homophily(pairs: DataFrame, labels: DataFrame, allow_self: bool = False
     return _with_labels(pairs, labels).agg(F.avg((F.col("a") == F.col("b")).cast("double")).alias("homophily"))
 
 
+def co_member_homophily(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row node, edge: both homophilies over all pairs of nodes that share a middle node, no node with itself.
+
+    ``links`` are (nid, mid), one middle node for each node, or else it's an error.  A
+    node of a middle node with n labelled nodes, c of its own label, has n - 1
+    neighbours and c - 1 alike: counts per (mid, label) do, and no pair is made.
+    """
+    one = F.when(F.count("*") == 1, F.min("mid")).otherwise(F.raise_error("a node has more than one middle node"))
+    mids = links.select("nid", "mid").distinct().groupBy("nid").agg(one.alias("mid"))
+    own = mids.join(labels.select("nid", "label"), "nid").where("label is not null").groupBy("mid", "label").agg(F.count("*").alias("c"))
+    all_ = own.groupBy("mid").agg(F.sum("c").alias("n"))
+    both = own.join(all_, "mid").where("n > 1").select("c", (F.col("c") - 1).alias("alike"), (F.col("n") - 1).alias("others"))
+    node = F.sum(F.col("c") * F.col("alike") / F.col("others")) / F.sum("c")
+    edge = F.sum(F.col("c") * F.col("alike")) / F.sum(F.col("c") * F.col("others"))
+    return both.agg(node.alias("node"), edge.alias("edge"))
+
+
 def _with_labels(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     a = labels.select(F.col("nid").alias("dst"), F.col("label").alias("a"))
     b = labels.select(F.col("nid").alias("src"), F.col("label").alias("b"))

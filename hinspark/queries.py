@@ -567,6 +567,24 @@ def edge_homophily(spark, sf_dir):
     return evaluate.edge_homophily(_co_nation(spark, sf_dir), commerce(spark, sf_dir).nodes["customer"]).select(rounded("homophily").alias("homophily"))
 
 
+_ALL_CO_NATION = "pairs AS (SELECT a.c_custkey AS dst, b.c_custkey AS src FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_custkey <> b.c_custkey)"
+
+
+def _all_co_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = commerce(spark, sf_dir)
+    return evaluate.co_member_homophily(g.edge("lives-in").select(F.col("src").alias("nid"), F.col("dst").alias("mid")), g.nodes["customer"])
+
+
+@query(f"WITH {_CUSTOMERS}, {_ALL_CO_NATION} SELECT round(avg(h) + 1e-9, 6) AS homophily FROM (SELECT dst, avg((a.label = b.label)::INT) AS h FROM pairs JOIN customers a ON dst = a.nid JOIN customers b ON src = b.nid GROUP BY dst)")
+def node_homophily_all(spark, sf_dir):
+    return _all_co_nation(spark, sf_dir).select(rounded("node").alias("homophily"))
+
+
+@query(f"WITH {_CUSTOMERS}, {_ALL_CO_NATION} SELECT round(avg((a.label = b.label)::INT) + 1e-9, 6) AS homophily FROM pairs JOIN customers a ON dst = a.nid JOIN customers b ON src = b.nid")
+def edge_homophily_all(spark, sf_dir):
+    return _all_co_nation(spark, sf_dir).select(rounded("edge").alias("homophily"))
+
+
 # ---- runs
 
 _RUNS = "r AS (SELECT p_brand AS profile, p_partkey AS run, p_retailprice AS value FROM part)"

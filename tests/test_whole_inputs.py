@@ -1,8 +1,10 @@
 """Queries over whole tables, against brute force."""
 
 import pyarrow.parquet as pq
+import pytest
 
 from hinspark import queries
+from hinspark.operators import evaluate
 
 
 def rows(df):
@@ -19,3 +21,22 @@ def test_nhop_pairs_of_all_lines(spark, sf_dir):
     want |= {(f"order-{o}", f"nation-{nation[c]}") for o, c in read(sf_dir, "orders", "o_orderkey", "o_custkey")}
     want |= {(f"customer-{c}", f"region-{region[n]}") for c, n in nation.items()}
     assert rows(queries.QUERIES["nhop_pairs_all"](spark, sf_dir)) == sorted(want)
+
+
+def test_homophily_of_all_customers(spark, sf_dir):
+    people = read(sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment")
+    shares = [[a[2] == b[2] for b in people if a[1] == b[1] and a[0] != b[0]] for a in people]
+    node = [sum(x) / len(x) for x in shares if x]
+    edge = [x for s in shares for x in s]
+    assert rows(queries.QUERIES["node_homophily_all"](spark, sf_dir))[0][0] == pytest.approx(sum(node) / len(node), abs=2e-6)
+    assert rows(queries.QUERIES["edge_homophily_all"](spark, sf_dir))[0][0] == pytest.approx(sum(edge) / len(edge), abs=2e-6)
+
+
+def test_homophily_from_counts_is_that_of_pairs(spark):
+    links = spark.createDataFrame([(1, 7), (1, 7), (2, 7), (3, 7), (4, 8), (5, 9), (6, 9), (9, 9)], "nid long, mid long")
+    labels = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1), (5, 1), (6, 1), (9, None)], "nid long, label long")
+    pairs = links.select(links.nid.alias("dst"), "mid").distinct().join(links.select(links.nid.alias("src"), "mid").distinct(), "mid").select("dst", "src")
+    got = rows(evaluate.co_member_homophily(links, labels))[0]
+    assert got == pytest.approx((rows(evaluate.node_homophily(pairs, labels))[0][0], rows(evaluate.edge_homophily(pairs, labels))[0][0]))
+    with pytest.raises(Exception, match="more than one middle node"):
+        evaluate.co_member_homophily(links.union(spark.createDataFrame([(1, 8)], links.schema)), labels).collect()
