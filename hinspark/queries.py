@@ -444,6 +444,14 @@ def neighbor_sample(spark, sf_dir):
     return sample.neighbours(g.edge("lives-in"), g.nodes["nation"].where("nid % 2 = 0"), 4, 5).select("src", "dst")
 
 
+@query(
+    """SELECT src, dst FROM (SELECT c_custkey AS src, c_nationkey::BIGINT AS dst, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || '-' || c_nationkey || '-5'), c_custkey) AS r FROM customer) WHERE r <= 4"""
+)
+def neighbor_sample_all(spark, sf_dir):
+    g = commerce(spark, sf_dir)
+    return sample.neighbours(g.edge("lives-in"), g.nodes["nation"], 4, 5).select("src", "dst")
+
+
 @query(
     """WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0), o AS (SELECT o_orderkey, o_custkey FROM orders JOIN c ON o_custkey = c_custkey)
     SELECT 'placed-by' AS etype, o_orderkey AS src, o_custkey AS dst FROM o UNION ALL SELECT DISTINCT 'in-order', l_partkey, l_orderkey FROM lineitem JOIN o ON l_orderkey = o_orderkey"""
@@ -460,6 +468,23 @@ def full_neighbor_blocks(spark, sf_dir):
     return out
 
 
+@query(
+    """SELECT 'placed-by' AS etype, o_orderkey AS src, o_custkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT DISTINCT 'in-order', l_partkey, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
+)
+def full_neighbor_blocks_all(spark, sf_dir):
+    """Seeded with all customers."""
+    g = commerce(spark, sf_dir)
+    keep = tuple(g.meta.canonical(e) for e in ("placed-by", "in-order"))
+    g = g.of_meta(type(g.meta)(("customer", "order", "part"), keep))
+    blocks, _ = sample.layers(g, {"customer": g.nodes["customer"]}, [-1, -1])
+    out = None
+    for c, e in blocks[0].items():
+        part = e.select(F.lit(c.etype).alias("etype"), "src", "dst")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
     """WITH b AS (SELECT DISTINCT o_orderkey // 64 AS b FROM orders), o AS (SELECT b, row_number() OVER (ORDER BY md5(b || '-9'), b) - 1 AS o FROM b)
     SELECT o_orderkey, ((o * 64 + o_orderkey % 64) // 256)::BIGINT AS batch FROM orders JOIN o ON o_orderkey // 64 = b"""
@@ -792,3 +817,20 @@ def stored_rows(spark, sf_dir):
     replace(g, nodes={n: g.nodes[n] for n in ("part", "order")}, edges={c: g.edges[c]}, inverse={}, target=None).save(path)
     back = type(g).load(spark, path).edge("in-order").where("dst between 100 and 200")
     return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
+@query("SELECT l_orderkey AS src, l_partkey AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2")
+def stored_rows_all(spark, sf_dir):
+    """A stored edge type read back whole."""
+    import uuid
+
+    from .scratch import scratch_dir
+
+    g = commerce(spark, sf_dir)
+    from dataclasses import replace
+
+    path = f"{scratch_dir(spark)}/hin-{uuid.uuid4().hex}"
+    c = CEType("part", "in-order", "order")
+    replace(g, nodes={n: g.nodes[n] for n in ("part", "order")}, edges={c: g.edges[c]}, inverse={}, target=None).save(path)
+    back = type(g).load(spark, path).edge("in-order")
+    return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")

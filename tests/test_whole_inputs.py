@@ -1,5 +1,7 @@
 """Queries over whole tables, against brute force."""
 
+from collections import Counter
+
 import pyarrow.parquet as pq
 import pytest
 
@@ -40,3 +42,23 @@ def test_homophily_from_counts_is_that_of_pairs(spark):
     assert got == pytest.approx((rows(evaluate.node_homophily(pairs, labels))[0][0], rows(evaluate.edge_homophily(pairs, labels))[0][0]))
     with pytest.raises(Exception, match="more than one middle node"):
         evaluate.co_member_homophily(links.union(spark.createDataFrame([(1, 8)], links.schema)), labels).collect()
+
+
+def test_blocks_of_all_customers(spark, sf_dir):
+    want = {("placed-by", o, c) for o, c in read(sf_dir, "orders", "o_orderkey", "o_custkey")}
+    want |= {("in-order", p, o) for o, p in read(sf_dir, "lineitem", "l_orderkey", "l_partkey")}
+    assert rows(queries.QUERIES["full_neighbor_blocks_all"](spark, sf_dir)) == sorted(want)
+
+
+def test_neighbours_of_all_nations(spark, sf_dir):
+    links = read(sf_dir, "customer", "c_custkey", "c_nationkey")
+    got = rows(queries.QUERIES["neighbor_sample_all"](spark, sf_dir))
+    size = Counter(n for _, n in links)
+    assert set(got) <= set(links) and Counter(n for _, n in got) == {n: min(4, k) for n, k in size.items()}
+
+
+def test_all_stored_rows(spark, sf_dir):
+    want = Counter()
+    for o, p, q in read(sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_quantity"):
+        want[o, p] += q
+    assert rows(queries.QUERIES["stored_rows_all"](spark, sf_dir)) == sorted((*k, v) for k, v in want.items())
