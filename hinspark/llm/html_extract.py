@@ -6,8 +6,9 @@ outermost article or main element, else the nearest sectioning block).  Elements
 that hold no content by their name, role or class (menus, headers and footers of
 the page, notices, adverts, forms, comments, scripts) are left out.  The lines'
 text-to-tag ratios are smoothed with a Gaussian and clustered by a threshold, their
-standard deviation; a region is content if a line of it reaches the threshold.
-All text of the content regions is returned, short lines too.
+standard deviation; a region is content if a line of it reaches the threshold.  All text of the content is returned, short lines too.  Classes and ids
+count as whole words; an article or main inside an element dropped by them, or inside
+a form, is looked at again if the page has no other.
 
 Defined results: a null or empty page, or one without text, has empty text;
 unclosed and stray tags are allowed anywhere; repeated rows give equal results;
@@ -47,27 +48,40 @@ PAGE_PARTS = frozenset("header footer".split())
 #: Elements that hold sections of a page.
 SECTIONS = frozenset("article main section div td body html center".split())
 
-#: Roles and words of a class or id that mark what is no content.
+#: Roles, and whole classes or ids, that mark what is no content: texts beside the article's, and parts of the layout.
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
-DROPPED_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|banner|sponsor|sponsored|promo|promotion|nav|navbar|navigation|menu|"
-    r"breadcrumb|breadcrumbs|sidebar|side-bar|rail|widget|header|masthead|footer|cookie|cookies|consent|gdpr|notice|alert|popup|modal|"
-    r"newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|comment|comments|discussion|disqus|replies|reply|"
-    r"pagination|pager|toolbar|skip-link)(?:$|[\s_-])",
-    re.IGNORECASE,
+OTHER_TEXTS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment comments discussion disqus replies reply "
+    "ad-banner ad-container ad-slot ad-unit ad-wrapper google-ad banner-ad related-posts related-articles related-stories related-content recommended-posts "
+    "comment-list comments-area comments-section comment-section comment-form disqus_thread cookie-notice cookie-banner cookie-consent cookie-bar".split()
+)
+LAYOUT = frozenset(
+    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar rail widget header masthead footer cookie cookies consent gdpr notice alert popup "
+    "modal newsletter subscribe signup login search share sharing social pagination pager toolbar skip-link site-header site-footer page-footer main-footer "
+    "footer-links footer-nav footer-menu footer-widgets site-nav site-navigation main-nav main-navigation main-menu nav-menu nav-links nav-bar top-nav top-bar "
+    "left-sidebar right-sidebar sidebar-left sidebar-right widget-area share-buttons share-links social-links social-share social-media search-form search-box "
+    "login-form newsletter-signup newsletter-form gdpr-notice".split()
 )
 
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
+#: Levels of dropping; an article or main inside the second or third is looked at again.
+_NOT, _LAYOUT, _OTHER, _WHOLLY = range(4)
+_NONE = -1  # of a region that is no article
+
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, region) of each line outside dropped elements."""
+    """Collects (text, tags, region, container) of each line outside dropped elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # name, dropped, region before it
-        self.depth = self.articles = 0  # of dropped elements, of article and main
+        self.lines: list[tuple[str, int, int, int]] = []
+        self.open: list[tuple[str, int, int, int, int]] = []  # name; level, region, container and articles before it
+        self.level = 0  # of dropping
+        self.articles = 0  # open article and main elements
+        self.kinds: dict[int, int] = {}  # of a region that is an article: the level it was found in
+        self.parents, self.names = [0], ["html"]  # of the containers, all block elements
+        self.container = 0
         self.text: list[str] = []
         self.tags = self.region = self.regions = 0
 
@@ -76,64 +90,74 @@ class _Lines(HTMLParser):
             return
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.region))
+            self.lines.append((text, self.tags, self.region, self.container))
             self.tags = 0
         self.text.clear()
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't used
 
-    def _drops(self, tag: str, attrs: list) -> bool:
+    def _drops(self, tag: str, attrs: list) -> int:
+        if tag == "form":
+            return _LAYOUT  # some sites have the whole page in one
         if tag in DROPPED or tag in PAGE_PARTS and not self.articles:
-            return True
+            return _WHOLLY
         if not attrs or tag in ("html", "body", "article", "main"):
-            return False
+            return _NOT
         known = dict(attrs)
         if "hidden" in known or (known.get("role") or "").lower() in DROPPED_ROLES:
-            return True
-        names = f"{known.get('class') or ''} {known.get('id') or ''}"
-        return len(names) > 1 and tag not in _HEADINGS and bool(DROPPED_NAMES.search(names))
+            return _WHOLLY
+        if tag in _HEADINGS or tag in PAGE_PARTS:
+            return _NOT
+        names = f"{known.get('class') or ''} {known.get('id') or ''}".lower().split()
+        return _OTHER if not OTHER_TEXTS.isdisjoint(names) else _LAYOUT if not LAYOUT.isdisjoint(names) else _NOT
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
-            if not self.depth:
+            if not self.level:
                 self.end_line()
             if tag == "p" and self.open and self.open[-1][0] == "p":
                 self.handle_endtag("p")
-        elif tag == "br" and not self.depth:
+        elif tag == "br" and not self.level:
             self.text.append(" ")
         self.tags += 1
         if tag in VOID:
             return
+        article = tag in ("article", "main")
         drops = self._drops(tag, attrs)
-        self.open.append((tag, drops, self.region))
-        self.depth += drops
+        self.open.append((tag, self.level, self.region, self.container, self.articles))
+        found = self.level = max(self.level, drops)
+        if article and not self.articles and _NOT < found < _WHOLLY:
+            self.end_line()
+            self.level = _NOT
+        if tag in BLOCK:
+            self.parents.append(self.container)
+            self.names.append(tag)
+            self.container = len(self.names) - 1
         if tag in SECTIONS and not self.articles:
             self.regions += 1
             self.region = self.regions
-        if tag in ("article", "main"):
-            self.articles += 1
+            if article:
+                self.kinds[self.region] = found
+        self.articles += article
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)  # a slash doesn't close an HTML element
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCK and not self.depth:
+        if tag in BLOCK and not self.level:
             self.end_line()
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
-                for name, dropped, region in reversed(self.open[i:]):
-                    self.depth -= dropped
-                    self.region = region
-                    self.articles -= name in ("article", "main")
+                _, self.level, self.region, self.container, self.articles = self.open[i]
                 del self.open[i:]
                 return
             if tag not in BLOCK and self.open[i][0] in BLOCK:
                 return  # a stray end tag of an inline element
 
     def handle_data(self, data: str) -> None:
-        if not self.depth:
+        if not self.level:
             self.text.append(data)
 
 
@@ -152,15 +176,19 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    if not parser.depth:
+    if not parser.level:
         parser.end_line()
-    lines = parser.lines
+    kinds = parser.kinds
+    found = {kinds.get(x[2], _NONE) for x in parser.lines}
+    best = next((k for k in (_NOT, _LAYOUT, _NONE, _OTHER) if k in found), _NONE)
+    lines = [x for x in parser.lines if kinds.get(x[2], _NONE) in (best, _NONE)]
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _ in lines]), sigma)
+    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma)
     threshold = float(ratios.std())
-    content = {region for (_, _, region), r in zip(lines, ratios.tolist(), strict=True) if r >= threshold}
-    return "\n\n".join(text for text, _, region in lines if region in content)
+    over = [x for x, r in zip(lines, ratios.tolist(), strict=True) if r >= threshold]
+    content = {region for _, _, region, _ in over}
+    return "\n\n".join(text for text, _, region, _ in lines if region in content)
 
 
 def extract(pages: DataFrame, html: str = "html", to: str = "text", sigma: float = 1.0) -> DataFrame:

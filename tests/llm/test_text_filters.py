@@ -69,6 +69,23 @@ def test_html_odd(page, text):
     assert html_extract.main_text(page) == text
 
 
+ARTICLE = "<article><header class='entry-header'><h1>Title of it</h1></header><p>Some text of the article itself.</p><footer class='footer'>By me</footer></article>"
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "no-sidebar", "content-with-menu", "site-search-enabled", "layout sidebar", "search", "comments"])
+def test_html_article_inside_named_wrapper(name):
+    page = f"<body><nav>Home</nav><div class='{name}'><div>{ARTICLE}</div></div></body>"
+    assert html_extract.main_text(page) == "Title of it\n\nSome text of the article itself.\n\nBy me"
+    assert html_extract.main_text(page.replace("div", "form")) == html_extract.main_text(page)
+
+
+def test_html_articles_of_comments_stay_out():
+    page = f"<body>{ARTICLE}<section id=comments><article>A comment of some length, longer than all else on it.</article></section></body>"
+    assert html_extract.main_text(page) == "Title of it\n\nSome text of the article itself.\n\nBy me"
+    page = "<body><div><p>A long paragraph of text that says a lot.</p></div><section id=comments><article>A comment of some length.</article></section></body>"
+    assert html_extract.main_text(page) == "A long paragraph of text that says a lot."
+
+
 def test_html_article_of_every_page(pages):
     import html
 
