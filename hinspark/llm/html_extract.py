@@ -6,7 +6,9 @@ outermost article or main element, else the nearest sectioning block).  Elements
 that hold no content by their name, role or class (menus, headers and footers of
 the page, notices, adverts, forms, comments, scripts) are left out.  The lines'
 text-to-tag ratios are smoothed with a Gaussian and clustered by a threshold, their
-standard deviation; a region is content if a line of it reaches the threshold.  All text of the content is returned, short lines too.  Classes and ids
+standard deviation; a region is content if a line of it reaches the threshold.  On
+pages without article or main the content is the lowest element around all lines that
+reach it.  All text of the content is returned, short lines too.  Classes and ids
 count as whole words; an article or main inside an element dropped by them, or inside
 a form, is looked at again if the page has no other.
 
@@ -169,6 +171,23 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return spread / np.convolve(np.ones(len(ratios)), weights)[reach : reach + len(ratios)]
 
 
+def _inside_common(parser: _Lines, lines: list, over: list) -> list[str]:
+    """Texts of the lines inside the lowest container of all lines of ``over``."""
+    parents, names = parser.parents, parser.names
+    outer = set(parents[1:])
+    # a block of text is no container of its siblings; a table's cell may hold a whole page
+    ends = {c if c in outer or names[c] in ("td", "th", "body", "html") else parents[c] for _, _, _, c in over}
+    while len(ends) > 1:
+        last = max(ends)  # parents come before their children
+        ends.remove(last)
+        ends.add(parents[last])
+    common = ends.pop()
+    inside = [common == 0] * len(parents)
+    for c in range(1, len(parents)):
+        inside[c] = c == common or inside[parents[c]]
+    return [text for text, _, _, c in lines if inside[c]]
+
+
 def main_text(html: str | None, sigma: float = 1.0) -> str:
     """The blocks of the content regions, joined by an empty line."""
     if not html:
@@ -187,6 +206,8 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma)
     threshold = float(ratios.std())
     over = [x for x, r in zip(lines, ratios.tolist(), strict=True) if r >= threshold]
+    if best == _NONE:
+        return "\n\n".join(_inside_common(parser, lines, over))
     content = {region for _, _, region, _ in over}
     return "\n\n".join(text for text, _, region, _ in lines if region in content)
 

@@ -86,6 +86,21 @@ def test_html_articles_of_comments_stay_out():
     assert html_extract.main_text(page) == "A long paragraph of text that says a lot."
 
 
+@pytest.mark.parametrize("before,block,after", [("", "<div>{}</div>", ""), ("<table>", "<tr><td>{}</td></tr>", "</table>"), ("<section>", "<p>{}", "</section>")])
+def test_html_short_blocks_without_article(before, block, after):
+    blocks = ["long " * 100 + "one", *(f"short{i}" for i in range(5)), "long " * 100 + "two"]
+    page = f"<body><nav>Home</nav>{before}{''.join(block.format(b) for b in blocks)}{after}<footer>Us</footer></body>"
+    assert html_extract.main_text(page) == "\n\n".join(blocks)
+
+
+def test_html_one_long_block_and_layout_table():
+    assert html_extract.main_text(f"<body><div><div>a</div><div>b</div><div>c</div><div>d</div><div>{'x' * 500}</div></div></body>") == f"a\n\nb\n\nc\n\nd\n\n{'x' * 500}"
+    links = "".join(f"<p><a href=/{i}>{i}</a></p>" for i in range(9))
+    body = ["first " * 40 + "end", "short", "last " * 40 + "end"]
+    page = f"<table><tr><td>{links}</td><td><p>{'</p><p>'.join(body)}</p></td></tr></table>"
+    assert html_extract.main_text(page).split("\n\n")[-3:] == body
+
+
 def test_html_article_of_every_page(pages):
     import html
 
