@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import sigmoid
+from ..scratch import written
 
 
 def roc_auc(scored: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
@@ -21,8 +22,11 @@ def roc_auc(scored: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
 
 
 def with_running_sum(rows: DataFrame, order: str, value: str, to: str) -> DataFrame:
-    """Sum of ``value`` over all rows before each one in a total order, in two passes over range partitions."""
-    parts = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    """Sum of ``value`` over all rows before each one in a total order, in two passes over range partitions.
+
+    Written between the passes: bounds of ranges are sampled, so ranges made twice may differ.
+    """
+    parts = written(rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     total = parts.groupBy("__p").agg(F.sum(value).alias("__t"))
     before = total.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))

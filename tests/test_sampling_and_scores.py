@@ -176,3 +176,17 @@ def test_metapath_weights(spark):
 def test_nhop(ring):
     links = {tuple(r) for r in ring.collect()}
     assert {tuple(r) for r in linalg.within_hops(ring, 2).collect()} == {(a, d) for a, b in links for c, d in links if b == c and a != d}
+
+
+def test_running_sum_over_sampled_ranges(spark):
+    """More rows than the range sampler reads whole, with a column that one pass doesn't need."""
+    conf = {"spark.sql.execution.rangeExchange.sampleSizePerPartition": "2", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        scores = spark.range(0, 20_000, numPartitions=7).select((F.col("id") * 7919 % 20_000).alias("s"), F.lit(1).alias("n"), F.col("id").cast("string").alias("more"))
+        got = evaluate.with_running_sum(scores, "s", "n", "below").collect()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert len(got) == 20_000 and all(r["below"] == r["s"] for r in got)
