@@ -43,9 +43,32 @@ def test_quality_plan_is_native(docs):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+@pytest.mark.parametrize("condition", ["kept", "not base_failed", "n_words > 60 and symbol_ratio < 0.1", "doc_id > 5"])
+def test_quality_filter_stays_above_the_measures(docs, condition):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    whole, filtered = plan(quality_rules.judge(docs)), plan(quality_rules.judge(docs).where(condition))
+    assert filtered.count("xxhash64(") == whole.count("xxhash64(") and filtered.count("split(") == whole.count("split(")
+    assert filtered.index("Filter") < filtered.index("split(")
+
+
+@pytest.mark.parametrize("hashed", [F.xxhash64, lambda *w: F.length(w[0]).cast("long"), lambda *w: F.lit(1).cast("long")])
+def test_repeats_when_hashes_collide(spark, hashed):
+    texts = ["a b c a b c", "a b c d e f g", "x y z a b c x y z", "a a a a a", "a b", "", "aa b c dd b c aa b c ee b c"]
+    df = spark.createDataFrame([(t, t.split()) for t in texts], "t string, words array<string>")
+    got = {r["t"]: r["at"] for r in df.select("t", quality_rules._let(F.col("words"), lambda w: quality_rules._repeats(w, hashed)).alias("at")).collect()}
+    for t in texts:
+        tri = list(zip(t.split(), t.split()[1:], t.split()[2:]))
+        assert got[t] == [i for i, w in enumerate(tri) if tri.count(w) > 1]
+
+
+def test_quality_of_empty_table_and_other_stop_words(docs, odd):
+    assert quality_rules.judge(odd.where("false")).count() == 0
+    assert not quality_rules.judge(docs, stop_words=("nosuchword",)).where("kept").head(1)
+
+
 def test_quality_keeps_clashing_columns(odd):
     out = quality_rules.judge(odd)
-    assert out.columns.count("n_words") == 1 and {"source", "score", "kept"} <= set(out.columns)
+    assert out.columns.count("n_words") == 1 and {"source", "score", "kept"} <= set(out.columns) and len(out.collect()) == odd.count()
 
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site name</header>
