@@ -233,13 +233,13 @@ def hits(text, items, size):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("max_bytes", [1 << 25, 700])
-def test_decontamination_against_brute_force(spark, max_bytes):
+@pytest.mark.parametrize("block_bytes", [1 << 25, 700, 150])
+def test_decontamination_against_brute_force(spark, block_bytes):
     items = [(1, "a b c d e f g h i j k l"), (10, "Short item"), (2, None), (3, ""), (1, "a b c d e f g h i j k l"), (None, "no id here at all, none"), (4, "é à ü ö ß ç ñ á í ó ú"), *((100 + i, f"filler item number {i} of the list") for i in range(30))]
     texts = [None, "", "x A b, c d e f g h i j y", "b c d e f g h i j k l a short ITEM", "short", "é à ü ö ß ç ñ á í ó zzz é à", "no id here at all none", "a b c d e f g h i j", "a b c d e f g h i j " * 3000, "filler item number 7 of the list"]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)] + [(2, texts[2], 0), (None, texts[2], 0)], "doc_id long, text string, n_hit long")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.report(docs, bench, size=10, max_broadcast_bytes=max_bytes).collect()
+    got = decontam.report(docs, bench, size=10, block_bytes=block_bytes).collect()
     assert len(got) == docs.count()
     for r in got:
         assert tuple(r[1:]) == hits(texts[2] if r["doc_id"] is None else texts[r["doc_id"]], items, 10)
@@ -252,3 +252,22 @@ def test_spans_and_documents(spark):
     assert {r["doc_id"] for r in decontam.remove_documents(docs, bench).collect()} == {2, 3}
     assert decontam.report(docs, bench.where("false")).where("contaminated").count() == 0
     assert decontam.report(docs.where("false"), bench).count() == 0
+
+
+@pytest.mark.parametrize("block_bytes", [1 << 25, 20])
+def test_removers_keep_columns_of_any_name(spark, block_bytes):
+    schema = "doc_id long, n_hit string, text string, n_words long, items int, hit_bytes double, __hits long, __row long"
+    docs = spark.createDataFrame([(1, "mine", "Before it, A b c d e f g h i j! after", 5, 6, 7.0, 8, 9), (2, "mine", "clean", 5, 6, 7.0, 8, 9)], schema)
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j"), (2, "nothing of the kind")], "item_id long, text string")
+    left = decontam.remove_documents(docs, bench, block_bytes=block_bytes)
+    assert left.schema == docs.schema and [tuple(r) for r in left.collect()] == [(2, "mine", "clean", 5, 6, 7.0, 8, 9)]
+    cut = decontam.remove_spans(docs, bench, block_bytes=block_bytes)
+    assert cut.schema == docs.schema and sorted(tuple(r) for r in cut.collect()) == [(1, "mine", "Before it, ! after", 5, 6, 7.0, 8, 9), (2, "mine", "clean", 5, 6, 7.0, 8, 9)]
+
+
+def test_windows_are_told_by_their_words():
+    known = decontam.Windows(["1", "2", None], ["a b c d", "x a b c", "a b"], 3)
+    said = lambda t: known.owners(known.lengths[3][1][0], 3, t)
+    assert said(b"no such words") is None
+    by_words = {decontam._joined(known.data, known.starts, known.ends, int(at), 3): h for h, at in zip(known.lengths[3][1], known.lengths[3][2])}
+    assert known.owners(by_words[b"a b c"], 3, b"a b c") == {"1", "2"} and set(known.lengths) == {2, 3}
