@@ -2,26 +2,34 @@
 
 The standard library's parser streams each page's events.  Block-level tags end a
 line; a line has its text, its number of tags, and the region it lies in (the
-outermost article or main element, else the nearest sectioning block).  Elements
-that hold no content by their name, role or class (menus, headers and footers of
-the page, notices, adverts, forms, comments, scripts) are left out.  The lines'
+outermost article or main element, else the nearest sectioning block).  Scripts,
+menus, controls, and elements named as adverts or comments are left out.  The lines'
 text-to-tag ratios are smoothed with a Gaussian and clustered by a threshold, their
-standard deviation; a region is content if a line of it reaches the threshold.  On
-pages without article or main the content is the lowest element around all lines that
-reach it.  All text of the content is returned, short lines too.  Classes and ids
-count as whole words; an article or main inside an element dropped by them, or inside
-a form, is looked at again if the page has no other.
+standard deviation; a region is content if a line of it reaches the threshold, and
+articles that do go before all else.  On pages without such an article the content is
+the lowest element around all lines that reach it.  All text of the content is
+returned, short lines too.
+
+Names of layout parts only vote inside an article: such a part goes if its text is
+mostly links or its ratios stay below the threshold.  A form's text goes unless the
+form is around an article, or holds most of a page without one.  Classes and ids count
+as whole words; an article or main inside an element dropped by its name is looked at
+again if the page has no other.
 
 Defined results: a null or empty page, or one without text, has empty text;
-unclosed and stray tags are allowed anywhere; repeated rows give equal results;
-pages are handled one at a time and whole.
+unclosed, omitted and stray tags are allowed anywhere (a head ends where the body's
+elements or text begin); white space is what Unicode calls so; repeated rows give
+equal results; an empty table gives an empty one; other columns are carried through,
+but the result replaces a column of its name; pages are handled one at a time and
+whole, in time that grows with their length.
 """
 
 from __future__ import annotations
 
-import re
+import heapq
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +49,20 @@ BLOCK = frozenset(
 
 #: Elements that never hold the article's text.
 DROPPED = frozenset(
-    "head script style noscript template nav aside form button select textarea svg math iframe object canvas audio video dialog menu".split()
+    "head script style noscript template nav aside button select textarea label legend datalist svg math iframe object canvas audio video dialog menu".split()
 )
 
+#: Elements that a head may hold; any other one ends it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+
+#: Elements that end an open one of the second set, up to one of the third.
+IMPLIED = {
+    **dict.fromkeys(("li",), (frozenset(("li",)), frozenset(("ul", "ol", "menu")))),
+    **dict.fromkeys(("dt", "dd"), (frozenset(("dt", "dd")), frozenset(("dl",)))),
+    **dict.fromkeys(("td", "th"), (frozenset(("td", "th")), frozenset(("tr", "table")))),
+    **dict.fromkeys(("tr",), (frozenset(("tr",)), frozenset(("table",)))),
+}
+
 #: Dropped too unless they are inside the article.
 PAGE_PARTS = frozenset("header footer".split())
 
@@ -53,12 +72,12 @@ SECTIONS = frozenset("article main section div td body html center".split())
 #: Roles, and whole classes or ids, that mark what is no content: texts beside the article's, and parts of the layout.
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 OTHER_TEXTS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended comment comments discussion disqus replies reply "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion recommended comment comments disqus replies "
     "ad-banner ad-container ad-slot ad-unit ad-wrapper google-ad banner-ad related-posts related-articles related-stories related-content recommended-posts "
     "comment-list comments-area comments-section comment-section comment-form disqus_thread cookie-notice cookie-banner cookie-consent cookie-bar".split()
 )
 LAYOUT = frozenset(
-    "banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar rail widget header masthead footer cookie cookies consent gdpr notice alert popup "
+    "related discussion reply banner nav navbar navigation menu breadcrumb breadcrumbs sidebar side-bar rail widget header masthead footer cookie cookies consent gdpr notice alert popup "
     "modal newsletter subscribe signup login search share sharing social pagination pager toolbar skip-link site-header site-footer page-footer main-footer "
     "footer-links footer-nav footer-menu footer-widgets site-nav site-navigation main-nav main-navigation main-menu nav-menu nav-links nav-bar top-nav top-bar "
     "left-sidebar right-sidebar sidebar-left sidebar-right widget-area share-buttons share-links social-links social-share social-media search-form search-box "
@@ -72,36 +91,78 @@ _NOT, _LAYOUT, _OTHER, _WHOLLY = range(4)
 _NONE = -1  # of a region that is no article
 
 
+class _Line(NamedTuple):
+    text: str
+    tags: int
+    region: int
+    container: int
+    doubt: int  # the part of an article with a layout name that it lies in, or 0
+    form: int  # the outermost form inside the article, or on the page, or 0
+    linked: int  # characters inside links
+
+
+class _Open(NamedTuple):
+    """An open element, and what held before it."""
+
+    tag: str
+    level: int
+    region: int
+    container: int
+    articles: int
+    doubt: int
+    form: int
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, region, container) of each line outside dropped elements."""
+    """Collects the lines outside dropped elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, int, int, int, int]] = []  # name; level, region, container and articles before it
+        self.lines: list[_Line] = []
+        self.open: list[_Open] = []
+        self.scopes: list[dict[str, int]] = [{}]  # open inline elements by name, since each open block
+        self.blocks: dict[str, int] = {}  # open blocks by name
         self.level = 0  # of dropping
         self.articles = 0  # open article and main elements
         self.kinds: dict[int, int] = {}  # of a region that is an article: the level it was found in
         self.parents, self.names = [0], ["html"]  # of the containers, all block elements
-        self.container = 0
         self.text: list[str] = []
-        self.tags = self.region = self.regions = 0
+        self.tags = self.region = self.regions = self.container = self.doubt = self.form = self.linked = 0
 
     def end_line(self) -> None:
         if not self.text:
             return
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.region, self.container))
-            self.tags = 0
+            self.lines.append(_Line(text, self.tags, self.region, self.container, self.doubt, self.form, self.linked))
+            self.tags = self.linked = 0
         self.text.clear()
 
     def updatepos(self, i: int, j: int) -> int:
         return j  # line numbers aren't used
 
+    # The page is fed at once: what has no end runs to the page's end and isn't searched again.
+
+    def _after(self, mark: str, i: int) -> int:
+        k = self.rawdata.find(mark, i)
+        return len(self.rawdata) if k < 0 else k + len(mark)
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        return self._after("-->", i + 4)
+
+    def parse_html_declaration(self, i: int) -> int:
+        return self._after(">", i)
+
+    def parse_pi(self, i: int) -> int:
+        return self._after(">", i)
+
+    def parse_starttag(self, i: int) -> int:
+        return super().parse_starttag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
+    def parse_endtag(self, i: int) -> int:
+        return super().parse_endtag(i) if self.rawdata.find(">", i) >= 0 else len(self.rawdata)
+
     def _drops(self, tag: str, attrs: list) -> int:
-        if tag == "form":
-            return _LAYOUT  # some sites have the whole page in one
         if tag in DROPPED or tag in PAGE_PARTS and not self.articles:
             return _WHOLLY
         if not attrs or tag in ("html", "body", "article", "main"):
@@ -114,24 +175,61 @@ class _Lines(HTMLParser):
         names = f"{known.get('class') or ''} {known.get('id') or ''}".lower().split()
         return _OTHER if not OTHER_TEXTS.isdisjoint(names) else _LAYOUT if not LAYOUT.isdisjoint(names) else _NOT
 
+    def _close_last(self) -> str:
+        last = self.open.pop()
+        if last.tag in BLOCK or last.tag == "head":
+            self.scopes.pop()
+            self.blocks[last.tag] -= 1
+        else:
+            self.scopes[-1][last.tag] -= 1
+        _, self.level, self.region, self.container, self.articles, self.doubt, self.form = last
+        return last.tag
+
+    def _close(self, tag: str) -> None:
+        """Close the innermost open element of this name, which there must be, and all inside it."""
+        while self._close_last() != tag:
+            pass
+
+    def _implied_ends(self, tag: str) -> None:
+        if self.blocks.get("head") and tag not in IN_HEAD:
+            self._close("head")
+        if tag in BLOCK and self.blocks.get("p"):
+            self._close("p")  # a paragraph holds no block
+        if tag in IMPLIED:
+            ended, outside = IMPLIED[tag]
+            if any(self.blocks.get(x) for x in ended):
+                k = next((k for k in range(len(self.open) - 1, -1, -1) if self.open[k].tag in BLOCK and (self.open[k].tag in ended or self.open[k].tag in outside)), -1)
+                if k >= 0 and self.open[k].tag in ended:
+                    while len(self.open) > k:
+                        self._close_last()
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in BLOCK:
-            if not self.level:
-                self.end_line()
-            if tag == "p" and self.open and self.open[-1][0] == "p":
-                self.handle_endtag("p")
-        elif tag == "br" and not self.level:
+        if tag in BLOCK and not self.level:
+            self.end_line()
+        self._implied_ends(tag)
+        if tag == "br" and not self.level:
             self.text.append(" ")
         self.tags += 1
         if tag in VOID:
             return
         article = tag in ("article", "main")
         drops = self._drops(tag, attrs)
-        self.open.append((tag, self.level, self.region, self.container, self.articles))
+        self.open.append(_Open(tag, self.level, self.region, self.container, self.articles, self.doubt, self.form))
+        if tag in BLOCK or tag == "head":
+            self.scopes.append({})
+            self.blocks[tag] = self.blocks.get(tag, 0) + 1
+        else:
+            self.scopes[-1][tag] = self.scopes[-1].get(tag, 0) + 1
+        if drops == _LAYOUT and self.articles:
+            drops, self.doubt = _NOT, self.doubt or len(self.names)
+        if tag == "form":
+            self.form = self.form or len(self.names)
         found = self.level = max(self.level, drops)
-        if article and not self.articles and _NOT < found < _WHOLLY:
-            self.end_line()
-            self.level = _NOT
+        if article and not self.articles:
+            self.form = 0
+            if _NOT < found < _WHOLLY:
+                self.end_line()
+                self.level = _NOT
         if tag in BLOCK:
             self.parents.append(self.container)
             self.names.append(tag)
@@ -150,17 +248,17 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK and not self.level:
             self.end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                _, self.level, self.region, self.container, self.articles = self.open[i]
-                del self.open[i:]
-                return
-            if tag not in BLOCK and self.open[i][0] in BLOCK:
-                return  # a stray end tag of an inline element
+        # else a stray end tag; that of an inline element doesn't reach beyond its block
+        if self.blocks.get(tag) if tag in BLOCK or tag == "head" else self.scopes[-1].get(tag):
+            self._close(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.blocks.get("head") and self.open[-1].tag == "head" and not data.isspace():
+            self._close("head")
         if not self.level:
             self.text.append(data)
+            if self.scopes[-1].get("a"):
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -171,21 +269,34 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return spread / np.convolve(np.ones(len(ratios)), weights)[reach : reach + len(ratios)]
 
 
-def _inside_common(parser: _Lines, lines: list, over: list) -> list[str]:
+def _inside_common(parser: _Lines, lines: list[_Line], over: list[_Line]) -> list[str]:
     """Texts of the lines inside the lowest container of all lines of ``over``."""
     parents, names = parser.parents, parser.names
     outer = set(parents[1:])
     # a block of text is no container of its siblings; a table's cell may hold a whole page
-    ends = {c if c in outer or names[c] in ("td", "th", "body", "html") else parents[c] for _, _, _, c in over}
-    while len(ends) > 1:
-        last = max(ends)  # parents come before their children
+    ends = {c if c in outer or names[c] in ("td", "th", "body", "html") else parents[c] for c in (x.container for x in over)}
+    heap = [-c for c in ends]
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        last = -heapq.heappop(heap)  # parents come before their children
         ends.remove(last)
-        ends.add(parents[last])
-    common = ends.pop()
+        if parents[last] not in ends:
+            ends.add(parents[last])
+            heapq.heappush(heap, -parents[last])
+    common = -heap[0]
     inside = [common == 0] * len(parents)
     for c in range(1, len(parents)):
         inside[c] = c == common or inside[parents[c]]
-    return [text for text, _, _, c in lines if inside[c]]
+    return [x.text for x in lines if inside[x.container]]
+
+
+def _without_forms(lines: list[_Line], whole: bool) -> list[_Line]:
+    """Without the text of forms; with ``whole`` a form that holds half of all text is the page, and stays."""
+    sizes: dict[int, int] = {}
+    for x in lines:
+        sizes[x.form] = sizes.get(x.form, 0) + len(x.text)
+    half = sum(sizes.values()) / 2
+    return [x for x in lines if not x.form or whole and sizes[x.form] >= half]
 
 
 def main_text(html: str | None, sigma: float = 1.0) -> str:
@@ -198,18 +309,24 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     if not parser.level:
         parser.end_line()
     kinds = parser.kinds
-    found = {kinds.get(x[2], _NONE) for x in parser.lines}
+    found = {kinds.get(x.region, _NONE) for x in parser.lines}
     best = next((k for k in (_NOT, _LAYOUT, _NONE, _OTHER) if k in found), _NONE)
-    lines = [x for x in parser.lines if kinds.get(x[2], _NONE) in (best, _NONE)]
+    lines = _without_forms([x for x in parser.lines if kinds.get(x.region, _NONE) in (best, _NONE)], best == _NONE)
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]), sigma)
+    ratios = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]), sigma)
     threshold = float(ratios.std())
     over = [x for x, r in zip(lines, ratios.tolist(), strict=True) if r >= threshold]
-    if best == _NONE:
+    articles = {x.region for x in over if x.region in kinds}
+    if not articles:
         return "\n\n".join(_inside_common(parser, lines, over))
-    content = {region for _, _, region, _ in over}
-    return "\n\n".join(text for text, _, region, _ in lines if region in content)
+    # parts with a layout name stay where the ratios and the links say that they are text
+    text = {x.doubt for x in over if x.doubt}
+    for part in list(text):
+        own = [x for x in lines if x.doubt == part]
+        if 2 * sum(x.linked for x in own) > sum(len(x.text) for x in own):
+            text.remove(part)
+    return "\n\n".join(x.text for x in lines if x.region in articles and (not x.doubt or x.doubt in text))
 
 
 def extract(pages: DataFrame, html: str = "html", to: str = "text", sigma: float = 1.0) -> DataFrame:

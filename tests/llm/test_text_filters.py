@@ -133,6 +133,56 @@ def test_html_article_of_every_page(pages):
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
+BODY = "<h1>Title of it</h1><p>Some text of the article itself, long enough to count.</p><p>Short.</p>"
+BLOCKS = "Title of it\n\nSome text of the article itself, long enough to count.\n\nShort."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta charset=utf-8><body><article>{BODY}</article>",
+        f"<head><title>T</title><article>{BODY}</article>",
+        f"<html><head><title>T</title><link rel=x><div><div>{BODY}</div></div>",
+        f"<body><form action=/x><input type=hidden><nav>Home</nav><article>{BODY}</article><button>Go</button></form>",
+        f"<body><form action=/x><div id=page><ul class=menu><li>Home</ul><div>{BODY}</div></div><select><option>One</select></form>",
+        f"<body><main>{BODY}<form><p>Sign up here</p><label>Mail</label><input></form></main>",
+        f"<body><article>{BODY}<div class=share><a href=/a>Share this</a> <a href=/b>Send it</a></div></article>",
+        f"<body><article>{BODY}<div class=related><ul><li><a href=/a>Another story of ours, with a long title</a><li><a href=/b>One more</a></ul></div></article>",
+        f"<body><div><p>{'Unnamed side text that goes on and on. ' * 9}</p></div><article>{BODY}</article>",
+        f"<body><ul><li class=ad>Buy this<li>Home</ul><article>{BODY}</article>",
+    ],
+)
+def test_html_templates(page):
+    assert html_extract.main_text(page) == BLOCKS
+
+
+@pytest.mark.parametrize("name", ["discussion", "header", "notice", "related"])
+def test_html_names_only_vote_inside_an_article(name):
+    text = "What we found here agrees with what others have found before, and this says so at some length."
+    assert html_extract.main_text(f"<article>{BODY}<section id={name}><h2>Heading</h2><p>{text}</p></section></article>") == f"{BLOCKS}\n\nHeading\n\n{text}"
+
+
+def test_html_items_without_end_tags():
+    assert html_extract.main_text("<article><ul><li class=ad>Buy this<li>One<li>Two<ul><li>In</ul></ul><dl><dt>T<dd>D</dl><table><tr><td>a<td>b<tr><td>c</table></article>") == "One\n\nTwo\n\nIn\n\nT\n\nD\n\na\n\nb\n\nc"
+
+
+@pytest.mark.parametrize("junk", ["</i>", "<b></i>", "<b>", "<i><div><b></i>", "<div></i></span>", "<p>", "<li>", "<td></div>", "<", "<!--", "<a ", "&", "<ul><li>", "<div>a", "<dl>", "</"])
+def test_html_time_grows_with_length(junk):
+    import time
+
+    took = []
+    for size in (1 << 16, 1 << 18):
+        begun = time.process_time()
+        html_extract.main_text("<article>x" + junk * (size // len(junk)))
+        took.append(time.process_time() - begun)
+    assert took[1] < max(1.0, 8 * took[0])
+
+
+def test_html_columns(spark):
+    df = spark.createDataFrame([(1, "old", "<p>new", "x"), (1, "old", "<p>new", "x")], "page_id long, text string, html string, extra string")
+    assert [r.asDict() for r in html_extract.extract(df).collect()] == [{"page_id": 1, "html": "<p>new", "extra": "x", "text": "new"}] * 2
+
+
 def test_html_long_page_and_empty_table(spark):
     page = "<article>" + "<p>some words here</p>" * 20_000 + "</article>"
     assert html_extract.main_text(page).count("\n\n") == 19_999
