@@ -26,7 +26,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing uses yet, in this application's own folder; the folder goes when the application ends."""
+    sc = spark.sparkContext
+    folder = f"{scratch_dir(spark)}/hinspark-{sc.applicationId}"
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    if system.mkdirs(path):
+        system.deleteOnExit(path)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
