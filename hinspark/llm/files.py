@@ -5,14 +5,37 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+from pyspark.sql import SparkSession
+
+
+#: Hadoop's scheme names, and those of the libraries that tasks use for them.
+SCHEMES = {"file": "file", "hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "s3n": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` as Spark itself resolves it, so one without a scheme lies in the default file system and not on each machine's disk.
+
+    A scheme that tasks can't open is an error, on the driver and before anything is written.
+    """
+    sc = spark.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+    scheme = path.toUri().getScheme()
+    if scheme is None:
+        path = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path)
+        scheme = path.toUri().getScheme()
+    if scheme not in SCHEMES:
+        raise ValueError(f"files of their own format can't be written to {scheme}: (one of {', '.join(SCHEMES)})")
+    return path.toString()
+
 
 def opened(uri: str):
-    """(file system, path) of a file:, hdfs:, s3: or gs: URI."""
+    """(file system, path) of a qualified URI."""
     from pyarrow import fs
 
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{SCHEMES[scheme]}:{rest}")
 
 
 @contextmanager

@@ -9,8 +9,10 @@ the tokens that reach into it.
 
 Defined results: an empty document counts 0; tokens after a file's last separator
 are a last document with ``ended`` false; an empty file has no documents; null text
-is written as an empty document; a file whose size is no multiple of the id's size is
-an error.
+is written as an empty document; repeated rows are documents of their own; other
+columns are not used; an empty table gives no documents; a file whose size is no
+multiple of the id's size is an error, as is an id of a text that is the separator or
+doesn't fit the file's type.
 """
 
 from __future__ import annotations
@@ -32,8 +34,15 @@ BLOCK_BYTES = 8 << 20
 END, KIND = 50256, "<u2"
 
 
+def _fits(n: int, kind: str) -> bool:
+    return 0 <= n <= np.iinfo(np.dtype(kind)).max
+
+
 def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, key: str = "doc_id", text: str = "text", end: int = END, kind: str = KIND) -> DataFrame:
     """Encode the texts into one flat file a task; returns (file, ordinal, key), the order in which they were written."""
+    folder = files.qualified(docs.sparkSession, folder)
+    if not _fits(end, kind):
+        raise ValueError(f"the separator {end} doesn't fit {kind}")
     schema = f"file string, ordinal long, {key} {docs.select(key).dtypes[0][1]}"
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,6 +54,8 @@ def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, key
             for batch in batches:
                 for value in batch.column(1):
                     for ids in encode_pieces(value.as_py(), rank_file, pattern):
+                        if len(ids) and not (_fits(int(ids.max()), kind) and (ids != end).all()):
+                            raise ValueError(f"an id of this vocabulary is the separator {end}, or doesn't fit {kind}")
                         out.write(ids.astype(kind).tobytes())
                     out.write(last)
                 keys.append(batch.column(0))
@@ -70,6 +81,7 @@ def _sizes(spark: SparkSession, folder: str, names: DataFrame) -> DataFrame:
 
 def count_tokens(spark: SparkSession, folder: str, names: DataFrame, end: int = END, kind: str = KIND, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(file, ordinal, n_tokens, ended) of each document of the named files under ``folder``."""
+    folder = files.qualified(spark, folder)
     width = np.dtype(kind).itemsize
     block_bytes -= block_bytes % width
     sizes = _sizes(spark, folder, names)
@@ -128,4 +140,5 @@ def counted(docs: DataFrame, rank_file: str, pattern: str, key: str = "doc_id",
     folder = new_path(spark, "tokens")
     order = write_tokens(docs, folder, rank_file, pattern, key, text)
     counts = count_tokens(spark, folder, order.select("file").distinct(), **kw)
-    return order.join(counts, ["file", "ordinal"]).select(key, "n_tokens")
+    # both sides grow with the documents, and Parquet's sizes say little of them: never broadcast one
+    return order.hint("merge").join(counts.hint("merge"), ["file", "ordinal"]).select(key, "n_tokens")

@@ -1,8 +1,10 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are range-sorted by page_id: a fixed-size histogram of payload bytes over
-the range of ids cuts it into shards of about equal size, the same ones on every
-run.  One task writes a shard, record by record in order, each compressed on its
+Records are range-sorted by page_id, then by payload digest: a running sum of
+payload bytes in that order, made on digests and sizes alone, cuts them into shards of
+about equal size, the same ones on every run.  Clustered ids, extreme ids, null ids
+and ids with many payloads are cut like any others; only equal payloads of one id stay
+together.  One task writes a shard, record by record in order, each compressed on its
 own, and starts another file when the compressed size passes ``roll_bytes``.
 Headers, digests and record ids are made from the data alone, so a shard that is
 written again has the same bytes.  Files get their names when they are complete;
@@ -12,9 +14,10 @@ readers read what the manifest lists.
 Of pages with equal payloads of at least ``min_revisit_bytes``, the one with the
 smallest page_id is a response, the others revisit it.  Which page a revisit
 refers to is found on digests alone and meets the page in the sorted stream, so
-payloads are shuffled once.
+payloads are shuffled once.  Shards are routed to partitions of their own.
 
-Defined results: null html is an empty payload; a null page_id is written last, is
+Defined results: null html is an empty payload; repeated rows are records of their own;
+other columns are not used; a null page_id is written last, is
 always a response, and is read back as null; rows that share the smallest page_id of
 a payload are all responses; a null url gets the target ``urn:page:<id>``; an
 empty table gives no files and an empty manifest.
@@ -29,13 +32,16 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import arrays, files
+from ..operators.evaluate import with_running_sum
 from ..scratch import new_path, written
 
-#: Cells of the histogram that shards are cut from, whatever the input.
-CELLS = 1 << 14
+#: Shards at most; beyond, they grow with the input.  Their bounds (1 MB) are literals of the plan.
+MAX_SHARDS = 1 << 14
+#: Bytes that a record counts besides its payload.
+RECORD_BYTES = 500
 
 MANIFEST = "file string, shard long, part long, records long, bytes long, sha256 string"
 
@@ -113,41 +119,68 @@ class _Shard:
             self.context.__exit__(type(error), error, error.__traceback__)
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int, int, int]:
-    """(cell, shard) of at most CELLS cells of the range of ids, the least id, a cell's width, and the number of shards."""
-    low, high = rows.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = (high - low) // CELLS + 1
-    sizes = rows.where("page_id is not null").groupBy(((F.col("page_id") - low) / width).cast("long").alias("cell")).agg(F.sum("size").alias("size"))
-    table, shard, filled = [], 0, 0
-    for cell, size in sorted((r.cell, r.size) for r in sizes.select("cell", (F.col("size") + 1).alias("size")).collect()):  # at most CELLS rows
-        if filled and filled + size > shard_bytes:
-            shard, filled = shard + 1, 0
-        table.append((cell, shard))
-        filled += size
-    spark = rows.sparkSession
-    return spark.createDataFrame(table, "cell long, shard long"), low, width, shard + 1
+def _key(page_id: Column, sha1: Column) -> Column:
+    """A string in the order of the records: by page_id, nulls last, then by digest."""
+    place = F.lpad(F.hex(page_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(place, F.lit("null")), F.hex(sha1))
+
+
+def _bounds(narrow: DataFrame, shard_bytes: int) -> list[str]:
+    """The least key of each shard but the first; shards have about shard_bytes, and there are at most MAX_SHARDS."""
+    sizes = narrow.groupBy(_key(F.col("page_id"), F.col("sha1")).alias("key")).agg(F.sum(F.col("size") + RECORD_BYTES).alias("size"))
+    summed = with_running_sum(sizes, "key", "size", "before")
+    total = summed.agg(F.sum("size")).first()[0] or 0
+    each = max(shard_bytes, -(-total // MAX_SHARDS))
+    starts = summed.groupBy(F.floor(F.col("before") / each).alias("shard")).agg(F.min("key").alias("key"))
+    return sorted(r.key for r in starts.select("key").collect())[1:]  # MAX_SHARDS at most
+
+
+def _shard(key: Column, bounds: list[str]) -> Column:
+    """How many bounds there are up to the key, by binary search."""
+    if not bounds:
+        return F.lit(0)
+    middle = lambda s: ((s["lo"] + s["hi"]) / 2).cast("int")
+    begun = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def search(listed: Column, key: Column) -> Column:
+        below = lambda s: F.get(listed, middle(s)) <= key
+        step = lambda s, _: F.when(s["lo"] >= s["hi"], s).otherwise(F.struct(F.when(below(s), middle(s) + 1).otherwise(s["lo"]).alias("lo"), F.when(below(s), s["hi"]).otherwise(middle(s)).alias("hi")))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), begun, step, lambda s: s["lo"])
+
+    # bound as lambdas' arguments: the list is folded to one literal, the key is made once for a row
+    listed = F.array(F.split(F.lit(",".join(bounds)), ","))
+    return F.get(F.transform(F.array(key), lambda k: F.get(F.transform(listed, lambda b: search(b, k)), F.lit(0))), F.lit(0))
+
+
+def _routes(spark: SparkSession, n: int) -> list[int]:
+    """For each of n partitions a number that Spark's hash partitioning sends there."""
+    found = {r.p: r.i for r in spark.range(64 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("i")).collect()}  # n rows
+    return [found.get(p, p) for p in range(n)]
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes: int = 32 << 20, min_revisit_bytes: int = 0, level: int = 6, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Write (page_id, url, html) as archives under ``folder``; returns the committed manifest."""
     spark = pages.sparkSession
+    folder = files.qualified(spark, folder)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
-    narrow = written(rows.select("page_id", F.unhex(F.sha1("payload")).alias("sha1"), F.octet_length("payload").cast("long").alias("size")), "digests")
+    rows = rows.withColumn("sha1", F.unhex(F.sha1("payload")))
+    narrow = written(rows.select("page_id", "sha1", F.octet_length("payload").cast("long").alias("size")), "digests")
     known = narrow.where(F.col("page_id").isNotNull() & (F.col("size") >= min_revisit_bytes))
     first = known.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first <> last").select("sha1", "first")
-    revisits = known.join(first, "sha1").where("page_id <> first").select("page_id", "first", "sha1")
-    cells, low, width, n = _shards(narrow, shard_bytes)
+    revisits = known.join(first, "sha1").where("page_id <> first").select("page_id", "first", "sha1").distinct()
+    bounds = _bounds(narrow, shard_bytes)
     # a revisit's row comes just before its page in the sorted stream
-    both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"), F.lit(None).cast("binary").alias("sha1")).unionByName(
+    both = rows.select("page_id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"), "sha1").unionByName(
         revisits.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first", "sha1")
     )
-    both = both.withColumn("cell", ((F.col("page_id") - low) / width).cast("long")).join(F.broadcast(cells), "cell", "left")  # at most CELLS rows
-    placed = both.select(F.coalesce("shard", F.lit(n)).alias("shard"), "page_id", "kind", "url", "payload", "first", "sha1")
-    placed = placed.repartition(n + 1, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "url", "payload")
+    n = len(bounds) + 1
+    routes = F.split(F.lit(",".join(map(str, _routes(spark, n)))), ",")
+    placed = both.withColumn("shard", _shard(_key(F.col("page_id"), F.col("sha1")), bounds).cast("long"))
+    placed = placed.repartition(n, F.get(routes, F.col("shard").cast("int")).cast("long"))
+    placed = placed.select("shard", "page_id", "kind", "url", "payload", "first", "sha1").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha1", "kind", "url")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, refers = None, [], {}
+        now, out, refers = None, [], (None, None)
         try:
             for batch in batches:
                 columns = [batch.column(i) for i in range(7)]
@@ -159,13 +192,10 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = 64 << 20, roll_bytes
                             out += now.done
                         now = _Shard(folder, shard, roll_bytes, level, date)
                     if kind == 0:
-                        if refers and next(iter(refers))[0] != page_id:
-                            refers.clear()
-                        refers[page_id, sha1] = first
+                        refers = (page_id, sha1), first
                         continue
-                    sum_ = hashlib.sha1(payload)
-                    to = refers.get((page_id, sum_.digest())) if refers else None
-                    digest = base64.b32encode(sum_.digest()).decode()
+                    to = refers[1] if refers[0] == (page_id, sha1) else None
+                    digest = base64.b32encode(sha1).decode()
                     now.add(_record("response" if to is None else "revisit", page_id, url, payload, digest, len(payload), to, date))
             if now is not None:
                 now.close()
@@ -220,6 +250,7 @@ def _parsed(record: bytes) -> tuple | None:
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """A row for each record of the files that the manifest lists."""
+    folder = files.qualified(spark, folder)
     listed = manifest(spark, folder).select("file")
     names = [c.split()[0] for c in READ.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hinspark.llm import bpe, token_counts, warc
+from hinspark.llm import bpe, files, token_counts, warc
 from hinspark.llm.queries import tokenizer
 
 
@@ -67,6 +67,55 @@ def test_archives_are_deterministic(some_pages, tmp_path):
         assert gzip.decompress(data).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
 
 
+@pytest.mark.parametrize("ids", [[i for i in range(200)] + [2**62], [-(2**63), 2**63 - 1, *range(5, 100)], [7] * 80, [None] * 80])
+def test_shards_follow_the_bytes(spark, tmp_path, ids):
+    rows = [(x, None, f"{k}" * 500) for k, x in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    listed = warc.write(df, f"file://{tmp_path}/w", shard_bytes=10_000).collect()
+    assert len({m["shard"] for m in listed}) > 5 and max(m["records"] for m in listed) < 30
+    got = warc.read(spark, f"file://{tmp_path}/w").collect()
+    assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(expected(rows), key=key)
+
+
+def test_each_shard_has_a_partition(spark):
+    for n in (1, 7, 60):
+        routes = spark.createDataFrame([(r,) for r in warc._routes(spark, n)], "r long")
+        got = routes.repartition(n, "r").select(F.spark_partition_id().alias("p"), "r").collect()
+        assert len({r["p"] for r in got}) == n and [x["r"] for x in sorted(got, key=lambda x: x["p"])] == warc._routes(spark, n)
+
+
+def test_shard_search(spark):
+    bounds = ["b", "d", "dd", "x"]
+    got = spark.createDataFrame([(k,) for k in "a b c d dc dd y x".split()], "k string").select("k", warc._shard(F.col("k"), bounds).alias("s")).collect()
+    assert {r["k"]: r["s"] for r in got} == {k: sum(b <= k for b in bounds) for k in "a b c d dc dd y x".split()}
+    plan = spark.range(1).select(warc._shard(F.col("id").cast("string"), bounds).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan
+
+
+def test_folders_are_those_of_spark(spark, tmp_path, monkeypatch):
+    assert files.qualified(spark, str(tmp_path)) == f"file:{tmp_path}"
+    assert files.qualified(spark, "s3a://b/x") == "s3a://b/x"
+    with pytest.raises(ValueError):
+        files.qualified(spark, "ftp://h/x")
+    assert files.qualified(spark, f"file://{tmp_path}") == f"file://{tmp_path}" or files.qualified(spark, f"file://{tmp_path}") == f"file:{tmp_path}"
+    assert files.opened(f"file:{tmp_path}")[1] == files.opened(f"file://{tmp_path}")[1] == str(tmp_path)
+    from pyarrow import fs
+
+    class Asked:
+        from_uri = staticmethod(lambda uri: (uri, uri))
+
+    monkeypatch.setattr(fs, "FileSystem", Asked)
+    assert [files.opened(f"{x}://b/x/y")[0].split(":")[0] for x in ("s3a", "s3n", "s3", "gs", "abfss", "hdfs")] == ["s3", "s3", "s3", "gs", "abfss", "hdfs"]
+
+
+def test_ids_that_do_not_fit_are_errors(docs, ranks, tmp_path):
+    with pytest.raises(ValueError):
+        token_counts.write_tokens(docs, f"{tmp_path}/a", *ranks, end=70_000)
+    with pytest.raises(Exception, match="doesn't fit"):
+        token_counts.write_tokens(docs, f"{tmp_path}/b", *ranks, kind="u1", end=255)
+    assert token_counts.counted(docs.where("false"), *ranks).count() == 0
+
+
 def test_readers_ignore_what_the_manifest_does_not_list(spark, some_pages, tmp_path):
     rows, df = some_pages
     folder = f"file://{tmp_path}/w"
