@@ -6,31 +6,46 @@ by (doc_id, place in the document), is equal to it or, for lines of at least
 
 1. Equal lines are one, with its earliest place.
 2. A filter without loss: two lines within one edit agree outside a stretch of
-   one of them, so they share a key made of all but one half of the line, and
-   then of all but an eighth.  Only lines that share such a key with another go on.
+   one of them, so they share a key made of all but one half of the line, then of
+   all but an eighth, and so on by quarters while a stretch is longer than
+   ``MAX_HOLE`` characters.  Only lines that share such a key with another go on.
 3. The deletion neighbourhood of those lines, inside the shared stretch: every
    variant with one character deleted, and the line itself, as hashed keys.
    Variants with the place of the deletion in the key join lines that differ by
    a substitution, those without it a line and the lines with one character more.
 4. In each list of equal variants every line is paired with the earliest line
    it can match only, so a list of any length gives no more pairs than lines.
-   The pairs' edit distance is verified on the lines themselves.
+   The pairs are verified on the lines themselves: the edit's kind and place are
+   known, and without it both must be equal.
+
+Keys are counted by grouped minima and maxima, which are combined before the shuffle,
+so a key that very many lines share is no task's burden.  The work on a line grows with
+its length times its logarithm.
 
 Defined results: a line without a visible character is always kept and matches
 nothing; null text stays null; rows without a doc_id are left as they are and are
 compared with nothing; repeated rows of one id tie, and both keep what is theirs;
-other columns are carried through.
+lines of any length are compared whole; an empty table gives an empty one; other
+columns are carried through, where the two counts replace columns of their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import functools
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..scratch import dropped, written
 
 #: Lines' places are broadcast to fetch their texts while there are at most this many; beyond, a shuffled join does.
 MAX_BROADCAST_LINES = 500_000
 
+#: Keys that lines share are broadcast while there are at most this many (16 MB); beyond, a shuffled join does.
+MAX_BROADCAST_KEYS = 1_000_000
+
+#: Characters of the stretch in which variants are made.
+MAX_HOLE = 64
+
 
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
@@ -41,16 +56,22 @@ def _key(line: Column, n: Column, m: Column, a: Column, b: Column) -> Column:
     return F.xxhash64(m, a, F.substring(line, F.lit(1), a), F.substring(line, n - (m - b) + 1, m - b))
 
 
+def _without(line: Column, n: Column, i: Column) -> Column:
+    """A line of n characters without the one at place i."""
+    return F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))
+
+
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
     return rows.select("doc_id", "pos", _trimmed(F.col("raw")).alias("line")).where("line <> ''")
 
 
-def _shared(keys: DataFrame, *names: str) -> DataFrame:
-    """The rows whose key another line has too."""
-    w = Window.partitionBy("key")
-    both = F.min(F.struct("h1", "h2")).over(w) != F.max(F.struct("h1", "h2")).over(w)
-    return keys.withColumn("__shared", both).where("__shared").select(*names)
+def _shared(keys: DataFrame) -> DataFrame:
+    """The rows whose key another line has too, without the key."""
+    dup = written(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"), "keys")
+    if dup.count() <= MAX_BROADCAST_KEYS:
+        dup = F.broadcast(dup)
+    return keys.join(dup, "key", "left_semi").drop("key")
 
 
 def _first_lines(docs: DataFrame, text: str) -> DataFrame:
@@ -59,7 +80,7 @@ def _first_lines(docs: DataFrame, text: str) -> DataFrame:
     lines = _lines(docs, text).withColumn("n", F.length("line"))
     half = lambda m, b: _key(line, n, m, F.when(F.lit(b == 0), F.lit(0)).otherwise((m / 2).cast("int")), F.when(F.lit(b == 0), (m / 2).cast("int")).otherwise(m))
     keys = {f"k{2 * d + b}": half(n - d, b) for d in (0, 1) for b in (0, 1)}
-    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(7)).alias("h2"), "n", F.struct("doc_id", "pos").alias("at"), *(v.alias(k) for k, v in keys.items()))
+    hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "n", F.struct("doc_id", "pos").alias("at"), *(v.alias(k) for k, v in keys.items()))
     firsts = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", *keys)))
     return firsts.select("h1", "h2", "n", "at.doc_id", "at.pos", *keys)
 
@@ -78,43 +99,52 @@ def _near(docs: DataFrame, firsts: DataFrame, text: str, min_chars: int) -> Data
     # halves: hole b of class m, where m is the length of the shorter line of a pair
     holes = F.explode(F.array(*(F.struct(F.col(f"k{2 * d + b}").alias("key"), F.lit(d).alias("d"), F.lit(b).alias("b")) for d in (0, 1) for b in (0, 1))))
     halves = firsts.where(F.col("n") >= min_chars).select("h1", "h2", "n", "doc_id", "pos", holes.alias("x")).select("h1", "h2", "n", "doc_id", "pos", "x.*")
-    halves = _shared(halves, "h1", "h2", "n", "doc_id", "pos", "d", "b")
+    halves = _shared(halves)
     wanted = written(halves.groupBy("h1", "h2", "n", "doc_id", "pos").agg(F.collect_set(F.struct("d", "b")).alias("holes")), "halves")
     lines = written(_texts(docs, wanted, text).select("h1", "h2", "n", "doc_id", "pos", "line", "holes"), "lines")
-    # the shared half in four stretches [a, z) of class m
-    each = lines.select("h1", "h2", "n", "doc_id", "pos", "line", F.explode("holes").alias("x")).withColumn("m", F.col("n") - F.col("x.d"))
+    # the shared stretch [a, z) of class m, in four again while it is long
     start = F.when(F.col("x.b") == 0, F.lit(0)).otherwise((m / 2).cast("int"))
     end = F.when(F.col("x.b") == 0, (m / 2).cast("int")).otherwise(m)
-    each = each.withColumns({"lo": start, "hi": end}).withColumn("q", F.explode(F.array(*map(F.lit, range(4)))))
-    cut = lambda q: (F.col("lo") + (F.col("hi") - F.col("lo")) * q / 4).cast("int")
-    each = each.withColumns({"a": cut(F.col("q")), "z": cut(F.col("q") + 1)})
-    eighths = each.select("h1", "h2", "n", "doc_id", "pos", "m", "a", "z", _key(line, n, m, F.col("a"), F.col("z")).alias("key"))
-    eighths = written(_shared(eighths, "h1", "h2", "m", "a", "z"), "eighths")
+    stretches = lines.select("h1", "h2", "n", F.explode("holes").alias("x")).withColumn("m", F.col("n") - F.col("x.d")).withColumns({"a": start, "z": end}).drop("x")
+    texts, short = lines.select("h1", "h2", "line"), []
+    while True:
+        cut = lambda q: (F.col("a") + (F.col("z") - F.col("a")).cast("long") * q / 4).cast("int")
+        parts = stretches.join(texts, ["h1", "h2"]).withColumn("q", F.explode(F.array(*map(F.lit, range(4)))))
+        parts = parts.select("h1", "h2", "n", "m", "line", cut(F.col("q")).alias("a"), cut(F.col("q") + 1).alias("z"))
+        keyed = written(parts.select("h1", "h2", "n", "m", "a", "z", _key(line, n, m, F.col("a"), F.col("z")).alias("key")), "keyed")
+        parts = written(_shared(keyed), "stretches")
+        dropped(keyed)
+        short.append(parts.where(F.col("z") - F.col("a") <= MAX_HOLE))
+        stretches = parts.where(F.col("z") - F.col("a") > MAX_HOLE)
+        if stretches.isEmpty():
+            break
+    eighths = functools.reduce(DataFrame.unionByName, short).select("h1", "h2", "m", "a", "z")
     # the neighbourhood inside the stretch
     inside = lines.select("h1", "h2", "n", "doc_id", "pos", "line").join(eighths, ["h1", "h2"])
     gone = lambda i: F.xxhash64(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))
-    substituted = F.transform(F.sequence(F.col("a"), F.col("z") - 1), lambda i: F.struct(F.xxhash64(F.lit(2), m, i, gone(i)).alias("key"), F.lit(2).alias("role")))
-    itself = F.array(F.struct(F.xxhash64(F.lit(1), m, F.xxhash64("line")).alias("key"), F.lit(0).alias("role")))
-    shorter = F.transform(
-        F.sequence(F.col("a"), F.col("z")),
-        lambda i: F.struct(F.xxhash64(F.lit(1), m, F.xxhash64(F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n)))).alias("key"), F.lit(1).alias("role")),
-    )
+    variant = lambda key, role, i: F.struct(key.alias("key"), F.lit(role).alias("role"), i.alias("i"))
+    substituted = F.transform(F.sequence(F.col("a"), F.col("z") - 1), lambda i: variant(F.xxhash64(F.lit(2), m, i, gone(i)), 2, i))
+    itself = F.array(variant(F.xxhash64(F.lit(1), m, F.xxhash64("line")), 0, F.lit(-1)))
+    shorter = F.transform(F.sequence(F.col("a"), F.col("z")), lambda i: variant(F.xxhash64(F.lit(1), m, F.xxhash64(_without(line, n, i))), 1, i))
     of_class = F.when(n > m, shorter).when(F.col("a") < F.col("z"), F.concat(itself, substituted)).otherwise(itself)
-    variants = inside.select("h1", "h2", F.struct("doc_id", "pos", "h1", "h2").alias("at"), F.explode(of_class).alias("x")).select("h1", "h2", "at", "x.*").distinct()
-    w = Window.partitionBy("key")
-    least = lambda role: F.min(F.when(F.col("role") == role, F.col("at"))).over(w)
-    paired = variants.withColumns({"with_sub": least(2), "with_self": least(0), "with_longer": least(1)})
+    variants = inside.select("h1", "h2", "doc_id", "pos", F.explode(of_class).alias("x")).groupBy("h1", "h2", "doc_id", "pos", "x.key", "x.role").agg(F.min("x.i").alias("i"))
+    variants = written(variants.select("key", "role", "i", F.struct("doc_id", "pos", "h1", "h2", "i").alias("at")), "variants")
+    least = lambda role: F.min(F.when(F.col("role") == role, F.col("at")))
+    firsts_of = variants.groupBy("key").agg(least(2).alias("with_sub"), least(0).alias("with_self"), least(1).alias("with_longer"))
     partner = F.when(F.col("role") == 2, F.col("with_sub")).when(F.col("role") == 1, F.col("with_self")).otherwise(F.col("with_longer"))
-    pairs = paired.withColumn("partner", partner).where("partner is not null and (partner.doc_id, partner.pos) < (at.doc_id, at.pos)")
-    pairs = pairs.select("h1", "h2", F.col("partner.h1").alias("p1"), F.col("partner.h2").alias("p2")).distinct()
-    other = lines.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("earlier"))
-    verified = pairs.join(lines.select("h1", "h2", "line"), ["h1", "h2"]).join(other, ["p1", "p2"]).where(F.levenshtein("line", "earlier", 1) >= 0)
+    pairs = variants.join(firsts_of, "key").withColumn("partner", partner).where("partner is not null and (partner.doc_id, partner.pos) < (at.doc_id, at.pos)")
+    pairs = pairs.select("at.h1", "at.h2", F.col("partner.h1").alias("p1"), F.col("partner.h2").alias("p2"), "role", "i", F.col("partner.i").alias("pi")).distinct()
+    # the edit is known by its kind and place: equal without it
+    other, earlier = lines.select(F.col("h1").alias("p1"), F.col("h2").alias("p2"), F.col("line").alias("earlier")), F.col("earlier")
+    mine = F.when(F.col("role") == 0, line).otherwise(_without(line, F.length("line"), F.col("i")))
+    theirs = F.when(F.col("role") == 1, earlier).otherwise(_without(earlier, F.length("earlier"), F.col("pi")))
+    verified = pairs.join(lines.select("h1", "h2", "line"), ["h1", "h2"]).join(other, ["p1", "p2"]).where(mine == theirs)
     near = written(verified.select("h1", "h2").distinct(), "near")
-    dropped(wanted, lines, eighths)
+    dropped(wanted, lines, variants)
     return near
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, max_edits: int = 1, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = 0, max_edits: int = 1, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """``docs`` with n_lines, n_dropped (in place of columns of these names), and their text without the lines that an earlier line matches.
 
     ``max_edits`` is 0 (equal lines only) or 1.
@@ -124,7 +154,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", min_chars: int = 20, max_ed
     firsts = written(_first_lines(docs, text), "firsts")
     stay = firsts
     if max_edits:
-        stay = firsts.join(_near(docs, firsts, text, max(2, min_chars)), ["h1", "h2"], "left_anti")
+        stay = firsts.join(_near(docs, firsts, text, min_chars), ["h1", "h2"], "left_anti")
     kept = stay.groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_list(F.struct("pos", "h1"))).alias("__kept"))
     joined = docs.join(kept, F.col("doc_id") == F.col("__id"), "left")
     joined = joined.withColumn("__lines", F.split(F.col(text), "\n"))

@@ -55,15 +55,21 @@ SELECT page_id, host, path, rule,
 FROM u LEFT JOIN best USING (page_id)
 """
 
-OP4 = r"""
+# levenshtein() counts bytes: it only rules out; equal characters from either end tell one edit
+_SAME = "(list_position(list_transform(list_zip({a}, {b}), lambda z: coalesce(z[1] = z[2], false)), false) - 1)"
+_AHEAD = _SAME.format(a="string_split(x.t, '')", b="string_split(y.t, '')")
+_BEHIND = _SAME.format(a="list_reverse(string_split(x.t, ''))", b="list_reverse(string_split(y.t, ''))")
+
+OP4 = rf"""
 WITH raw AS (
   SELECT doc_id, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL))),
 l AS (SELECT doc_id, pos, line, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS t FROM raw),
 f AS (SELECT t, min((doc_id, pos)) AS spot, length(t) AS n FROM l WHERE t <> '' GROUP BY t),
 k AS (
-  SELECT t, spot, n, m, left(t, (m // 2)::INT) AS half, 0 AS b FROM f, unnest([n, n - 1]) AS x(m) WHERE n >= 20
-  UNION ALL SELECT t, spot, n, m, right(t, (m - m // 2)::INT) AS half, 1 AS b FROM f, unnest([n, n - 1]) AS x(m) WHERE n >= 20),
-near AS (SELECT DISTINCT y.t FROM k x JOIN k y ON x.m = y.m AND x.b = y.b AND x.half = y.half AND x.spot < y.spot AND (x.n = x.m OR y.n = y.m) AND levenshtein(x.t, y.t) <= 1),
+  SELECT t, spot, n, m, left(t, (m // 2)::INT) AS half, 0 AS b FROM f, unnest([n, n - 1]) AS x(m)
+  UNION ALL SELECT t, spot, n, m, right(t, (m - m // 2)::INT) AS half, 1 AS b FROM f, unnest([n, n - 1]) AS x(m)),
+near AS (SELECT DISTINCT y.t FROM k x JOIN k y ON x.m = y.m AND x.b = y.b AND x.half = y.half AND x.spot < y.spot AND (x.n = x.m OR y.n = y.m) AND levenshtein(x.t, y.t) <= 4
+  AND {_AHEAD} + {_BEHIND} >= greatest(x.n, y.n) - 1),
 kept AS (SELECT l.*, t = '' OR ((doc_id, pos) = f.spot AND near.t IS NULL) AS stays FROM l LEFT JOIN f USING (t) LEFT JOIN near USING (t)),
 per_doc AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, string_agg(line, chr(10) ORDER BY pos) FILTER (stays) AS text FROM kept GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(p.text, '') END AS text

@@ -24,7 +24,7 @@ def trimmed(line):
     return line.strip(" \t\r\x0b\x0c")
 
 
-def expected_lines(rows, min_chars=20, max_edits=1):
+def expected_lines(rows, min_chars=0, max_edits=1):
     first = {}
     for d, t in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
         for p, line in enumerate(t.split("\n")):
@@ -56,10 +56,31 @@ def test_lines_against_brute_force(spark):
         rows.append((d, "\n".join(lines)))
     rows += [(200, None), (None, rows[0][1]), (201, ""), (3, rows[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for edits in (1, 0):
-        got = line_dedup.dedup_lines(df, max_edits=edits).select("doc_id", "n_lines", "n_dropped", "text").collect()
+    for kw in ({}, {"min_chars": 20}, {"max_edits": 0}):
+        got = line_dedup.dedup_lines(df, **kw).select("doc_id", "n_lines", "n_dropped", "text").collect()
         key = lambda r: (r[0] is None, r[0], r[1])
-        assert sorted((tuple(r) for r in got), key=key) == sorted(expected_lines(rows, max_edits=edits), key=key)
+        assert sorted((tuple(r) for r in got), key=key) == sorted(expected_lines(rows, **kw), key=key)
+
+
+@pytest.mark.parametrize("bound", ["MAX_BROADCAST_KEYS", "MAX_BROADCAST_LINES"])
+def test_lines_beyond_the_broadcast_bounds(spark, monkeypatch, bound):
+    monkeypatch.setattr(line_dedup, bound, 0)
+    rows = [(i, f"a line of the kind {i % 7}{i % 5}\nx{i % 3}\n{'same half of them ' * 3}{i}") for i in range(60)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: t for d, _, _, t in expected_lines(rows)}
+
+
+def test_short_lines(spark):
+    rows = [(i, t) for i, t in enumerate(["a", "b", "ab", "abc", "xyz", "é", "xz", "z", "abcd ", " abcd", "漢字", "漢", "a\nb\na"])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: t for d, _, _, t in expected_lines(rows)}
+
+
+def test_time_on_a_long_line_is_no_square(spark):
+    text = "".join(random.Random(3).choices("abcdefgh ", k=1_000_000))
+    rows = [(0, text), (1, text[:400_000] + "Q" + text[400_001:]), (2, text[:-3] + "q" + text[-3:]), (3, text[:10] + "QQ" + text[12:])]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0}
 
 
 def test_lines_plan_is_native(spark, docs):
