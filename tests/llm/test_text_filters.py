@@ -192,13 +192,13 @@ def test_html_long_page_and_empty_table(spark):
 def glob_regex(p):
     host, slash, path = p.partition("/")
     g = lambda s: "".join({"*": "(?s:.*)", "?": "(?s:.)"}.get(c, re.escape(c)) for c in s)
-    return re.compile(g(host) + "\0" + (g(slash + path) if slash else "(?s:.*)") + r"\Z")
+    return re.compile((g(host).replace("(?s:.", "(?s:[^\0]") + "\0" + (g(slash + path) if slash else "(?s:.*)") + r"\Z"))
 
 
 def test_automaton_against_regex():
     patterns = ["*casino*", "a?c*/x*y", "*", "*.com/*", "exact.org/", "*a*b*c*", "?*", "*" + "long" * 40 + "*", "x*/a*"]
-    texts = [b"www.casino.org\0/x", b"abcd\0/xzzy", b"abcd\0/xzz", b"exact.org\0/", b"exact.org\0", b"a1b2c3\0", b"\0", b"x.com\0/", ("z" + "long" * 40).encode() + b"\0/q", b"xa\0/ab", b"casino\0"]
-    got = url_filter.Automaton([url_filter.of_pattern(p) for p in patterns]).match(texts)
+    texts = [b"www.casino.org\0/x", b"abcd\0/xzzy", b"abcd\0/xzz", b"exact.org\0/", b"exact.org\0", b"a1b2c3\0", b"\0", b"x.com\0/", ("z" + "long" * 40).encode() + b"\0/q", b"xa\0/ab", b"casino\0", b"a\0/b/casino"]
+    got = url_filter.Automaton([url_filter.of_pattern(p) for p in patterns]).match([t.replace(b"\0", b"\xff") for t in texts])
     for i, t in enumerate(texts):
         for j, p in enumerate(patterns):
             assert got[i, j] == bool(glob_regex(p).match(t.decode())), (t, p)
@@ -224,6 +224,64 @@ def test_url_verdicts(spark):
     assert got == {i: u[1:] for i, u in enumerate(urls)}
 
 
+def test_many_patterns_go_in_blocks(spark, monkeypatch):
+    rules = (*url_filter.RULES, *(url_filter.Rule("block", f"host{i}.net/p{i}") for i in range(300)))
+    blocked = (*url_filter.BLOCKED, *(f"*bad{i}x*" for i in range(300)))
+    urls = ["http://shop.example.com/en/7a", "http://com/en/8", "http://a.host17.net/p17/x", "http://host299.net/p299", "http://host299.net/p29", "http://is-bad211x.org/", "http://is-bad211.org/", "http://x.org/bad211x", "http://q/" + "long/" * 400, "http://a\0b-casino/x", None]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(0, urls[0])], "page_id long, url string")
+    whole = sorted(map(tuple, url_filter.filter_urls(df, rules, blocked).select("page_id", F.coalesce("rule", F.lit("-")), "verdict").collect()))
+    monkeypatch.setattr(url_filter, "BLOCK_WORDS", 20)
+    assert len(url_filter.automata([url_filter.of_pattern(b) for b in blocked])) > 1
+    assert sorted(map(tuple, url_filter.filter_urls(df, rules, blocked).select("page_id", F.coalesce("rule", F.lit("-")), "verdict").collect())) == whole
+    want = ["example.com/en/7", "com/en/", "host17.net/p17", "host299.net/p299", "-", "-", "-", "-", "-", "-", "-"]
+    assert [r for _, r, _ in whole[1:]] == want
+    assert [v for _, _, v in whole[1:]] == ["allow", "block", "block", "block", "allow", "block", "allow", "allow", "allow", "block", "allow"]
+    assert url_filter.filter_urls(df.where("false")).count() == 0
+
+
+def brute_force_language(model, text):
+    """Shares by plain expectation-maximisation over every set of languages, grown as the penalty allows."""
+    import itertools
+    import math
+
+    cells = Counter(langid.trigrams(__import__("numpy").frombuffer(text.encode(), dtype="uint8")).tolist())
+    total = sum(cells.values())
+
+    def fitted(chosen):
+        share = [1 / len(chosen)] * len(chosen)
+        likely = {c: [math.exp(model.log_p[c, k]) for k in chosen] for c in cells}
+        for _ in range(100):
+            grown = [0.0] * len(chosen)
+            for c, n in cells.items():
+                p = [s * x for s, x in zip(share, likely[c])]
+                for j, x in enumerate(p):
+                    grown[j] += n * x / sum(p)
+            share = [x / total for x in grown]
+        value = sum(n * math.log(sum(s * math.exp(model.log_p[c, k]) for s, k in zip(share, chosen))) for c, n in cells.items())
+        return value - (len(chosen) - 1) * model.penalty * 0.5 * math.log(total), dict(zip(chosen, share))
+
+    sets = [s for k in range(1, len(model.languages) + 1) for s in itertools.combinations(range(len(model.languages)), k)]
+    return max(map(fitted, sets), key=lambda x: x[0])[1]
+
+
+def test_language_mixtures_against_brute_force():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(8)
+    words = {"aa": "kato mila soru tane".split(), "bb": "whix thunq drelp snarf".split(), "cc": "oui'la béna çoté dûme".split()}
+    counts = np.zeros((3, langid.CELLS))
+    for k, said in enumerate(words.values()):
+        counts[k] = np.bincount(langid.trigrams(np.frombuffer(" ".join(rng.choices(said, k=3000)).encode(), dtype=np.uint8)), minlength=langid.CELLS)
+    model = langid.Mixture(sorted(words), counts)
+    for shares in ((60, 0, 0), (40, 25, 0), (0, 30, 30), (20, 20, 20), (1, 0, 0), (50, 1, 0), (3, 3, 0)):
+        text = " ".join(w for said, n in zip(words.values(), shares) for w in rng.choices(said, k=n))
+        got, want = model.shares(np.frombuffer(text.encode(), dtype=np.uint8)), brute_force_language(model, text)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 0.02 for k in want), (shares, got, want)
+        assert model.predict(text)[0] == model.languages[max(want, key=lambda k: (round(want[k], 2), -k))]
+
+
 @pytest.fixture(scope="module")
 def model(docs):
     return langid.fit(docs.where(~langid.held_out()))
