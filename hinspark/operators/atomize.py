@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..scratch import written
 from .linalg import normalized_bow, normalized_numeric
 
 
@@ -11,10 +12,11 @@ def dense_ids(values: DataFrame, key: str) -> DataFrame:
     """(key, nid): ids from 0 in the order of the keys.
 
     Two passes: counts of range partitions, then places inside them, so no
-    single task numbers everything.
+    single task numbers everything.  Written between the passes: bounds of ranges
+    are sampled, so ranges made twice may differ.
     """
     sorted_ = values.select(key).distinct().where(F.col(key).isNotNull()).repartitionByRange(key).sortWithinPartitions(key)
-    tagged = sorted_.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()})
+    tagged = written(sorted_.withColumns({"__p": F.spark_partition_id(), "__i": F.monotonically_increasing_id()}), "ids")
     parts = tagged.groupBy("__p").agg(F.count("*").alias("n"), F.min("__i").alias("first"))
     starts = parts.select("__p", "first", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     return tagged.join(F.broadcast(starts), "__p").select(key, (F.col("start") + F.col("__i") - F.col("first")).alias("nid"))  # a row for each partition

@@ -132,12 +132,29 @@ def training_labels(nodes: DataFrame) -> DataFrame:
 def label_features(adjs: dict[CEType, DataFrame], path: Metapath, labels: DataFrame) -> DataFrame:
     """A·Y − diag(A)·Y over a closed metapath of two edges at least: no node sees its own label.
 
-    Dropping the diagonal of the product is the same as subtracting it.
+    The product A is never made: labels go along the metapath edge by edge, and what
+    comes back to its own node is taken off by the diagonal.  Paths are counted
+    beside the weights, so a cell that only its own node's paths reach is left out.
     """
     steps = [c for c in path if not c.is_self_loop]
     if len(steps) < 2 or steps[0].src != steps[-1].dst:
         raise ValueError("labels go along closed metapaths of two edges at least")
-    return linalg.apply(metapath_adjacency(adjs, path).where("dst <> src"), labels)
+    one = F.lit(1).cast("long").alias("n")
+    reached = labels.select("nid", "slot", "col", "val", one)
+    for c in steps:
+        joined = adjs[c].join(reached, F.col("src") == F.col("nid"))
+        reached = joined.groupBy(F.col("dst").alias("nid"), "slot", "col").agg(F.sum(F.col("w") * F.col("val")).alias("val"), F.sum("n").alias("n"))
+    # paths from labelled nodes up to the last edge, which must lead back
+    ahead = adjs[steps[0]].join(labels.select(F.col("nid").alias("src")).distinct(), "src", "left_semi").select("dst", "src", "w", one)
+    for c in steps[1:-1]:
+        mid = ahead.select(F.col("dst").alias("mid"), F.col("src").alias("start"), F.col("w").alias("w1"), "n")
+        ahead = adjs[c].join(mid, F.col("src") == F.col("mid")).groupBy("dst", F.col("start").alias("src")).agg(F.sum(F.col("w") * F.col("w1")).alias("w"), F.sum("n").alias("n"))
+    back = adjs[steps[-1]].select(F.col("dst").alias("nid"), F.col("src").alias("mid"), F.col("w").alias("w2"))
+    back = back.join(ahead.select(F.col("dst").alias("mid"), F.col("src").alias("nid"), "w", "n"), ["nid", "mid"])
+    back = back.groupBy("nid").agg(F.sum(F.col("w2") * F.col("w")).alias("w"), F.sum("n").alias("own_n"))
+    own = labels.join(back, "nid").select("nid", "slot", "col", (F.col("w") * F.col("val")).alias("own"), "own_n")
+    both = reached.join(own, ["nid", "slot", "col"], "left").where("own_n is null or n > own_n")
+    return both.select("nid", "slot", "col", (F.col("val") - F.coalesce("own", F.lit(0.0))).alias("val"))
 
 
 def metapath_pattern(graph: HinGraph, paths: list[list[str | tuple]]) -> DataFrame:

@@ -214,3 +214,24 @@ def test_refinement_propagates_before_edges_go(g):
     with pytest.raises(ValueError):
         Selection.of_point(g, {"term": 0}, {})
     assert len(list(points(["a"], ["b"]))) == 2
+
+
+def test_dense_ids_do_not_depend_on_the_plan(spark):
+    keys = spark.range(20_000).selectExpr("sha1(string(id)) as k", "id")
+    for name, value in (("spark.sql.exchange.reuse", "false"), ("spark.sql.adaptive.enabled", "false"), ("spark.sql.adaptive.coalescePartitions.enabled", "false")):
+        spark.conf.set(name, value)
+        try:
+            got = [r["k"] for r in atomize.dense_ids(keys, "k").orderBy("nid").collect()]
+        finally:
+            spark.conf.unset(name)
+        assert got == sorted(got) and len(got) == 20_000
+    assert [r["nid"] for r in atomize.dense_ids(keys, "k").select("nid").orderBy("nid").collect()] == list(range(20_000))
+
+
+def test_labels_along_longer_closed_paths(spark, g):
+    adjs = {c: norm(g, c) for c in g.edges}
+    labels = spark.createDataFrame([(0, "label", 0, 1.0), (1, "label", 1, 1.0)], features.LONG)
+    path = (WRITES, CONTAINS, IS_IN, WRITTEN)
+    dense = {(r["dst"], r["src"]): r["w"] for r in propagate.metapath_adjacency(adjs, path).collect()}
+    want = {(d, s): round(w, 6) for (d, s), w in dense.items() if d != s and s in (0, 1)}
+    assert cells(propagate.label_features(adjs, path, labels), "nid", "col", "val") == want
