@@ -21,6 +21,16 @@ def l2_normalized(a: Column, eps: float = 1e-12) -> Column:
     return F.transform(a, lambda x: x.cast("double") / size)
 
 
+def z_scored(a: Column) -> Column:
+    """(a - mean) / sample deviation; an array of fewer than two numbers, or of equal ones, becomes zeros."""
+    n = F.size(a)
+    mean = F.try_divide(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")), n)
+    # bound as a lambda's argument, mean and deviation are made once for an array
+    squares = lambda m: F.aggregate(a, F.lit(0.0), lambda s, x: s + (x.cast("double") - m) * (x.cast("double") - m))
+    stats = F.transform(F.array(mean), lambda m: F.struct(m.alias("m"), F.sqrt(F.try_divide(squares(m), n - 1)).alias("d")))
+    return F.flatten(F.transform(stats, lambda t: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double") - t["m"], t["d"]), F.lit(0.0)))))
+
+
 def bilinear(a: Column, w: list[list[float]], b: Column) -> Column:
     """aᵀ W b, W given as rows."""
     rows = F.array(*(F.array(*map(F.lit, row)) for row in w))
@@ -52,6 +62,11 @@ def leaky_relu(x: Column, slope: float = 0.01) -> Column:
     return F.when(x >= 0, x).otherwise(x * slope)
 
 
+def prelu(x: Column, slope: Column) -> Column:
+    """Leaky relu whose slope is learned, so a column."""
+    return F.when(x >= 0, x).otherwise(x * slope)
+
+
 def elu(x: Column, alpha: float = 1.0) -> Column:
     return F.when(x > 0, x).otherwise(alpha * F.expm1(x))
 

@@ -138,6 +138,12 @@ def pseudo_labels(logits: DataFrame, threshold: float) -> DataFrame:
     return best.select("nid", F.col("b.cls").alias("pred"), F.col("b.p").alias("p")).where(F.col("p") > threshold)
 
 
+def refreshed_labels(logits: DataFrame, threshold: float) -> DataFrame:
+    """Class probabilities as label features (nid, slot, col, val): those below the threshold count 0 and are left out."""
+    p = softmax(logits, ["nid"], "logit", "p").where(F.col("p") >= threshold)
+    return p.select("nid", F.lit("label").alias("slot"), F.col("cls").cast("int").alias("col"), F.col("p").alias("val"))
+
+
 def cross_entropy(logits: DataFrame) -> DataFrame:
     """One row ``loss``: mean over nodes of log-sum-exp minus the true class's logit; of (nid, cls, logit, y)."""
     top = logits.groupBy("nid").agg(F.max("logit").alias("m"))

@@ -565,6 +565,27 @@ def pseudo_labels(spark, sf_dir):
     return evaluate.pseudo_labels(logits(spark, sf_dir), 0.3).select("nid", "pred", rounded("p").alias("p"))
 
 
+@query(f"WITH {_LOGITS}, p AS (SELECT nid, cls, exp(logit) / sum(exp(logit)) OVER (PARTITION BY nid) AS p FROM g) SELECT nid, cls::BIGINT AS col, round(p + 1e-9, 6) AS val FROM p WHERE p >= 0.2")
+def refreshed_labels(spark, sf_dir):
+    return evaluate.refreshed_labels(logits(spark, sf_dir), 0.2).select("nid", F.col("col").cast("long").alias("col"), rounded("val").alias("val"))
+
+
+_PART_ROW = "[p_size::DOUBLE, p_retailprice / 100, length(p_name)::DOUBLE, length(p_type)::DOUBLE]"
+
+
+@query(f"SELECT p_partkey AS nid, i - 1 AS col, round(coalesce((r[i] - list_avg(r)) / nullif(list_stddev_samp(r), 0), 0) + 1e-9, 6) AS z FROM (SELECT p_partkey, {_PART_ROW} AS r, unnest(range(1, 5)) AS i FROM part)")
+def row_z_score(spark, sf_dir):
+    row = F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100, F.length("p_name").cast("double"), F.length("p_type").cast("double"))
+    cells = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("nid"), F.posexplode(vectors.z_scored(row)).alias("col", "z"))
+    return cells.select("nid", F.col("col").cast("long").alias("col"), rounded("z").alias("z"))
+
+
+@query("SELECT c_custkey AS nid, round(CASE WHEN c_acctbal >= 0 THEN c_acctbal ELSE c_acctbal * 0.01 * (1 + c_nationkey) END + 1e-9, 6) AS x FROM customer")
+def prelu_by_nation(spark, sf_dir):
+    slope = (F.col("c_nationkey") + 1) * 0.01
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("nid"), rounded(vectors.prelu(F.col("c_acctbal"), slope)).alias("x"))
+
+
 @query(f"WITH {_LOGITS} SELECT round(avg(l) + 1e-9, 6) AS loss FROM (SELECT nid, ln(sum(exp(logit))) - max(logit) FILTER (cls = label) AS l FROM g GROUP BY nid)")
 def cross_entropy_loss(spark, sf_dir):
     return evaluate.cross_entropy(logits(spark, sf_dir).withColumnRenamed("label", "y")).select(rounded("loss").alias("loss"))

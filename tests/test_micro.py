@@ -235,3 +235,11 @@ def test_labels_along_longer_closed_paths(spark, g):
     dense = {(r["dst"], r["src"]): r["w"] for r in propagate.metapath_adjacency(adjs, path).collect()}
     want = {(d, s): round(w, 6) for (d, s), w in dense.items() if d != s and s in (0, 1)}
     assert cells(propagate.label_features(adjs, path, labels), "nid", "col", "val") == want
+
+
+def test_z_scores_of_odd_rows(spark):
+    from hinspark.functions import vectors
+
+    rows = [([1.0, 2.0, 3.0],), ([5.0, 5.0],), ([7.0],), ([],), (None,)]
+    got = [r["z"] for r in spark.createDataFrame(rows, "a array<double>").select(vectors.z_scored(F.col("a")).alias("z")).collect()]
+    assert got == [[-1.0, 0.0, 1.0], [0.0, 0.0], [0.0], [], None]
