@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import arrays
 from .components import components
@@ -212,15 +212,19 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     groups = some.groupBy("n", "p1", "p2").agg(F.min("rid").alias("gid"), F.first("prefix").alias("prefix"))
     classes = written(classes, "classes")
 
-    # lists of the groups that share a prefix shingle; most shingles have one group and go
-    by_shingle = Window.partitionBy("shingle").orderBy("pos", "n", "gid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    lists = groups.select("gid", "n", "p1", "p2", F.posexplode("prefix").alias("pos", "shingle"))
-    lists = lists.select("*", F.first(F.struct("gid", "n", "pos")).over(by_shingle).alias("lead"), F.last("gid").over(by_shingle).alias("last"))
-    lists = written(lists.where("lead.gid <> last").drop("last"), "lists")
+    # lists of the groups that share a prefix shingle; most shingles are in one document's prefix and go.  Counts are
+    # added up before they are shuffled and joined back, so no task has to hold or sort a whole list
+    shared = some.select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("docs")).where("docs > 1").select("shingle")
+    lists = groups.select("gid", "n", "p1", "p2", F.posexplode("prefix").alias("pos", "shingle")).join(shared, "shingle", "left_semi")
+    lists = written(lists, "lists")
 
     # one leader for each list, the first class for each group
-    star = lists.where("gid <> lead.gid").where(_sizes_fit(F.col("n"), F.col("lead.n"), percent) & _positions_fit(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), percent))
-    star = star.select(F.col("lead.gid").alias("a"), F.col("gid").alias("b"))
+    place = F.shiftleft(F.col("pos").cast("long"), 32) + F.col("n")
+    leads = lists.groupBy("shingle").agg(F.min(place).alias("place"), F.min_by("gid", place).alias("lead"))
+    leads = leads.select("shingle", "lead", F.shiftright("place", 32).alias("lead_pos"), F.col("place").bitwiseAND(F.lit(2**32 - 1)).alias("lead_n"))
+    star = lists.join(leads, "shingle").where("gid <> lead")
+    star = star.where(_sizes_fit(F.col("n"), F.col("lead_n"), percent) & _positions_fit(F.col("n"), F.col("pos"), F.col("lead_n"), F.col("lead_pos"), percent))
+    star = star.select(F.col("lead").alias("a"), F.col("gid").alias("b"))
     same = classes.join(classes.groupBy("n", "p1", "p2").agg(F.min("cid").alias("gid")), ["n", "p1", "p2"]).where("cid <> gid")
     pairs = star.unionByName(same.select(F.col("gid").alias("a"), F.col("cid").alias("b"))).distinct()
     bits = some.join(classes.select("s1", "s2", "cid"), ["s1", "s2"]).where("rid = cid").select("cid", "n", "bits")
@@ -233,9 +237,9 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     placed = written(placed.select("cid", "n", "p1", "p2", "component"), "placed")
     spread = placed.groupBy("n", "p1", "p2").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    listed = lists.drop("lead").join(spread, ["n", "p1", "p2"])
+    listed = lists.join(spread, ["n", "p1", "p2"])
     open_ = listed.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle")
-    rest = lists.drop("lead").join(open_, "shingle", "left_semi").join(placed, ["n", "p1", "p2"]).select("shingle", "pos", "cid", "component", "n")
+    rest = lists.join(open_, "shingle", "left_semi").join(placed, ["n", "p1", "p2"]).select("shingle", "pos", "cid", "component", "n")
     inner = placed.join(spread.where("low <> high").select("n", "p1", "p2"), ["n", "p1", "p2"])
     rest = rest.unionByName(inner.select(F.xxhash64("n", "p1", "p2").alias("shingle"), F.lit(0).alias("pos"), "cid", "component", "n"))
     rest = written(rest.join(bits.select("cid", "bits"), "cid"), "rest")
