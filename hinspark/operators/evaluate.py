@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.vectors import sigmoid
+from ..functions.vectors import bce_with_logits, sigmoid
 from ..scratch import written
 
 
@@ -151,6 +151,42 @@ def cross_entropy(logits: DataFrame) -> DataFrame:
     return per.agg(F.avg("loss").alias("loss"))
 
 
+def soft_label_cross_entropy(logits: DataFrame, confidence: float = 0.0) -> DataFrame:
+    """One row ``loss`` of (nid, cls, logit, y): mean cross-entropy against y over its sum, of nodes with any label.
+
+    ``confidence`` times the mean log-softmax of all cells plus ln(classes) is taken off:
+    the penalty of being too sure.
+    """
+    per = _log_mass(logits)
+    y = F.nullif(F.col("mass"), F.lit(0.0))
+    return _penalised(per.withColumn("loss", F.col("lse") - F.col("hit") / y), confidence)
+
+
+def _log_mass(logits: DataFrame) -> DataFrame:
+    """(nid, lse, hit, mass, cells, total): log-sum-exp, sums of y * logit, of y, of cells and of logits."""
+    top = logits.groupBy("nid").agg(F.max("logit").alias("m"))
+    y = F.col("y").cast("double")
+    return logits.join(top, "nid").groupBy("nid").agg(
+        (F.max("m") + F.log(F.sum(F.exp(F.col("logit") - F.col("m"))))).alias("lse"),
+        F.sum(y * F.col("logit")).alias("hit"),
+        F.sum(y).alias("mass"),
+        F.count("*").alias("cells"),
+        F.sum("logit").alias("total"),
+    )
+
+
+def _penalised(per: DataFrame, confidence: float) -> DataFrame:
+    log_p = F.sum(F.col("total") - F.col("cells") * F.col("lse")) / F.sum("cells")
+    return per.agg((F.avg("loss") - confidence * (log_p + F.log(F.max("cells").cast("double")))).alias("loss"))
+
+
+def binary_cross_entropy(logits: DataFrame, confidence: float = 0.0) -> DataFrame:
+    """One row ``loss`` of (logit, y): mean over cells, less ``confidence`` times the mean of ln p + ln(1 - p) plus ln 4."""
+    sure = -(bce_with_logits(F.col("logit"), F.lit(0.0)) + bce_with_logits(F.col("logit"), F.lit(1.0)))
+    loss = F.avg(bce_with_logits(F.col("logit"), F.col("y").cast("double")))
+    return logits.agg((loss - confidence * (F.avg(sure) + F.log(F.lit(4.0)))).alias("loss"))
+
+
 def node_homophily(pairs: DataFrame, labels: DataFrame, allow_self: bool = False) -> DataFrame:
     """One row: mean over destinations of the share of in-neighbours with the same label; pairs are (dst, src)."""
     pairs = pairs if allow_self else pairs.where("dst <> src")
@@ -195,5 +231,28 @@ def multi_label_edge_homophily(pairs: DataFrame, labels: DataFrame) -> DataFrame
     return j.agg((F.sum(both) / F.sum(either)).alias("homophily"))
 
 
+def multi_label_node_homophily(pairs: DataFrame, labels: DataFrame, mode: str = "pos", allow_self: bool = False) -> DataFrame:
+    """(cls, homophily): mean over nodes of the share of in-neighbours that agree with them on a class.
+
+    ``pos``: of the nodes that have the class, ``neg``: of those that haven't, ``both``:
+    of all.  Labels are arrays of 0 and 1; pairs are (dst, src).  Nodes of any pair
+    count, those without in-neighbours with share 0; with allow_self all nodes do.
+    Neighbours are counted per class and node, so no pair carries its own classes twice.
+    """
+    if mode not in ("pos", "neg", "both"):
+        raise ValueError(mode)
+    pairs = pairs.select("dst", "src") if allow_self else pairs.where("dst <> src").select("dst", "src")
+    cells = labels.select("nid", F.posexplode("label").alias("cls", "y"))
+    have = pairs.join(cells.where("y = 1").select(F.col("nid").alias("src"), "cls"), "src").groupBy("dst", "cls").agg(F.count("*").alias("have"))
+    degree = pairs.join(labels.select(F.col("nid").alias("src")), "src", "left_semi").groupBy("dst").agg(F.count("*").alias("d"))
+    if not allow_self:
+        cells = cells.join(pairs.select(F.explode(F.array("dst", "src")).alias("nid")).distinct(), "nid", "left_semi")
+    all_ = cells.join(degree.withColumnRenamed("dst", "nid"), "nid", "left").join(have.withColumnRenamed("dst", "nid"), ["nid", "cls"], "left")
+    have_, d = F.coalesce("have", F.lit(0)), F.coalesce("d", F.lit(0))
+    share = F.coalesce(F.try_divide(F.when(F.col("y") == 1, have_).otherwise(d - have_), d), F.lit(0.0))
+    counted = {"pos": F.col("y") == 1, "neg": F.col("y") == 0, "both": F.lit(True)}[mode]
+    return all_.where(counted).groupBy("cls").agg(F.avg(share).alias("homophily"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import dot, l2_normalized, leaky_relu, matvec
+from ..functions.vectors import dot, gelu, l2_normalized, leaky_relu, matvec
 from ..types import CEType
 from .evaluate import softmax
 
@@ -71,6 +71,62 @@ def gat_conv(edges: DataFrame, nodes: DataFrame, left: list[float], right: list[
     return vector_sum(sent, "dst", "h", F.col("a")).withColumnRenamed("dst", "nid")
 
 
+def _per_head(h: Column, w: list[list[list[float]]]) -> Column:
+    """The vector's slice of each head as a row, times that head's matrix; one array per head."""
+    width = len(w[0])
+    turned = [[list(column) for column in zip(*m, strict=True)] for m in w]
+    return F.array(*(matvec(m, F.slice(h, i * width + 1, width)) for i, m in enumerate(turned)))
+
+
+def typed_attention(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame], dst: str, query: list[list[float]], key: dict[str, list[list[float]]], relation: dict[CEType, list[list[list[float]]]], prior: dict[CEType, list[float]]) -> DataFrame:
+    """(dst, src, etype, head, a): attention of one node type's nodes over all their in-edges, whatever the edge type.
+
+    A score is query · (key · relation matrix) of a head, times the relation's prior,
+    over the root of the head's width; softmax is over a node's edges of all types.
+    Keys meet the relation matrix at their nodes, before they are joined to edges.
+    ``etype`` is the place of the edge type in ``edges``.
+    """
+    width = len(next(iter(relation.values()))[0])
+    heads = len(query) // width
+    asked = nodes[dst].select(F.col("nid").alias("dst"), matvec(query, F.col("h")).alias("q"))
+    scored = None
+    for i, (c, e) in enumerate(edges.items()):
+        if c.dst != dst:
+            continue
+        keys = nodes[c.src].select(F.col("nid").alias("src"), matvec(key[c.src], F.col("h")).alias("k")).select("src", _per_head(F.col("k"), relation[c]).alias("k"))
+        both = e.select("src", "dst", *(["weight"] if "weight" in e.columns else [])).join(keys, "src").join(asked, "dst")
+        weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in e.columns else F.lit(1.0)
+        x = F.array(*(dot(F.slice("q", h * width + 1, width), F.get("k", h)) * (prior[c][h] / width**0.5) * weight for h in range(heads)))
+        part = both.select("dst", "src", F.lit(i).alias("etype"), F.posexplode(x).alias("head", "x"))
+        scored = part if scored is None else scored.unionByName(part)
+    return softmax(scored, ["dst", "head"], "x", "a").select("dst", "src", "etype", "head", "a")
+
+
+def hgt_conv(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame], dst: str, query: list[list[float]], key: dict[str, list[list[float]]], value: dict[str, list[list[float]]], relation: dict[CEType, list[list[list[float]]]], message: dict[CEType, list[list[list[float]]]], prior: dict[CEType, list[float]], out: list[list[float]], skip: float) -> DataFrame:
+    """Typed attention over messages, then gelu(out · sum), mixed with the node's own vector by a gate, sigmoid(skip).
+
+    A node without in-edges has a sum of zeros.
+    """
+    import math
+
+    attention = typed_attention(edges, nodes, dst, query, key, relation, prior)
+    sent = None
+    for i, c in enumerate(edges):
+        if c.dst != dst:
+            continue
+        said = nodes[c.src].select(F.col("nid").alias("src"), matvec(value[c.src], F.col("h")).alias("v")).select("src", F.posexplode(_per_head(F.col("v"), message[c])).alias("head", "m"))
+        part = attention.where(F.col("etype") == i).join(said, ["src", "head"]).select("dst", "a", F.struct("head", "m").alias("s"))
+        sent = part if sent is None else sent.unionByName(part)
+    width = len(next(iter(message.values()))[0])
+    cells = sent.select("dst", "a", F.col("s.head").alias("head"), F.posexplode("s.m").alias("i", "m"))
+    sums = cells.groupBy("dst", (F.col("head") * width + F.col("i")).alias("i")).agg(F.sum(F.col("a") * F.col("m")).alias("v"))
+    joined = sums.groupBy("dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("s"))
+    gate = 1 / (1 + math.exp(-skip))
+    mixed = nodes[dst].join(joined, F.col("nid") == F.col("dst"), "left")
+    s = F.coalesce("s", F.array_repeat(F.lit(0.0), len(query)))
+    return mixed.select("nid", F.zip_with(matvec(out, s), F.col("h"), lambda x, y: gelu(x) * gate + y.cast("double") * (1 - gate)).alias("h"))
+
+
 def attention_residual(now: Column, before: Column | None, alpha: float) -> Column:
     return now if before is None else now * (1 - alpha) + before * alpha
 
@@ -156,3 +212,21 @@ def top_metapaths(weights: DataFrame, n: int | None = None, mix: float | None =
         return p.orderBy(F.desc("p"), "mp").limit(n)
     ends = p.agg(F.max("p").alias("hi"), F.min("p").alias("lo"))
     return p.crossJoin(F.broadcast(ends)).where(F.col("p") >= mix * F.col("hi") + (1 - mix) * F.col("lo")).drop("hi", "lo")  # one row
+
+
+def weighted_metapaths(per_path: DataFrame, weights: DataFrame) -> DataFrame:
+    """(nid, slot, col, val): features of all metapaths added up by the weights (mp, weight); one without weight counts nothing."""
+    used = per_path.join(weights.select("mp", "weight"), "mp")
+    return used.groupBy("nid", "slot", "col").agg(F.sum(F.col("val") * F.col("weight")).alias("val"))
+
+
+def metapath_attention(per_path: DataFrame, query: list[list[float]], key: list[list[float]], value: list[list[float]], gamma: float) -> DataFrame:
+    """Of (nid, mp, h): each node's metapaths attend to each other; softmax of q · k over the keys' metapaths, times gamma, plus h."""
+    p = per_path.select("nid", "mp", "h", matvec(query, F.col("h")).alias("q"))
+    k = per_path.select("nid", F.col("mp").alias("to"), matvec(key, F.col("h")).alias("k"), matvec(value, F.col("h")).alias("v"))
+    scored = p.select("nid", "mp", "q").join(k, "nid").select("nid", "mp", dot(F.col("q"), F.col("k")).alias("x"), F.posexplode("v").alias("i", "v"))
+    top = scored.groupBy("nid", "mp").agg(F.max("x").alias("top"))
+    e = F.exp(F.col("x") - F.col("top"))
+    sums = scored.join(top, ["nid", "mp"]).groupBy("nid", "mp", "i").agg((F.sum(e * F.col("v")) / F.sum(e)).alias("v"))
+    rows = sums.groupBy("nid", "mp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
+    return p.join(rows, ["nid", "mp"]).select("nid", "mp", F.zip_with("h", "v", lambda x, y: x.cast("double") + gamma * y).alias("h"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def read_csvs(spark: SparkSession, root: str, schema: str, matching: str = ".*") -> DataFrame:
@@ -80,6 +82,31 @@ def t_statistic(means: DataFrame, best: str, group: str = "profile") -> DataFram
     return o.select(group, ((F.col("m1") - F.col("mean")) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n")))).alias("t"), df.cast("long").alias("df"))
 
 
+def student_tail(t: Column, df: Column) -> Column:
+    """P(T > t) of Student's distribution of a whole number of degrees of freedom, by its finite series in cos(atan(t / sqrt(df)))."""
+    angle = F.atan(t / F.sqrt(df.cast("double")))
+    odd, square = F.pmod(df, F.lit(2)) == 1, F.cos(angle) * F.cos(angle)
+    steps = F.when(df >= 4, F.sequence(F.lit(1).cast("long"), F.floor((df - F.when(odd, 3).otherwise(2)) / 2))).otherwise(F.array().cast("array<long>"))
+    steps = F.when(odd & (df < 5), F.array().cast("array<long>")).otherwise(steps)
+    grown = F.aggregate(
+        steps,
+        F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum")),
+        lambda s, i: F.struct(
+            (s["term"] * square * F.when(odd, 2 * i / (2 * i + 1)).otherwise((2 * i - 1) / (2 * i))).alias("term"),
+            (s["sum"] + s["term"] * square * F.when(odd, 2 * i / (2 * i + 1)).otherwise((2 * i - 1) / (2 * i))).alias("sum"),
+        ),
+        lambda s: s["sum"],
+    )
+    sine = F.sin(angle)
+    two_sided = F.when(df == 1, 2 * angle / math.pi).when(odd, 2 / math.pi * (angle + sine * F.cos(angle) * grown)).otherwise(sine * grown)
+    return (1 - two_sided) / 2
+
+
+def p_values(means: DataFrame, best: str, group: str = "profile") -> DataFrame:
+    """(group, t, df, p): one-sided, that the best profile's mean isn't larger than the other's."""
+    return t_statistic(means, best, group).withColumn("p", student_tail(F.col("t"), F.col("df")))
+
+
 def reindexed(leaves: DataFrame) -> DataFrame:
     """(nid, tree, leaf) with ``id``: leaves numbered from 0 by tree, then leaf."""
     ids = leaves.select("tree", "leaf").distinct().withColumn("id", (F.row_number().over(Window.orderBy("tree", "leaf")) - 1).cast("long"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import hash_order, hash_uniform
+from ..scratch import written
 
 
 def split_first_lines(lines: DataFrame, line: str = "line_no", share: int = 5) -> DataFrame:
@@ -27,19 +28,61 @@ def random_tails(edges: DataFrame, tails: DataFrame, n_tails: int, seed: int = 0
 
 
 def unlinked_tails(edges: DataFrame, n_tails: int, seed: int = 0, tries: int = 8) -> DataFrame:
-    """For each edge the first of several drawn tails that its head isn't linked to; (src, dst, neg), null if none was."""
-    drawn = edges.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
+    """(src, dst, neg): for each edge an even draw from the tails 0 to n_tails - 1 that its head isn't linked to.
+
+    The first of ``tries`` draws that is free is taken; where none was, a place among
+    the head's free tails is drawn.  Only a head linked to every tail has null.
+    """
+    links = edges.select("src", "dst").distinct()
+    drawn = links.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
     drawn = drawn.withColumn("neg", F.floor(hash_uniform(F.col("src"), F.col("dst"), F.col("t"), seed=seed) * n_tails).cast("long"))
-    free = drawn.join(edges.select("src", F.col("dst").alias("neg")).distinct(), ["src", "neg"], "left_anti")
-    best = free.groupBy("src", "dst").agg(F.min_by("neg", "t").alias("neg"))
-    return edges.select("src", "dst").join(best, ["src", "dst"], "left")
+    free = drawn.join(links.select("src", F.col("dst").alias("neg")), ["src", "neg"], "left_anti")
+    first = written(links.join(free.groupBy("src", "dst").agg(F.min_by("neg", "t").alias("neg")), ["src", "dst"], "left"), "draws")
+    placed = _placed_tails(links, first.where("neg is null").select("src", "dst"), n_tails, F.lit(tries), seed)
+    found = first.where("neg is not null").unionByName(placed)
+    return edges.select("src", "dst").join(found, ["src", "dst"], "left")
+
+
+def _placed_tails(links: DataFrame, wanted: DataFrame, n_tails: int, t: Column, seed: int) -> DataFrame:
+    """(src, dst, neg): of the tails a head isn't linked to, that at a drawn place.
+
+    The j-th linked tail has tail - j free ones below it, so the free tail at place r
+    is r plus the links with no more than r free ones below: one running count.
+    """
+    linked = links.where(F.col("dst").between(0, n_tails - 1)).join(wanted.select("src").distinct(), "src", "left_semi")
+    below = linked.select("src", (F.col("dst") - F.row_number().over(Window.partitionBy("src").orderBy("dst")) + 1).alias("at"), F.lit(0).alias("draw"), F.lit(None).cast(links.schema["dst"].dataType).alias("dst"))
+    left = wanted.join(linked.groupBy("src").agg(F.count("*").alias("d")), "src", "left").withColumn("left", n_tails - F.coalesce("d", F.lit(0)))
+    place = F.floor(hash_uniform(F.col("src"), F.col("dst"), t, seed=seed) * F.col("left")).cast("long")
+    draws = left.where("left > 0").select("src", place.alias("at"), F.lit(1).alias("draw"), "dst")
+    so_far = Window.partitionBy("src").orderBy("at", "draw", "dst").rowsBetween(Window.unboundedPreceding, 0)
+    counted = below.unionByName(draws).withColumn("neg", F.col("at") + F.sum(1 - F.col("draw")).over(so_far))
+    return counted.where("draw = 1").select("src", "dst", "neg")
 
 
-def random_pairs(edges: DataFrame, n_heads: int, n_tails: int, seed: int = 0) -> DataFrame:
-    """As many pairs as edges, both ends drawn evenly, without those that are edges."""
-    u = lambda k: hash_uniform(F.col("src"), F.col("dst"), F.lit(k), seed=seed)
-    drawn = edges.select(F.floor(u(0) * n_heads).cast("long").alias("src"), F.floor(u(1) * n_tails).cast("long").alias("dst"))
-    return drawn.join(edges.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+def random_pairs(edges: DataFrame, n_heads: int, n_tails: int, seed: int = 0, tries: int = 8) -> DataFrame:
+    """As many (src, dst) as edges, both ends drawn evenly and again until the pair is no edge.
+
+    Rounds of draws are written, each twice as long as the one before and only for
+    the edges still without a pair; without any free pair it's an error.
+    """
+    links = edges.select("src", "dst").distinct()
+    if links.where(F.col("src").between(0, n_heads - 1) & F.col("dst").between(0, n_tails - 1)).count() >= n_heads * n_tails:
+        raise ValueError("every pair is an edge")
+    counted = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
+    todo = counted.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    u = lambda end: hash_uniform(F.col("src"), F.col("dst"), F.col("k"), F.col("t"), F.lit(end), seed=seed)
+    out, low = None, 0
+    while True:
+        drawn = todo.withColumn("t", F.explode(F.sequence(F.lit(low), F.lit(low + tries - 1))))
+        drawn = drawn.withColumns({"head": F.floor(u(0) * n_heads).cast("long"), "tail": F.floor(u(1) * n_tails).cast("long")})
+        free = drawn.join(links.select(F.col("src").alias("head"), F.col("dst").alias("tail")), ["head", "tail"], "left_anti")
+        best = written(free.groupBy("src", "dst", "k").agg(F.min_by(F.struct("head", "tail"), "t").alias("pair")), "draws")
+        pairs = best.select(F.col("pair.head").alias("src"), F.col("pair.tail").alias("dst"))
+        out = pairs if out is None else out.unionByName(pairs)
+        todo = written(todo.join(best, ["src", "dst", "k"], "left_anti"), "todo")
+        if todo.isEmpty():
+            return out
+        low, tries = low + tries, 2 * tries
 
 
 def two_hop_candidates(links: DataFrame, positives: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .functions import vectors
-from .operators import atomize, evaluate, features, layers, linalg, propagate, runs, sample
+from .operators import atomize, evaluate, features, layers, linalg, prepare, propagate, runs, sample
 from .plans.selection import Selection, refined
 from .sources.relational import SPLIT, commerce, table
 from .types import CEType
@@ -855,3 +855,192 @@ def stored_rows_all(spark, sf_dir):
     replace(g, nodes={n: g.nodes[n] for n in ("part", "order")}, edges={c: g.edges[c]}, inverse={}, target=None).save(path)
     back = type(g).load(spark, path).edge("in-order")
     return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
+# ---- draws of negatives
+
+_DRAW = lambda key, n: f"floor(('0x' || substr(md5({key}), 1, 8))::BIGINT / 4294967296.0 * {n})::BIGINT"
+
+
+@query(
+    f"""WITH {_BUYS}, n AS (SELECT max(p_partkey) + 1 AS n FROM part), d AS (SELECT src, dst, t, {_DRAW("src || '-' || dst || '-' || t || '-3'", "n")} AS neg FROM buys, n, range(0, 8) AS r(t))
+    SELECT src, dst, min_by(neg, t) AS neg FROM d WHERE NOT EXISTS (SELECT 1 FROM buys b WHERE b.src = d.src AND b.dst = d.neg) GROUP BY 1, 2"""
+)
+def unlinked_negatives(spark, sf_dir):
+    n = table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
+    return sample.unlinked_tails(buys(spark, sf_dir), n, 3)
+
+
+@query(
+    f"""WITH {_BUYS}, n AS (SELECT (SELECT max(c_custkey) + 1 FROM customer) AS h, (SELECT max(p_partkey) + 1 FROM part) AS n),
+    d AS (SELECT src AS a, dst AS b, t, {_DRAW("src || '-' || dst || '-1-' || t || '-0-3'", "h")} AS src, {_DRAW("src || '-' || dst || '-1-' || t || '-1-3'", "n")} AS dst FROM buys, n, range(0, 8) AS r(t)),
+    f AS (SELECT a, b, min_by({{'src': src, 'dst': dst}}, t) AS p FROM d WHERE NOT EXISTS (SELECT 1 FROM buys b WHERE b.src = d.src AND b.dst = d.dst) GROUP BY 1, 2) SELECT p.src AS src, p.dst AS dst FROM f"""
+)
+def random_negative_pairs(spark, sf_dir):
+    h = table(spark, sf_dir, "customer").agg(F.max("c_custkey") + 1).first()[0]
+    n = table(spark, sf_dir, "part").agg(F.max("p_partkey") + 1).first()[0]
+    return sample.random_pairs(buys(spark, sf_dir), h, n, 3)
+
+
+# ---- networks made ready for models
+
+_ALL_TYPES = """n AS (SELECT 0 AS i, 'customer' AS name, c_custkey::BIGINT AS nid FROM customer UNION ALL SELECT 1, 'nation', n_nationkey FROM nation UNION ALL SELECT 2, 'supplier', s_suppkey FROM supplier),
+    w AS (SELECT i, max(nid) + 1 AS width FROM n GROUP BY 1), o AS (SELECT i, coalesce(sum(width) OVER (ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM w)"""
+
+
+def _homes(spark: SparkSession, sf_dir: str):
+    """Customers, suppliers and nations, and the edges between them."""
+    from dataclasses import replace
+
+    g = commerce(spark, sf_dir)
+    names = ("customer", "nation", "supplier")
+    edges = {c: e for c, e in g.edges.items() if c.src in names and c.dst in names}
+    return replace(g, nodes={n: g.nodes[n] for n in names}, edges=edges, inverse={a: b for a, b in g.inverse.items() if a in edges})
+
+
+@query(
+    f"""WITH {_ALL_TYPES}, e AS (SELECT 'lives-in' AS t, 0 AS a, c_custkey::BIGINT AS src, 1 AS b, c_nationkey::BIGINT AS dst FROM customer UNION ALL SELECT 'based-in', 2, s_suppkey, 1, s_nationkey FROM supplier
+    UNION ALL SELECT 'home-of', 1, c_nationkey, 0, c_custkey FROM customer UNION ALL SELECT 'base-of', 1, s_nationkey, 2, s_suppkey FROM supplier UNION ALL SELECT name || '-self', i, nid, i, nid FROM n)
+    SELECT x.first + src AS src, y.first + dst AS dst, 1.0::DOUBLE AS weight, count(*) AS n FROM e JOIN o x ON x.i = a JOIN o y ON y.i = b GROUP BY 1, 2"""
+)
+def prepared_homogeneous(spark, sf_dir):
+    g = _homes(spark, sf_dir)
+    _, edges = prepare.homogeneous_for(g, featured=["customer", "nation", "supplier"])
+    return edges.groupBy("src", "dst", "weight").agg(F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey::BIGINT AS dst, s_nationkey::BIGINT AS src, 'base-of' AS etype FROM supplier UNION ALL SELECT s_nationkey, s_suppkey, 'based-in' FROM supplier")
+def without_featureless_types(spark, sf_dir):
+    from dataclasses import replace
+
+    g = prepare.without_featureless(replace(_homes(spark, sf_dir), target="supplier"), ["supplier", "nation"], strict=False)
+    parts = [e.select("dst", "src", F.lit(c.etype).alias("etype")) for c, e in g.edges.items()]
+    return parts[0].unionByName(parts[1])
+
+
+_HELD = "(src * 7 + dst * 3) % 10"
+
+
+@query(
+    f"""WITH c AS (SELECT c_custkey::BIGINT AS src, c_nationkey::BIGINT AS dst FROM customer), s AS (SELECT s_suppkey::BIGINT AS src, s_nationkey::BIGINT AS dst FROM supplier)
+    SELECT 'train' AS part, 'lives-in' AS etype, src, dst FROM c WHERE {_HELD} <> 0 UNION ALL SELECT 'val', 'lives-in', src, dst FROM c WHERE {_HELD} = 0 UNION ALL SELECT 'train', 'based-in', src, dst FROM s"""
+)
+def val_edges_to_train(spark, sf_dir):
+    g = _homes(spark, sf_dir)
+    from dataclasses import replace
+
+    forward = {c: e for c, e in g.edges.items() if c.etype in ("lives-in", "based-in")}
+    held = F.pmod(F.col("src") * 7 + F.col("dst") * 3, F.lit(10)) == 0
+    side = lambda keep: replace(g, edges={c: e.where(keep) for c, e in forward.items()}, inverse={})
+    train, val = prepare.others_to_train(side(~held), side(held), ["lives-in"])
+    parts = [e.select(F.lit(name).alias("part"), F.lit(c.etype).alias("etype"), "src", "dst") for name, graph in (("train", train), ("val", val)) for c, e in graph.edges.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+# ---- more losses, homophily, layers and tests of runs
+
+@query(
+    f"""WITH {_LOGITS}, y AS (SELECT *, (nid + cls) % 3 = 0 AS y, logit - ln(sum(exp(logit)) OVER (PARTITION BY nid)) AS lp FROM g), p AS (SELECT nid, -sum(y::INT * lp) / nullif(sum(y::INT), 0) AS l FROM y GROUP BY nid)
+    SELECT round((SELECT avg(l) FROM p) - 0.1 * (avg(lp) + ln(10)) + 1e-9, 6) AS loss FROM y"""
+)
+def soft_label_loss(spark, sf_dir):
+    cells = logits(spark, sf_dir).withColumn("y", (F.pmod(F.col("nid") + F.col("cls"), F.lit(3)) == 0).cast("int"))
+    return evaluate.soft_label_cross_entropy(cells, 0.1).select(rounded("loss").alias("loss"))
+
+
+@query(
+    f"""WITH {_LOGITS}, p AS (SELECT (nid + cls) % 3 = 0 AS y, 1 / (1 + exp(-logit)) AS p FROM g) SELECT round(avg(-CASE WHEN y THEN ln(p) ELSE ln(1 - p) END) - 0.1 * (avg(ln(p) + ln(1 - p)) + ln(4)) + 1e-9, 6) AS loss FROM p"""
+)
+def binary_loss(spark, sf_dir):
+    cells = logits(spark, sf_dir).withColumn("y", (F.pmod(F.col("nid") + F.col("cls"), F.lit(3)) == 0).cast("int"))
+    return evaluate.binary_cross_entropy(cells, 0.1).select(rounded("loss").alias("loss"))
+
+
+@query(
+    f"""WITH {_RING}, l AS (SELECT c_custkey AS nid, cls, CASE WHEN cls = 0 THEN c_custkey % 2 ELSE (c_custkey % 3 = 0)::INT END AS y FROM customer, range(0, 2) AS t(cls)), u AS (SELECT DISTINCT src, dst FROM f WHERE src <> dst),
+    i AS (SELECT src AS nid FROM u UNION SELECT dst FROM u), s AS (SELECT u.dst AS nid, a.cls, avg((a.y = b.y)::INT) AS h FROM u JOIN l a ON a.nid = u.dst JOIN l b ON b.nid = u.src AND b.cls = a.cls GROUP BY 1, 2)
+    SELECT m.mode, l.cls::INT AS cls, round(avg(coalesce(h, 0)) + 1e-9, 6) AS homophily FROM (VALUES ('pos', 1, 1), ('neg', 0, 0), ('both', 0, 1)) AS m(mode, lo, hi) JOIN l ON l.y BETWEEN lo AND hi JOIN i USING (nid) LEFT JOIN s ON s.nid = l.nid AND s.cls = l.cls GROUP BY 1, 2"""
+)
+def multi_label_homophily(spark, sf_dir):
+    labels = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("nid"), F.array(F.col("c_custkey") % 2, (F.col("c_custkey") % 3 == 0).cast("long")).alias("label"))
+    pairs, out = _ring(spark, sf_dir).select("dst", "src").distinct(), None
+    for mode in ("pos", "neg", "both"):
+        part = evaluate.multi_label_node_homophily(pairs, labels, mode).select(F.lit(mode).alias("mode"), "cls", rounded("homophily").alias("homophily"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(
+    """WITH e AS (SELECT c_nationkey::BIGINT AS dst, c_custkey::BIGINT AS src, 0 AS etype, c_acctbal / 1000 AS x, 0.5 AS r, 1.0 AS p, n_nationkey % 3 AS q FROM customer JOIN nation ON n_nationkey = c_nationkey
+    UNION ALL SELECT s_nationkey, s_suppkey, 1, s_acctbal / 1000, -0.25, 2.0, n_nationkey % 3 FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    z AS (SELECT dst, src, etype, h AS head, exp(CASE h WHEN 0 THEN q * x * r * p ELSE 0.5 * q * x * 0.1 * p END) AS z FROM e, (VALUES (0), (1)) AS t(h))
+    SELECT dst, src, etype, head, round(z / sum(z) OVER (PARTITION BY dst, head) + 1e-9, 6) AS a FROM z"""
+)
+def typed_attention(spark, sf_dir):
+    edges, nodes, p = _typed(spark, sf_dir)
+    return layers.typed_attention(edges, nodes, "nation", *p[:2], p[3], p[5]).select("dst", "src", "etype", "head", rounded("a").alias("a"))
+
+
+def _typed(spark: SparkSession, sf_dir: str):
+    """Edges into nations, vectors of one number, and parameters of two heads of one number each."""
+    g = commerce(spark, sf_dir)
+    a, b = g.meta.canonical("lives-in"), g.meta.canonical("based-in")
+    vectors_ = {
+        "customer": table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("nid"), F.array(F.col("c_acctbal") / 1000).alias("h")),
+        "supplier": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("nid"), F.array(F.col("s_acctbal") / 1000).alias("h")),
+        "nation": table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("nid"), F.array((F.col("n_nationkey") % 3).cast("double")).alias("h")),
+    }
+    same = [[1.0], [1.0]]
+    both = {"customer": same, "supplier": same}
+    relation = {a: [[[0.5]], [[0.1]]], b: [[[-0.25]], [[0.1]]]}
+    message = {a: [[[1.0]], [[0.5]]], b: [[[2.0]], [[-1.0]]]}
+    return {a: g.edges[a], b: g.edges[b]}, vectors_, ([[1.0], [0.5]], both, both, relation, message, {a: [1.0, 1.0], b: [2.0, 2.0]}, [[0.3, -0.2]], 0.4)
+
+
+@query(
+    """WITH e AS (SELECT c_nationkey::BIGINT AS dst, c_acctbal / 1000 AS x, 0.5 AS r, 1.0 AS p, 1.0 AS m0, 0.5 AS m1, n_nationkey % 3 AS q FROM customer JOIN nation ON n_nationkey = c_nationkey
+    UNION ALL SELECT s_nationkey, s_acctbal / 1000, -0.25, 2.0, 2.0, -1.0, n_nationkey % 3 FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+    z AS (SELECT *, exp(q * x * r * p) AS z0, exp(0.5 * q * x * 0.1 * p) AS z1 FROM e), s AS (SELECT dst, 0.3 * sum(z0 * x * m0) / sum(z0) - 0.2 * sum(z1 * x * m1) / sum(z1) AS o FROM z GROUP BY 1),
+    n AS (SELECT n_nationkey::BIGINT AS nid, coalesce(o, 0) AS o, n_nationkey % 3 AS h, 1 / (1 + exp(-0.4)) AS g FROM nation LEFT JOIN s ON dst = n_nationkey)
+    SELECT nid, round(g * 0.5 * o * (1 + tanh(sqrt(2 / pi()) * (o + 0.044715 * o * o * o))) + (1 - g) * h + 1e-9, 5) AS x FROM n"""
+)
+def hgt_layer(spark, sf_dir):
+    edges, nodes, p = _typed(spark, sf_dir)
+    return layers.hgt_conv(edges, nodes, "nation", *p).select("nid", F.round(F.get("h", 0) + 1e-9, 5).alias("x"))
+
+
+@query(
+    f"""WITH {_VEC}, p AS (SELECT 'a' AS mp, nid, h[1] AS x, h[2] AS y FROM v UNION ALL SELECT 'b', nid, h[2], h[1] FROM v), s AS (SELECT p.nid, p.mp, p.x, p.y, k.x AS kx, k.y AS ky, exp(0.1 * p.x * k.x - 0.05 * p.y * k.y) AS e FROM p JOIN p k USING (nid))
+    SELECT nid, mp, round(x + 0.5 * sum(e * kx) / sum(e) + 1e-9, 6) AS x, round(y + 0.5 * sum(e * (kx + ky)) / sum(e) + 1e-9, 6) AS y FROM s GROUP BY nid, mp, s.x, s.y"""
+)
+def metapath_attention(spark, sf_dir):
+    v = _customer_vectors(spark, sf_dir)
+    paths = v.withColumn("mp", F.lit("a")).unionByName(v.select("nid", F.reverse("h").alias("h"), F.lit("b").alias("mp")))
+    out = layers.metapath_attention(paths, [[0.1, 0.0], [0.0, -0.05]], [[1.0, 0.0], [0.0, 1.0]], [[1.0, 0.0], [1.0, 1.0]], 0.5)
+    return out.select("nid", "mp", rounded(F.get("h", 0)).alias("x"), rounded(F.get("h", 1)).alias("y"))
+
+
+@query("SELECT c_custkey AS nid, 'nation' AS slot, c_nationkey::BIGINT AS col, round(0.25 + 1e-9, 6) AS val FROM customer UNION ALL SELECT c_custkey, 'region', n_regionkey, round(0.5 + 1e-9, 6) FROM customer JOIN nation ON n_nationkey = c_nationkey")
+def weighted_metapath_features(spark, sf_dir):
+    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    near = c.select(F.lit("CN").alias("mp"), F.col("c_custkey").alias("nid"), F.lit("nation").alias("slot"), F.col("c_nationkey").cast("long").alias("col"), F.lit(1.0).alias("val"))
+    far = c.join(n, c.c_nationkey == n.n_nationkey).select(F.lit("CNR").alias("mp"), F.col("c_custkey").alias("nid"), F.lit("region").alias("slot"), F.col("n_regionkey").cast("long").alias("col"), F.lit(1.0).alias("val"))
+    steps = spark.createDataFrame([("lives-in", 0, 1), ("part-of", 1, 2)], "etype string, mp int, to int")
+    relation = spark.createDataFrame([("lives-in", 0.25), ("part-of", 2.0)], "etype string, w double")
+    names = spark.createDataFrame([(0, "C"), (1, "CN"), (2, "CNR")], "mp int, name string")
+    w = layers.metapath_weights(steps, [relation, relation], spark.createDataFrame([(0, 1.0)], "mp int, weight double"))
+    w = w.join(F.broadcast(names), "mp").select(F.col("name").alias("mp"), "weight")  # three rows
+    return layers.weighted_metapaths(near.unionByName(far), w).select("nid", "slot", "col", rounded("val").alias("val"))
+
+
+@query(
+    """WITH r AS (SELECT n_regionkey AS profile, n_nationkey AS x FROM nation), g AS (SELECT profile, count(*) AS n, avg(x) AS m, stddev_samp(x) AS s FROM r GROUP BY 1),
+    t AS (SELECT g.profile::BIGINT AS profile, (b.m - g.m) / sqrt(((b.n - 1) * b.s ** 2 + (g.n - 1) * g.s ** 2) / (b.n + g.n - 2) * (1 / b.n + 1 / g.n)) AS t, b.n + g.n - 2 AS df FROM g, (SELECT * FROM g WHERE profile = 4) b WHERE g.profile <> 4),
+    a AS (SELECT *, atan(t / sqrt(df)) AS w FROM t) SELECT profile, round(t + 1e-9, 6) AS t, df, round((1 - sin(w) * (1 + cos(w) ** 2 / 2 + 3 * cos(w) ** 4 / 8 + 15 * cos(w) ** 6 / 48)) / 2 + 1e-9, 6) AS p FROM a"""
+)
+def profile_p_values(spark, sf_dir):
+    means = runs.mean_std(table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("long").alias("profile"), F.col("n_nationkey").cast("double").alias("x")), ["profile"], "x")
+    return runs.p_values(means, 4).select("profile", rounded("t").alias("t"), "df", rounded("p").alias("p"))
