@@ -80,6 +80,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), size=10)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .filter_audit import audit
+
+    return audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversation_repair import damaged, report
+
+    rows = _table(spark, sf_dir, "conversations")
+    return report(damaged(rows), rows)
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assignment
+
+    return assignment(_table(spark, sf_dir, "documents"), n_shards=8)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
@@ -99,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_byte_bpe,
         op9_language_id,
         op10_decontamination,
+        op11_filter_audit,
+        op12_conversation_repair,
+        op13_sharding,
         pipeline,
     )
 }
