@@ -3,11 +3,13 @@
 1. Rows are sorted by (source, seeded hash of the key) in ranges, so a source of any
    size is spread over tasks.  A row's rank within its source is its place less the
    place where the source begins; both come from counts of ranges, not of rows.
-2. Its fractional rank, (rank + ½) / rows of its source, spreads every source evenly
-   over 0 to 1.  Rows are sorted by it, again in ranges, and numbered.
+2. Its fractional rank, (rank + phase) / rows of its source, spreads every source
+   evenly over 0 to 1.  The phase, from 0 to 1 by a seeded hash of the source, keeps
+   many small sources from lying at the same points.  Rows are sorted by it, again in
+   ranges, and numbered.
 3. The line is cut into shards whose numbers of rows differ by one at most.  Up to
-   any point of the line a source has its share of rows to within one for each
-   source, so each shard's mixture is that of the whole.
+   any point of the line a source has its share of rows to within one, so each
+   shard's mixture is that of the whole, but for one row or so of each source.
 
 Only one row for each range, and for each range and source in it, is summed; no
 window runs over a source or over all rows.  Equal texts are rows like any others:
@@ -24,14 +26,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.vectors import hash_order
+from ..functions.vectors import hash_order, hash_uniform
 from ..scratch import written
 
 #: Rows of the table of sources that are broadcast at most; beyond, a shuffled join fetches them.
 MAX_BROADCAST_SOURCES = 100_000
 
-_OWN = ("__range", "__at", "__first", "__start", "__n", "__from", "__f")
-
 
 def _numbered(rows: DataFrame, order: list[Column], name: str) -> tuple[DataFrame, DataFrame]:
     """(rows sorted by ranges, with __range and __at; (__range, __first, __start)): a row's place is __start + __at - __first.
@@ -66,7 +66,7 @@ def interleaved(rows: DataFrame, n_shards: int, stratum: str = "source", key: st
     if sources.count() <= MAX_BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     ranked = placed.join(sources, F.col(stratum).eqNullSafe(F.col("__s")))
-    ranked = ranked.withColumn("__f", (F.col("__rank") - F.col("__from") + 0.5) / F.col("__n")).drop("__s", "__from", "__n", "__rank")
+    ranked = ranked.withColumn("__f", (F.col("__rank") - F.col("__from") + hash_uniform(F.col(stratum), seed=seed)) / F.col("__n")).drop("__s", "__from", "__n", "__rank")
     line = with_places(ranked, [F.col("__f"), F.col(stratum), shuffled, *tie], "__place", "interleaved")
     n = F.broadcast(line.agg(F.count("*").alias("__n")))  # one row
     cut = F.expr(f"__place * {n_shards} div __n")
