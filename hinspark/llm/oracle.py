@@ -194,7 +194,8 @@ FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS
 OP13 = rf"""
 WITH {_CRC_TABLE},
 d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, coalesce({_CRC.format(h="h")}, 0) AS text_crc32, md5(doc_id || '-0') AS u FROM (SELECT *, hex(encode(coalesce(text, ''))) AS h FROM documents), crc),
-r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY u, doc_id) - 1 + ('0x' || substr(md5(concat_ws('-', source, '0')), 1, 8))::BIGINT / 4294967296.0) / count(*) OVER (PARTITION BY source) AS f FROM d),
+o AS (SELECT source, (row_number() OVER (ORDER BY md5(concat_ws('-', source, '0'))) - 0.5::DOUBLE) / count(*) OVER () AS phase FROM (SELECT DISTINCT source FROM d)),
+r AS (SELECT d.*, (row_number() OVER (PARTITION BY d.source ORDER BY u, doc_id) - 1 + phase) / count(*) OVER (PARTITION BY d.source) AS f FROM d JOIN o ON o.source IS NOT DISTINCT FROM d.source),
 p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, u, doc_id) - 1 AS place, count(*) OVER () AS n FROM r),
 s AS (SELECT *, place * 8 // n AS shard FROM p)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard, (row_number() OVER (PARTITION BY shard ORDER BY place) - 1)::BIGINT AS slot, NULL::INT AS grown_shard, source FROM s

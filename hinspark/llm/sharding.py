@@ -4,9 +4,9 @@
    size is spread over tasks.  A row's rank within its source is its place less the
    place where the source begins; both come from counts of ranges, not of rows.
 2. Its fractional rank, (rank + phase) / rows of its source, spreads every source
-   evenly over 0 to 1.  The phase, from 0 to 1 by a seeded hash of the source, keeps
-   many small sources from lying at the same points.  Rows are sorted by it, again in
-   ranges, and numbered.
+   evenly over 0 to 1.  Phases are even steps from 0 to 1, dealt to the sources by a
+   seeded hash, so many small sources don't lie at the same points.  Rows are sorted
+   by it, again in ranges, and numbered.
 3. The line is cut into shards whose numbers of rows differ by one at most.  Up to
    any point of the line a source has its share of rows to within one, so each
    shard's mixture is that of the whole, but for one row or so of each source.
@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.vectors import hash_order, hash_uniform
+from ..functions.vectors import hash_order
 from ..scratch import written
 
 #: Rows of the table of sources that are broadcast at most; beyond, a shuffled join fetches them.
@@ -62,11 +62,13 @@ def interleaved(rows: DataFrame, n_shards: int, stratum: str = "source", key: st
     shuffled = hash_order(F.col(key), seed=seed)
     placed = with_places(rows, [F.col(stratum), shuffled, *tie], "__rank", "by-source")
     # a source's rows follow each other: its first place and its number of rows
-    sources = written(placed.groupBy(F.col(stratum).alias("__s")).agg(F.min("__rank").alias("__from"), F.count("*").alias("__n")), "sources")
-    if sources.count() <= MAX_BROADCAST_SOURCES:
+    sources = placed.groupBy(F.col(stratum).alias("__s")).agg(F.min("__rank").alias("__from"), F.count("*").alias("__n"))
+    sources = with_places(sources, [hash_order(F.col("__s"), seed=seed), F.col("__s")], "__i", "sources")
+    n_sources = sources.count()
+    if n_sources <= MAX_BROADCAST_SOURCES:
         sources = F.broadcast(sources)
     ranked = placed.join(sources, F.col(stratum).eqNullSafe(F.col("__s")))
-    ranked = ranked.withColumn("__f", (F.col("__rank") - F.col("__from") + hash_uniform(F.col(stratum), seed=seed)) / F.col("__n")).drop("__s", "__from", "__n", "__rank")
+    ranked = ranked.withColumn("__f", (F.col("__rank") - F.col("__from") + (F.col("__i") + 0.5) / max(n_sources, 1)) / F.col("__n")).drop("__s", "__i", "__from", "__n", "__rank")
     line = with_places(ranked, [F.col("__f"), F.col(stratum), shuffled, *tie], "__place", "interleaved")
     n = F.broadcast(line.agg(F.count("*").alias("__n")))  # one row
     cut = F.expr(f"__place * {n_shards} div __n")
