@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import json
-from collections.abc import Iterable
+from collections.abc import Callable, Hashable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,19 +12,51 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .types import CEType, MetaGraph, self_loop
 
 
+class Tables(Mapping):
+    """DataFrames by name; one given as a function is made when it is first asked for, once for all mappings that share it."""
+
+    def __init__(self, tables: Mapping[Hashable, DataFrame | Callable[[], DataFrame]]):
+        given = tables._given if isinstance(tables, Tables) else tables
+        self._given = {k: functools.cache(v) if callable(v) else v for k, v in given.items()}
+
+    def __getitem__(self, name) -> DataFrame:
+        table = self._given[name]
+        return table() if callable(table) else table
+
+    def __iter__(self) -> Iterator:
+        return iter(self._given)
+
+    def __len__(self) -> int:
+        return len(self._given)
+
+    def __contains__(self, name) -> bool:
+        return name in self._given
+
+    def __or__(self, more: Mapping) -> Tables:
+        return Tables({**self._given, **(more._given if isinstance(more, Tables) else more)})
+
+    def only(self, names: Iterable) -> Tables:
+        return Tables({n: self._given[n] for n in names})
+
+
 @dataclass(frozen=True)
 class HinGraph:
     """Nodes have ``nid`` (and what else they carry), edges ``src``, ``dst`` and perhaps ``weight``; null weight is 1.
 
     A value: operators return another graph and share the DataFrames they don't
-    change.  Nothing runs until an action.
+    change.  Tables may be given as functions: what a query doesn't touch is never
+    read, and no ids of it are written.
     """
 
-    nodes: dict[str, DataFrame]
-    edges: dict[CEType, DataFrame]
+    nodes: Mapping[str, DataFrame]
+    edges: Mapping[CEType, DataFrame]
     inverse: dict[CEType, CEType] = field(default_factory=dict)
     target: str | None = None
 
+    def __post_init__(self):
+        for name in ("nodes", "edges"):
+            object.__setattr__(self, name, Tables(getattr(self, name)))
+
     @property
     def meta(self) -> MetaGraph:
         return MetaGraph(tuple(self.nodes), tuple(self.edges), dict(self.inverse))
@@ -38,7 +71,7 @@ class HinGraph:
 
     def of_meta(self, meta: MetaGraph) -> HinGraph:
         """The part of the graph that a reduced meta graph names."""
-        return replace(self, nodes={n: self.nodes[n] for n in meta.ntypes}, edges={c: self.edges[c] for c in meta.cetypes}, inverse=dict(meta.inverse))
+        return replace(self, nodes=self.nodes.only(meta.ntypes), edges=self.edges.only(meta.cetypes), inverse=dict(meta.inverse))
 
     def without_etypes(self, etypes: Iterable[str | tuple], unreachable: str = "full") -> HinGraph:
         """Without edge types; then, unless ``none``, without the node types that no longer reach the target."""
@@ -52,9 +85,8 @@ class HinGraph:
             raise ValueError(f"{a} and {b} join different node types")
         if any("weight" in self.edges[c].columns for c in (a, b)):
             raise ValueError("weighted edge types can't be merged")
-        edges = {c: e for c, e in self.edges.items() if c != b}
-        edges[a] = self.edges[a].select("src", "dst").union(self.edges[b].select("src", "dst")).distinct()
-        return replace(self, edges=edges, inverse={x: y for x, y in self.inverse.items() if b not in (x, y)})
+        both = self.edges[a].select("src", "dst").union(self.edges[b].select("src", "dst")).distinct()
+        return replace(self, edges=self.edges.only(c for c in self.edges if c != b) | {a: both}, inverse={x: y for x, y in self.inverse.items() if b not in (x, y)})
 
     def symmetric(self) -> HinGraph:
         """Edge types between one node type merged with their inverses, whose direction then counts no more."""
@@ -66,26 +98,27 @@ class HinGraph:
 
     def with_inverses(self, suffix: str = "-inv") -> HinGraph:
         """An inverse for each edge type that has none."""
-        edges, inverse = dict(self.edges), dict(self.inverse)
-        for c, e in self.edges.items():
+        more, inverse = {}, dict(self.inverse)
+        for c in self.edges:
             if c not in inverse:
                 back = CEType(c.dst, c.etype + suffix, c.src)
-                edges[back] = reversed_edges(e)
+                more[back] = functools.partial(lambda c: reversed_edges(self.edges[c]), c)
                 inverse |= {c: back, back: c}
-        return replace(self, edges=edges, inverse=inverse)
+        return replace(self, edges=self.edges | more, inverse=inverse)
 
     def with_self_loops(self, ntypes: Iterable[str] | None = None) -> HinGraph:
-        loops = {self_loop(n): self.nodes[n].select(F.col("nid").alias("src"), F.col("nid").alias("dst")) for n in (self.nodes if ntypes is None else ntypes)}
-        return replace(self, edges={**self.edges, **loops})
+        made = lambda n: self.nodes[n].select(F.col("nid").alias("src"), F.col("nid").alias("dst"))
+        return replace(self, edges=self.edges | {self_loop(n): functools.partial(made, n) for n in (self.nodes if ntypes is None else ntypes)})
+
+    def node_counts(self) -> DataFrame:
+        """(kind, name, n) of each node type, in one plan; edges aren't touched."""
+        parts = [df.agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), F.lit(name).alias("name"), "n") for name, df in self.nodes.items()]
+        return functools.reduce(DataFrame.unionByName, parts)
 
     def counts(self) -> DataFrame:
         """(kind, name, n) of each node and edge type, in one plan."""
-        parts = [df.agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), F.lit(name).alias("name"), "n") for name, df in self.nodes.items()]
-        parts += [df.agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), F.lit(c.etype).alias("name"), "n") for c, df in self.edges.items()]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        parts = [df.agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), F.lit(c.etype).alias("name"), "n") for c, df in self.edges.items()]
+        return functools.reduce(DataFrame.unionByName, parts, self.node_counts())
 
     def offsets(self, order: Iterable[str]) -> dict[str, int]:
         """First global id of each type: types follow each other, each as wide as its largest id."""

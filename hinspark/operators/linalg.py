@@ -32,7 +32,7 @@ def row_normalized(adj: DataFrame) -> DataFrame:
 
 def row_normalized_adjacencies(edges: dict[CEType, DataFrame], wanted: set[CEType] | None = None) -> dict[CEType, DataFrame]:
     """Normalised adjacency of each wanted edge type."""
-    return {c: row_normalized(adjacency(e)) for c, e in edges.items() if wanted is None or c in wanted}
+    return {c: row_normalized(adjacency(edges[c])) for c in edges if wanted is None or c in wanted}
 
 
 def compose(second: DataFrame, first: DataFrame) -> DataFrame:

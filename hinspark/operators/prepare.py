@@ -7,7 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..graph import HinGraph
+from ..graph import HinGraph, Tables
 from ..types import CEType
 
 
@@ -23,10 +23,10 @@ def without_featureless(graph: HinGraph, featured: Iterable[str], strict: bool =
     cut = [c for c in graph.edges if (c.src in keep) != (c.dst in keep)]
     if strict and cut:
         raise ValueError(f"edge types join featured and featureless node types: {cut}")
-    edges = {c: e for c, e in graph.edges.items() if c.src in keep and c.dst in keep}
+    edges = graph.edges.only(c for c in graph.edges if c.src in keep and c.dst in keep)
     return replace(
         graph,
-        nodes={n: df for n, df in graph.nodes.items() if n in keep},
+        nodes=graph.nodes.only(n for n in graph.nodes if n in keep),
         edges=edges,
         inverse={a: b for a, b in graph.inverse.items() if a in edges and b in edges},
     )
@@ -68,12 +68,12 @@ def united(*graphs: HinGraph) -> HinGraph:
 
     Repeated edges stay: a multigraph's union.
     """
-    edges: dict[CEType, DataFrame] = {}
+    edges = Tables({})
     inverse: dict[CEType, CEType] = {}
     for g in graphs:
         inverse |= g.inverse
-        for c, e in g.edges.items():
-            edges[c] = _appended(edges[c], e) if c in edges else e
+        shared = {c: _appended(edges[c], g.edges[c]) for c in g.edges if c in edges}
+        edges = edges | g.edges | shared
     return replace(graphs[0], edges=edges, inverse=inverse)
 
 
@@ -89,5 +89,5 @@ def others_to_train(train: HinGraph, val: HinGraph, targets: Iterable[str | tupl
     meta = val.meta
     wanted = {meta.canonical(t) for t in targets}
     held = wanted | {meta.inverse[t] for t in wanted if t in meta.inverse}
-    back = replace(val, edges={c: e for c, e in val.edges.items() if c not in held})
-    return united(train, back), replace(val, edges={c: val.edges[c] for c in val.edges if c in wanted}, inverse={})
+    back = replace(val, edges=val.edges.only(c for c in val.edges if c not in held))
+    return united(train, back), replace(val, edges=val.edges.only(c for c in val.edges if c in wanted), inverse={})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..graph import HinGraph
-from ..types import CEType, Metapath, in_prefix_order
+from ..types import CEType, Metapath, in_prefix_order, self_loop
 from . import linalg
 
 
@@ -94,6 +94,16 @@ class MetapathFeatures:
             self.held.pop().unpersist()
 
 
+def walk_counts(graph: HinGraph, paths: list[Metapath]) -> dict[Metapath, DataFrame]:
+    """Of each metapath one row ``n``, its instances: ones sent along the bare edges and added up; prefixes are shared."""
+    begun = {p: p if p[0].is_self_loop else (self_loop(p[0].src), *p) for p in paths}
+    used = {c for p in paths for c in p if not c.is_self_loop}
+    bare = {c: graph.edges[c].select("dst", "src").distinct().withColumn("w", F.lit(1).cast("long")) for c in used}
+    ones = {p[0].src: graph.nodes[p[0].src].select("nid", F.lit("one").alias("slot"), F.lit(0).alias("col"), F.lit(1).cast("long").alias("val")) for p in paths}
+    made = MetapathFeatures(bare, ones, persist=False).build(list(begun.values()))
+    return {p: made[q].agg(F.coalesce(F.sum("val"), F.lit(0)).alias("n")) for p, q in begun.items()}
+
+
 def metapath_adjacency(adjs: dict[CEType, DataFrame], path: Metapath, widths: dict[str, int] | None = None) -> DataFrame:
     """Product of a metapath's adjacencies.
 

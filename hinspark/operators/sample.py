@@ -156,10 +156,10 @@ def layers(graph, seeds: dict[str, DataFrame], fanouts: list[dict | int], seed:
     frontier, out = dict(seeds), []
     for depth, fanout in enumerate(fanouts):
         block = {}
-        for c, e in graph.edges.items():
+        for c in graph.edges:
             n = fanout if isinstance(fanout, int) else fanout.get(c, 0)
             if c.dst in frontier and n:
-                block[c] = neighbours(e, frontier[c.dst], n, seed + depth)
+                block[c] = neighbours(graph.edges[c], frontier[c.dst], n, seed + depth)
         for c, e in block.items():
             found = e.select(F.col("src").alias("nid"))
             frontier[c.src] = (frontier[c.src].select("nid").union(found) if c.src in frontier else found).distinct()

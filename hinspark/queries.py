@@ -117,24 +117,34 @@ def merge_etypes(spark, sf_dir):
     g = commerce(spark, sf_dir)
     same = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("src")).join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dst")), F.col("src") == F.col("dst"))
     a, b = CEType("customer", "buys", "part"), CEType("customer", "twin", "part")
-    g = replace(g, edges={a: buys(spark, sf_dir), b: same}, inverse={})
+    g = replace(g, nodes=g.nodes.only(("customer", "part")), edges={a: buys(spark, sf_dir), b: same}, inverse={})
     return g.merged("buys", "twin").edge("buys")
 
 
-@query("SELECT unnest(['customer', 'order', 'part', 'brand', 'ptype', 'size']) AS ntype")
+_NODE_COUNTS = """counted AS (SELECT 'customer' AS ntype, count(*) AS n FROM customer UNION ALL SELECT 'order', count(*) FROM orders UNION ALL SELECT 'part', count(*) FROM part
+    UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'region', count(*) FROM region
+    UNION ALL SELECT 'brand', count(DISTINCT p_brand) FROM part UNION ALL SELECT 'ptype', count(DISTINCT p_type) FROM part UNION ALL SELECT 'size', count(DISTINCT p_size) FROM part)"""
+
+
+def _node_counts(graph) -> DataFrame:
+    return graph.node_counts().select(F.col("name").alias("ntype"), "n")
+
+
+@query(f"WITH {_NODE_COUNTS} SELECT ntype, n FROM counted WHERE ntype IN ('customer', 'order', 'part', 'brand', 'ptype', 'size')")
 def remove_etypes(spark, sf_dir):
-    """Node types that still reach the customer without the edges that tie suppliers and nations to it."""
-    g = commerce(spark, sf_dir).without_etypes(["home-of", "supplies"])
-    return spark.createDataFrame([(n,) for n in g.nodes], "ntype string")
+    """Nodes of the types that still reach the customer without the edges that tie suppliers and nations to it."""
+    return _node_counts(commerce(spark, sf_dir).without_etypes(["home-of", "supplies"]))
 
 
 @query(
-    """WITH RECURSIVE e(src, dst) AS (VALUES ('customer', 'order'), ('order', 'customer'), ('order', 'part'), ('part', 'order'), ('supplier', 'part'), ('part', 'supplier'), ('customer', 'nation'),
+    f"""WITH RECURSIVE e(src, dst) AS (VALUES ('customer', 'order'), ('order', 'customer'), ('order', 'part'), ('part', 'order'), ('supplier', 'part'), ('part', 'supplier'), ('customer', 'nation'),
     ('nation', 'customer'), ('supplier', 'nation'), ('nation', 'supplier'), ('nation', 'region'), ('region', 'nation'), ('part', 'brand'), ('brand', 'part'), ('part', 'ptype'), ('ptype', 'part'), ('part', 'size'), ('size', 'part')),
-    r AS (SELECT 'customer' AS ntype UNION SELECT e.src FROM e JOIN r ON e.dst = r.ntype) SELECT ntype FROM r"""
+    r AS (SELECT 'customer' AS ntype UNION SELECT e.src FROM e JOIN r ON e.dst = r.ntype), {_NODE_COUNTS} SELECT ntype, n FROM counted JOIN r USING (ntype)"""
 )
 def reachable_types(spark, sf_dir):
-    return spark.createDataFrame([(n,) for n in sorted(commerce(spark, sf_dir).meta.reaching("customer"))], "ntype string")
+    """Nodes of the types from which edges lead to the customer."""
+    g = commerce(spark, sf_dir)
+    return _node_counts(g.of_meta(g.meta.pruned("customer")))
 
 
 @query("SELECT n_nationkey::BIGINT AS src, n_nationkey::BIGINT AS dst FROM nation")
@@ -150,7 +160,7 @@ def homogenize(spark, sf_dir):
     from dataclasses import replace
 
     g = commerce(spark, sf_dir)
-    g = replace(g, nodes={n: g.nodes[n] for n in ("customer", "order", "part")}, edges={g.meta.canonical(e): g.edge(e) for e in ("places", "contains")}, inverse={})
+    g = replace(g, nodes=g.nodes.only(("customer", "order", "part")), edges=g.edges.only(g.meta.canonical(e) for e in ("places", "contains")), inverse={})
     return g.homogeneous()[1].select("src", "dst", "etype")
 
 
@@ -288,26 +298,39 @@ def tabular_export(spark, sf_dir):
 
 # ---- metapaths
 
+_STEPS = """pb AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders), pl AS (SELECT o_custkey AS src, o_orderkey AS dst FROM orders),
+    co AS (SELECT DISTINCT l_orderkey AS src, l_partkey AS dst FROM lineitem), io AS (SELECT dst AS src, src AS dst FROM co)"""
+
+
+def _walks(spark: SparkSession, sf_dir: str, walks) -> DataFrame:
+    """(path, n): instances of each walk among customers, orders and parts; walks share their prefixes."""
+    g = commerce(spark, sf_dir)
+    g = g.of_meta(type(g.meta)(("customer", "order", "part"), tuple(g.meta.canonical(e) for e in ("places", "placed-by", "contains", "in-order"))))
+    out = None
+    for path, n in propagate.walk_counts(g, walks(g.meta)).items():
+        part = n.select(F.lit(">".join(c.etype for c in path)).alias("path"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query(
-    """WITH RECURSIVE e(src, et, dst) AS (VALUES ('customer', 'places', 'order'), ('order', 'placed-by', 'customer'), ('order', 'contains', 'part'), ('part', 'in-order', 'order')),
-    w AS (SELECT n AS last, n || '-self' AS path, 0 AS k FROM (VALUES ('customer'), ('order'), ('part')) t(n) UNION ALL SELECT e.dst, w.path || '>' || e.et, k + 1 FROM w JOIN e ON e.src = w.last WHERE k < 3)
-    SELECT path FROM w WHERE last = 'customer'"""
+    f"""WITH {_STEPS} SELECT 'customer-self' AS path, count(*) AS n FROM customer UNION ALL SELECT 'order-self>placed-by', count(*) FROM pb
+    UNION ALL SELECT 'customer-self>places>placed-by', count(*) FROM pl a JOIN pb b ON a.dst = b.src UNION ALL SELECT 'part-self>in-order>placed-by', count(*) FROM io a JOIN pb b ON a.dst = b.src
+    UNION ALL SELECT 'order-self>placed-by>places>placed-by', count(*) FROM pb a JOIN pl b ON a.dst = b.src JOIN pb c ON b.dst = c.src
+    UNION ALL SELECT 'order-self>contains>in-order>placed-by', count(*) FROM co a JOIN io b ON a.dst = b.src JOIN pb c ON b.dst = c.src"""
 )
 def enumerate_metapaths(spark, sf_dir):
-    g = commerce(spark, sf_dir)
-    meta = type(g.meta)(("customer", "order", "part"), tuple(g.meta.canonical(e) for e in ("places", "placed-by", "contains", "in-order")))
-    return spark.createDataFrame([(">".join(c.etype for c in p),) for p in meta.metapaths(3, "customer")], "path string")
+    """Every metapath of at most three hops to the customer, with the number of its instances."""
+    return _walks(spark, sf_dir, lambda meta: meta.metapaths(3, "customer"))
 
 
 @query(
-    """WITH RECURSIVE e(src, et, dst) AS (VALUES ('customer', 'places', 'order'), ('order', 'placed-by', 'customer'), ('order', 'contains', 'part'), ('part', 'in-order', 'order')),
-    w AS (SELECT 'customer' AS last, []::VARCHAR[] AS es, 0 AS k UNION ALL SELECT e.dst, list_append(es, e.et), k + 1 FROM w JOIN e ON e.src = w.last AND NOT list_contains(es, e.et) WHERE k < 4)
-    SELECT array_to_string(es, '>') AS path FROM w WHERE last = 'customer' AND k > 0"""
+    f"""WITH {_STEPS} SELECT 'places>placed-by' AS path, count(*) AS n FROM pl a JOIN pb b ON a.dst = b.src
+    UNION ALL SELECT 'places>contains>in-order>placed-by', count(*) FROM pl a JOIN co b ON a.dst = b.src JOIN io c ON b.dst = c.src JOIN pb d ON c.dst = d.src"""
 )
 def simple_metapaths(spark, sf_dir):
-    g = commerce(spark, sf_dir)
-    meta = type(g.meta)(("customer", "order", "part"), tuple(g.meta.canonical(e) for e in ("places", "placed-by", "contains", "in-order")))
-    return spark.createDataFrame([(">".join(c.etype for c in p),) for p in meta.simple_metapaths("customer", 4)], "path string")
+    """Closed metapaths from the customer that use an edge type once at most, with the number of their instances."""
+    return _walks(spark, sf_dir, lambda meta: meta.simple_metapaths("customer", 4))
 
 
 @query(
@@ -354,12 +377,6 @@ def metapath_pattern_graph(spark, sf_dir):
     return propagate.metapath_pattern(commerce(spark, sf_dir), [["based-in", "base-of"]])
 
 
-@query("WITH e AS (SELECT DISTINCT l_orderkey % 500 AS src, l_partkey % 500 AS dst FROM lineitem WHERE l_linenumber = 1) SELECT DISTINCT a.src, b.dst FROM e a JOIN e b ON a.dst = b.src WHERE a.src <> b.dst")
-def nhop_pairs(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return linalg.within_hops(li.select((F.col("l_orderkey") % 500).alias("src"), (F.col("l_partkey") % 500).alias("dst")), 2)
-
-
 @query(
     """WITH e AS (SELECT 'order-' || l_orderkey AS src, 'part-' || l_partkey AS dst FROM lineitem UNION SELECT 'part-' || p_partkey, 'brand-' || p_brand FROM part
     UNION SELECT 'order-' || o_orderkey, 'customer-' || o_custkey FROM orders UNION SELECT 'customer-' || c_custkey, 'nation-' || c_nationkey FROM customer
@@ -436,14 +453,6 @@ def kfold_assign(spark, sf_dir):
     return sample.k_folds(rows, 5, F.col("label"), "nid", 3).select("nid", "fold")
 
 
-@query(
-    """SELECT src, dst FROM (SELECT c_custkey AS src, c_nationkey::BIGINT AS dst, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || '-' || c_nationkey || '-5'), c_custkey) AS r FROM customer WHERE c_nationkey % 2 = 0) WHERE r <= 4"""
-)
-def neighbor_sample(spark, sf_dir):
-    g = commerce(spark, sf_dir)
-    return sample.neighbours(g.edge("lives-in"), g.nodes["nation"].where("nid % 2 = 0"), 4, 5).select("src", "dst")
-
-
 @query(
     """SELECT src, dst FROM (SELECT c_custkey AS src, c_nationkey::BIGINT AS dst, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5(c_custkey || '-' || c_nationkey || '-5'), c_custkey) AS r FROM customer) WHERE r <= 4"""
 )
@@ -452,22 +461,6 @@ def neighbor_sample_all(spark, sf_dir):
     return sample.neighbours(g.edge("lives-in"), g.nodes["nation"], 4, 5).select("src", "dst")
 
 
-@query(
-    """WITH c AS (SELECT c_custkey FROM customer WHERE c_custkey % 50 = 0), o AS (SELECT o_orderkey, o_custkey FROM orders JOIN c ON o_custkey = c_custkey)
-    SELECT 'placed-by' AS etype, o_orderkey AS src, o_custkey AS dst FROM o UNION ALL SELECT DISTINCT 'in-order', l_partkey, l_orderkey FROM lineitem JOIN o ON l_orderkey = o_orderkey"""
-)
-def full_neighbor_blocks(spark, sf_dir):
-    g = commerce(spark, sf_dir)
-    keep = tuple(g.meta.canonical(e) for e in ("placed-by", "in-order"))
-    g = g.of_meta(type(g.meta)(("customer", "order", "part"), keep))
-    blocks, _ = sample.layers(g, {"customer": g.nodes["customer"].where("nid % 50 = 0")}, [-1, -1])
-    out = None
-    for c, e in blocks[0].items():
-        part = e.select(F.lit(c.etype).alias("etype"), "src", "dst")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query(
     """SELECT 'placed-by' AS etype, o_orderkey AS src, o_custkey AS dst FROM orders JOIN customer ON o_custkey = c_custkey
     UNION ALL SELECT DISTINCT 'in-order', l_partkey, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
@@ -591,28 +584,6 @@ def cross_entropy_loss(spark, sf_dir):
     return evaluate.cross_entropy(logits(spark, sf_dir).withColumnRenamed("label", "y")).select(rounded("loss").alias("loss"))
 
 
-_CO_NATION = "pairs AS (SELECT a.c_custkey AS dst, b.c_custkey AS src FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_custkey <> b.c_custkey AND a.c_custkey % 4 = 0)"
-
-
-def _co_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs within a nation, into every fourth customer, by way of the metapath's pattern."""
-    g = commerce(spark, sf_dir)
-    into = g.edge("home-of").where("dst % 4 = 0")
-    from dataclasses import replace
-
-    return propagate.metapath_pattern(replace(g, edges={**g.edges, g.meta.canonical("home-of"): into}), [["lives-in", "home-of"]])
-
-
-@query(f"WITH {_CUSTOMERS}, {_CO_NATION} SELECT round(avg(h) + 1e-9, 6) AS homophily FROM (SELECT dst, avg((a.label = b.label)::INT) AS h FROM pairs JOIN customers a ON dst = a.nid JOIN customers b ON src = b.nid GROUP BY dst)")
-def node_homophily(spark, sf_dir):
-    return evaluate.node_homophily(_co_nation(spark, sf_dir), commerce(spark, sf_dir).nodes["customer"]).select(rounded("homophily").alias("homophily"))
-
-
-@query(f"WITH {_CUSTOMERS}, {_CO_NATION} SELECT round(avg((a.label = b.label)::INT) + 1e-9, 6) AS homophily FROM pairs JOIN customers a ON dst = a.nid JOIN customers b ON src = b.nid")
-def edge_homophily(spark, sf_dir):
-    return evaluate.edge_homophily(_co_nation(spark, sf_dir), commerce(spark, sf_dir).nodes["customer"]).select(rounded("homophily").alias("homophily"))
-
-
 _ALL_CO_NATION = "pairs AS (SELECT a.c_custkey AS dst, b.c_custkey AS src FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey WHERE a.c_custkey <> b.c_custkey)"
 
 
@@ -804,13 +775,6 @@ def semantic_attention(spark, sf_dir):
     return layers.semantic_attention(paths, [[0.1, 0.0], [0.0, 0.2]], [1.0, -0.5]).select("nid", rounded(F.get("h", 0)).alias("x"), rounded(F.get("h", 1)).alias("y"))
 
 
-@query("SELECT * FROM (VALUES ('lives-in', round(exp(1) / (exp(1) + exp(2)) + 1e-9, 6)), ('based-in', round(exp(2) / (exp(1) + exp(2)) + 1e-9, 6)), ('places', 1.0)) AS t(etype, w)")
-def relation_softmax(spark, sf_dir):
-    g = commerce(spark, sf_dir)
-    w = layers.relation_weights({g.meta.canonical("lives-in"): 1.0, g.meta.canonical("based-in"): 2.0, g.meta.canonical("places"): 5.0})
-    return spark.createDataFrame([(c.etype, v) for c, v in w.items()], "etype string, w double").select("etype", rounded("w").alias("w"))
-
-
 # ---- refinement and sources
 
 @query("SELECT c_custkey AS nid, 'nation' AS slot, c_nationkey::BIGINT AS col, 1.0::DOUBLE AS val FROM customer")
@@ -823,23 +787,6 @@ def schema_refinement(spark, sf_dir):
     return feats["customer"].withColumn("col", F.col("col").cast("long"))
 
 
-@query("SELECT o_orderkey AS src, l_partkey AS dst, sum(l_quantity) AS weight FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderkey BETWEEN 100 AND 200 GROUP BY 1, 2")
-def stored_rows(spark, sf_dir):
-    """A stored edge type read back by a range of its rows."""
-    import uuid
-
-    from .scratch import scratch_dir
-
-    g = commerce(spark, sf_dir)
-    from dataclasses import replace
-
-    path = f"{scratch_dir(spark)}/hin-{uuid.uuid4().hex}"
-    c = CEType("part", "in-order", "order")
-    replace(g, nodes={n: g.nodes[n] for n in ("part", "order")}, edges={c: g.edges[c]}, inverse={}, target=None).save(path)
-    back = type(g).load(spark, path).edge("in-order").where("dst between 100 and 200")
-    return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-
-
 @query("SELECT l_orderkey AS src, l_partkey AS dst, sum(l_quantity) AS weight FROM lineitem GROUP BY 1, 2")
 def stored_rows_all(spark, sf_dir):
     """A stored edge type read back whole."""
@@ -852,7 +799,7 @@ def stored_rows_all(spark, sf_dir):
 
     path = f"{scratch_dir(spark)}/hin-{uuid.uuid4().hex}"
     c = CEType("part", "in-order", "order")
-    replace(g, nodes={n: g.nodes[n] for n in ("part", "order")}, edges={c: g.edges[c]}, inverse={}, target=None).save(path)
+    replace(g, nodes=g.nodes.only(("part", "order")), edges={c: g.edges[c]}, inverse={}, target=None).save(path)
     back = type(g).load(spark, path).edge("in-order")
     return back.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
 
@@ -894,8 +841,8 @@ def _homes(spark: SparkSession, sf_dir: str):
 
     g = commerce(spark, sf_dir)
     names = ("customer", "nation", "supplier")
-    edges = {c: e for c, e in g.edges.items() if c.src in names and c.dst in names}
-    return replace(g, nodes={n: g.nodes[n] for n in names}, edges=edges, inverse={a: b for a, b in g.inverse.items() if a in edges})
+    edges = g.edges.only(c for c in g.edges if c.src in names and c.dst in names)
+    return replace(g, nodes=g.nodes.only(names), edges=edges, inverse={a: b for a, b in g.inverse.items() if a in edges})
 
 
 @query(
@@ -929,7 +876,7 @@ def val_edges_to_train(spark, sf_dir):
     g = _homes(spark, sf_dir)
     from dataclasses import replace
 
-    forward = {c: e for c, e in g.edges.items() if c.etype in ("lives-in", "based-in")}
+    forward = g.edges.only(c for c in g.edges if c.etype in ("lives-in", "based-in"))
     held = F.pmod(F.col("src") * 7 + F.col("dst") * 3, F.lit(10)) == 0
     side = lambda keep: replace(g, edges={c: e.where(keep) for c, e in forward.items()}, inverse={})
     train, val = prepare.others_to_train(side(~held), side(held), ["lives-in"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..graph import HinGraph, reversed_edges
+from ..graph import HinGraph, Tables, reversed_edges
 from ..operators import atomize
 from ..types import CEType
 
@@ -21,11 +23,23 @@ def commerce(spark: SparkSession, sf_dir: str) -> HinGraph:
     """Customers, orders, parts, suppliers, nations, regions, and the parts' attributes as node types.
 
     The target is the customer; its class is its market segment, which is no node type.
+    Tables are read, and ids of attributes written, when a query first asks for them.
     """
-    t = {name: table(spark, sf_dir, name) for name in ("customer", "orders", "lineitem", "part", "supplier", "nation", "region")}.__getitem__
-    segments = t("customer").select("c_mktsegment").distinct().select("c_mktsegment", (F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1).cast("long").alias("label"))
-    customers = t("customer").join(F.broadcast(segments), "c_mktsegment").select(F.col("c_custkey").alias("nid"), "label", F.expr(SPLIT).alias("split"))  # a row for each segment
-    ids = lambda name, key: t(name).select(F.col(key).cast("long").alias("nid"))
+    t = functools.cache(lambda name: table(spark, sf_dir, name))
+
+    def customers() -> DataFrame:
+        segments = t("customer").select("c_mktsegment").distinct().select("c_mktsegment", (F.dense_rank().over(Window.orderBy("c_mktsegment")) - 1).cast("long").alias("label"))
+        return t("customer").join(F.broadcast(segments), "c_mktsegment").select(F.col("c_custkey").alias("nid"), "label", F.expr(SPLIT).alias("split"))  # a row for each segment
+
+    def ids(name: str, key: str):
+        return lambda: t(name).select(F.col(key).cast("long").alias("nid"))
+
+    def pair(name: str, a: str, b: str):
+        return lambda: t(name).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
+
+    def per_line(a: str, weight):
+        return lambda: t("lineitem").groupBy(F.col(a).alias("src"), F.col("l_partkey").alias("dst")).agg(weight().alias("weight"))
+
     nodes = {
         "customer": customers,
         "order": ids("orders", "o_orderkey"),
@@ -34,25 +48,21 @@ def commerce(spark: SparkSession, sf_dir: str) -> HinGraph:
         "nation": ids("nation", "n_nationkey"),
         "region": ids("region", "r_regionkey"),
     }
-    pair = lambda name, a, b: t(name).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
-    line = t("lineitem")
     edges = {
         CEType("customer", "places", "order"): pair("orders", "o_custkey", "o_orderkey"),
-        CEType("order", "contains", "part"): line.groupBy(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.sum("l_quantity").alias("weight")),
-        CEType("supplier", "supplies", "part"): line.groupBy(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").cast("double").alias("weight")),
+        CEType("order", "contains", "part"): per_line("l_orderkey", lambda: F.sum("l_quantity")),
+        CEType("supplier", "supplies", "part"): per_line("l_suppkey", lambda: F.count("*").cast("double")),
         CEType("customer", "lives-in", "nation"): pair("customer", "c_custkey", "c_nationkey"),
         CEType("supplier", "based-in", "nation"): pair("supplier", "s_suppkey", "s_nationkey"),
         CEType("nation", "part-of", "region"): pair("nation", "n_nationkey", "n_regionkey"),
     }
     back = {"places": "placed-by", "contains": "in-order", "supplies": "supplied-by", "lives-in": "home-of", "based-in": "base-of", "part-of": "has-nation"}
     for ntype, column in (("brand", "p_brand"), ("ptype", "p_type"), ("size", "p_size")):
-        values, links = atomize.categories(t("part"), "p_partkey", column)
-        nodes[ntype] = values
-        edges[CEType("part", f"has-{ntype}", ntype)] = links
+        both = functools.cache(functools.partial(lambda column: atomize.categories(t("part"), "p_partkey", column), column))
+        nodes[ntype] = functools.partial(lambda both: both()[0], both)
+        edges[CEType("part", f"has-{ntype}", ntype)] = functools.partial(lambda both: both()[1], both)
         back[f"has-{ntype}"] = f"{ntype}-of"
-    inverse = {}
-    for c in list(edges):
-        other = CEType(c.dst, back[c.etype], c.src)
-        edges[other] = reversed_edges(edges[c])
-        inverse |= {c: other, other: c}
-    return HinGraph(nodes, edges, inverse, "customer")
+    edges = Tables(edges)
+    others = {c: CEType(c.dst, back[c.etype], c.src) for c in edges}
+    turned = {other: functools.partial(lambda c: reversed_edges(edges[c]), c) for c, other in others.items()}
+    return HinGraph(nodes, edges | turned, others | {b: a for a, b in others.items()}, "customer")
