@@ -27,7 +27,7 @@ def test_what_a_query_does_not_touch_is_not_written(spark, sf_dir, written):
 
 def test_ids_are_written_once_for_nodes_edges_and_inverses(spark, sf_dir, written):
     g = commerce(spark, sf_dir)
-    h = g.without_etypes(["home-of"]).with_self_loops(["brand"]).of_meta(g.meta)
+    h = g.without_etypes(["home-of"]).with_self_loops(["brand"])
     for graph in (g, h):
         graph.nodes["brand"], graph.edge("has-brand"), graph.edge("brand-of")
     assert len(written) == 1
