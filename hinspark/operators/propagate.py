@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import functools
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
@@ -180,3 +182,55 @@ def metapath_pattern(graph: HinGraph, paths: list[list[str | tuple]]) -> DataFra
     return out.distinct()
 
 
+def rows_along(graph: HinGraph, feats: DataFrame, path: Metapath, wanted: DataFrame, normalize: bool = True) -> DataFrame:
+    """A_k … A_1 X at the wanted nodes (nid) of the metapath's end only.
+
+    The wanted rows are sent back through the chain first, a semi-join for each edge
+    type: what doesn't lead to them is neither normalised nor multiplied.  Weights are
+    normalised over whole rows, as a kept row keeps all of its edges.
+    """
+    steps, rows = [], wanted.select("nid").distinct()
+    for c in reversed([c for c in path if not c.is_self_loop]):
+        edges = graph.edges[c].join(rows.withColumnRenamed("nid", "dst"), "dst", "left_semi")
+        adj = linalg.adjacency(edges)
+        steps.insert(0, linalg.row_normalized(adj) if normalize else adj)
+        rows = edges.select(F.col("src").alias("nid")).distinct()
+    out = feats.join(rows, "nid", "left_semi")
+    for adj in steps:
+        out = linalg.apply(adj, out)
+    return out.select("nid", "slot", "col", "val")
+
+
+@dataclass(frozen=True)
+class MetapathDataset:
+    """Features of the nodes of one type by many metapaths, as rows that are made when they are asked for.
+
+    ``feats`` are the features of each metapath's first type; where they have several
+    slots, as those of :func:`slots` do, a metapath has a block for each of them.
+    """
+
+    graph: HinGraph
+    feats: Mapping[str, DataFrame]
+    paths: Mapping[str, Metapath]
+    normalize: bool = True
+
+    def __post_init__(self):
+        ends = {p[-1].dst for p in self.paths.values()}
+        if len(ends) != 1:
+            raise ValueError(f"metapaths end at {len(ends)} node types")
+
+    def rows(self, wanted: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
+        """(mp, nid, slot, col, val) of the wanted nodes, by the asked metapaths; nothing else is multiplied."""
+        names = list(self.paths) if names is None else list(names)
+        parts = [rows_along(self.graph, self.feats[self.paths[n][0].src], self.paths[n], wanted, self.normalize).select(F.lit(n).alias("mp"), "nid", "slot", F.col("col").cast("long").alias("col"), "val") for n in names]
+        return functools.reduce(DataFrame.unionByName, parts)
+
+    def all(self) -> DataFrame:
+        """(mp, nid, slot, col, val) of every node, products sharing their prefixes."""
+        used = {c for p in self.paths.values() for c in p if not c.is_self_loop}
+        adjs = {c: linalg.adjacency(self.graph.edges[c]) for c in used}
+        if self.normalize:
+            adjs = {c: linalg.row_normalized(a) for c, a in adjs.items()}
+        made = MetapathFeatures(adjs, dict(self.feats), persist=False).build(list(self.paths.values()))
+        parts = [made[p].select(F.lit(n).alias("mp"), "nid", "slot", F.col("col").cast("long").alias("col"), "val") for n, p in self.paths.items()]
+        return functools.reduce(DataFrame.unionByName, parts)
