@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import features, propagate
 from .operators.cache import FeatureCache
-from .queries import _BRANDS, _CONTAINS, _IN_ORDER, _PLACED_BY, rounded
+from .queries import _BRANDS, _CONTAINS, _CUSTOMERS, _IN_ORDER, _PLACED_BY, rounded
 from .scratch import new_path
 from .sources import rowstore
+from .sources.builders import build
 from .sources.relational import commerce
+from .sources.specs import Relation, Spec
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +99,45 @@ def cached_slots(spark, sf_dir):
         out = FeatureCache(spark, folder).slots(g, {"region": features.identity(g.nodes["region"], "region")})
     parts = [f.select(F.lit(n).alias("ntype"), "nid", F.col("col").cast("long").alias("col"), "val") for n, f in out.items()]
     return reduce(DataFrame.unionByName, parts)
+
+
+# ---- networks from raw folders
+
+_RAW = Spec(
+    ("customer", "order", "part", "nation", "region"),
+    (Relation("customer", "places", "order", "placed-by"), Relation("order", "contains", "part", "in-order"), Relation("customer", "lives-in", "nation", "home-of"), Relation("nation", "part-of", "region", "has-nation")),
+    target="customer",
+)
+
+
+def raw_folder(spark: SparkSession, sf_dir: str) -> str:
+    """The commerce network as files of nodes, links and labels, as a benchmark would come."""
+    g = commerce(spark, sf_dir)
+    g = replace(g, nodes=g.nodes.only(_RAW.ntypes), edges=g.edges.only(g.meta.canonical(r.name) for r in _RAW.relations), inverse={})
+    path, text = new_path(spark, "raw"), lambda *c: F.concat_ws("\t", *c).alias("value")
+    nodes, links = g.homogeneous(_RAW.ntypes)
+    names = F.concat(F.array(*map(F.lit, _RAW.ntypes))[F.col("type")], F.lit("-"), F.col("nid"))
+    nodes.select(text("gid", names, "type")).write.text(f"{path}/node.dat")
+    links.select(text("src", "dst", "etype", "weight")).write.text(f"{path}/link.dat")
+    known = g.nodes["customer"].where("split is not null")
+    for split in ("train", "val", "test"):
+        known.where(F.col("split") == split).select(text("nid", F.concat(F.lit("customer-"), F.col("nid")), F.lit("0"), "label")).write.text(f"{path}/data_{split}.dat")
+    return path
+
+
+_RAW_EDGES = """e AS (SELECT 'places' AS a, 'placed-by' AS b, o_custkey::BIGINT AS src, o_orderkey::BIGINT AS dst FROM orders UNION ALL SELECT DISTINCT 'contains', 'in-order', l_orderkey, l_partkey FROM lineitem
+    UNION ALL SELECT 'lives-in', 'home-of', c_custkey, c_nationkey FROM customer UNION ALL SELECT 'part-of', 'has-nation', n_nationkey, n_regionkey FROM nation),
+    both AS (SELECT a AS etype, src, dst FROM e UNION ALL SELECT b, dst, src FROM e)"""
+
+
+@query(f"WITH {_RAW_EDGES} SELECT etype, src, dst FROM both")
+def raw_network(spark, sf_dir):
+    """Every edge type of the network that is written as raw files and built from them by declaration."""
+    g = build(spark, raw_folder(spark, sf_dir), _RAW).graph
+    return reduce(DataFrame.unionByName, [e.select(F.lit(c.etype).alias("etype"), "src", "dst") for c, e in g.edges.items()])
+
+
+@query(f"WITH {_CUSTOMERS} SELECT nid, CASE WHEN split IS NOT NULL THEN label END AS label, split FROM customers")
+def raw_network_labels(spark, sf_dir):
+    """The target nodes of the network built from raw files, with their classes and splits."""
+    return build(spark, raw_folder(spark, sf_dir), _RAW).graph.nodes["customer"].select("nid", "label", "split")
