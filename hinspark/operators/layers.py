@@ -230,3 +230,59 @@ def metapath_attention(per_path: DataFrame, query: list[list[float]], key: list[
     sums = scored.join(top, ["nid", "mp"]).groupBy("nid", "mp", "i").agg((F.sum(e * F.col("v")) / F.sum(e)).alias("v"))
     rows = sums.groupBy("nid", "mp").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v"))
     return p.join(rows, ["nid", "mp"]).select("nid", "mp", F.zip_with("h", "v", lambda x, y: x.cast("double") + gamma * y).alias("h"))
+
+
+def slot_gat_conv(edges: DataFrame, nodes: DataFrame, weight: dict[str, list[list[list[float]]]], left: dict[str, list[list[float]]], right: dict[str, list[list[float]]], slope: float = 0.2, before: DataFrame | None = None, alpha: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """((nid, slot, h), (src, dst, head, a)): attention that all slots of a node share, messages that stay in their slots.
+
+    ``nodes`` are (nid, slot, h); a slot that a node hasn't is zeros and needs no row.
+    Each slot has a matrix for each head and its part of both attention vectors, so an
+    end's score is a number for each head: the sum of its slots' parts.  Edges are
+    (src, dst[, etype_logit]).  With the attention of the layer before, the new one
+    is mixed with it, ``alpha`` of the old.  Messages are added up by (node, slot,
+    head, element) first, then put together by (node, slot).
+    """
+    slots, heads = sorted(weight), len(next(iter(weight.values())))
+    table = lambda rows: F.array(*(F.array(*map(F.lit, r)) for r in rows))
+    parts = []
+    for s in slots:
+        own = nodes.where(F.col("slot") == s).select("nid", "slot", F.posexplode(F.array(*(matvec(m, F.col("h")) for m in weight[s]))).alias("head", "f"))
+        parts.append(own.select("nid", "slot", "head", "f", dot(F.col("f"), F.get(table(left[s]), F.col("head"))).alias("l"), dot(F.col("f"), F.get(table(right[s]), F.col("head"))).alias("r")))
+    projected = parts[0]
+    for p in parts[1:]:
+        projected = projected.unionByName(p)
+    ends = projected.groupBy("nid", "head").agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    more = F.col("etype_logit") if "etype_logit" in edges.columns else F.lit(0.0)
+    each = edges.select("src", "dst", more.alias("e"), F.explode(F.sequence(F.lit(0), F.lit(heads - 1))).alias("head"))
+    scored = each.join(ends.select(F.col("nid").alias("src"), "head", "l"), ["src", "head"], "left").join(ends.select(F.col("nid").alias("dst"), "head", "r"), ["dst", "head"], "left")
+    x = F.coalesce("l", F.lit(0.0)) + F.coalesce("r", F.lit(0.0)) + F.col("e")
+    a = softmax(scored.select("src", "dst", "head", leaky_relu(x, slope).alias("x")), ["dst", "head"], "x", "a").select("src", "dst", "head", "a")
+    if before is not None:
+        a = a.join(before.withColumnRenamed("a", "b"), ["src", "dst", "head"], "left").select("src", "dst", "head", attention_residual(F.col("a"), F.coalesce("b", "a"), alpha).alias("a"))
+    sent = a.join(projected.select(F.col("nid").alias("src"), "slot", "head", "f"), ["src", "head"]).select("dst", "slot", "head", "a", F.posexplode("f").alias("i", "f"))
+    cells = sent.groupBy("dst", "slot", "head", "i").agg(F.sum(F.col("a") * F.col("f")).alias("v"))
+    rows = cells.groupBy(F.col("dst").alias("nid"), "slot").agg(F.transform(F.array_sort(F.collect_list(F.struct("head", "i", "v"))), lambda c: c["v"]).alias("h"))
+    return rows, a
+
+
+def slots_merged(rows: DataFrame, slots: list[str], width: int, how: str, w: list[list[float]] | None = None, b: list[float] | None = None, q: list[float] | None = None) -> DataFrame:
+    """(nid, h) of (nid, slot, h): slots ``mean``, ``max`` or ``concat``, or weighted by a ``softmax`` over slots.
+
+    The softmax is over q · tanh(w h + b), averaged over all nodes.  Missing slots
+    are zeros and count as such.  A node's slots are gathered in one row, as many
+    vectors as there are slots at most.
+    """
+    known = rows.groupBy("nid").agg(F.map_from_entries(F.collect_list(F.struct("slot", "h"))).alias("m"))
+    zeros = F.array_repeat(F.lit(0.0), width)
+    all_ = F.array(*(F.coalesce(F.element_at("m", F.lit(s)), zeros) for s in slots))
+    if how == "softmax":
+        score = lambda h: dot(F.zip_with(matvec(w, h), F.array(*map(F.lit, b)), lambda x, y: F.tanh(x + y)), F.array(*map(F.lit, q)))
+        long = known.select("nid", F.posexplode(all_).alias("k", "h"))
+        means = long.groupBy("k").agg(F.avg(score(F.col("h"))).alias("x")).withColumn("all", F.lit(0))
+        beta = softmax(means, ["all"], "x", "beta").select("k", "beta")
+        return vector_sum(long.join(F.broadcast(beta), "k"), "nid", "h", F.col("beta"))  # a row for each slot
+    add = lambda f: F.aggregate(F.slice(all_, 2, len(slots)), F.get(all_, 0), lambda s, h: F.zip_with(s, h, f))
+    made = {"mean": lambda: F.transform(add(lambda x, y: x + y), lambda x: x / len(slots)), "max": lambda: add(lambda x, y: F.greatest(x, y)), "concat": lambda: F.flatten(all_)}
+    if how not in made:
+        raise ValueError(how)
+    return known.select("nid", made[how]().alias("h"))

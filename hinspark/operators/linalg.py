@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..scratch import dropped, written
 from ..types import CEType
 
 
@@ -118,3 +119,25 @@ def path_instances(steps: list[DataFrame]) -> DataFrame:
     for e in steps[1:]:
         now = now.join(e.select(F.col("src").alias("at"), F.col("dst").alias("to")), "at").select(F.concat("path", F.array("to")).alias("path"), F.col("to").alias("at"))
     return now.select("path")
+
+
+def squared_powers(edges: DataFrame, nodes: DataFrame, order: int) -> list[DataFrame]:
+    """The patterns (src, dst) of A, A², A⁴ and so on, ``order`` of them at most; A has a loop at every node and no other.
+
+    Each is the one before squared, and written, so no plan holds more than one
+    product.  With loops a pattern only grows; one that doesn't is a fixed point, and
+    the list ends before it.
+    """
+    loops = nodes.select(F.col("nid").alias("src"), F.col("nid").alias("dst"))
+    now = written(edges.where("src <> dst").select("src", "dst").union(loops).distinct(), "power")
+    out, size = [now], now.count()
+    while len(out) < order:
+        ahead = now.select(F.col("src").alias("mid"), "dst")
+        squared = written(now.select("src", F.col("dst").alias("mid")).join(ahead, "mid").select("src", "dst").distinct(), "power")
+        before, size = size, squared.count()
+        if size == before:
+            dropped(squared)
+            break
+        out.append(squared)
+        now = squared
+    return out

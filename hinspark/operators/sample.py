@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import hash_order, hash_uniform
+from ..graph import HinGraph
 from ..scratch import written
+from .atomize import dense_ids
 
 
 def split_first_lines(lines: DataFrame, line: str = "line_no", share: int = 5) -> DataFrame:
@@ -192,3 +196,32 @@ def node_sequences(edges: DataFrame, targets: DataFrame, length: int, hops: int,
     seq = F.transform(F.array_sort(F.collect_list(F.struct("r", "at"))), lambda x: x["at"])
     out = ranked.groupBy("nid").agg(seq.alias("seq"))
     return out.select("nid", F.concat("seq", F.array_repeat(F.lit(None).cast("long"), F.lit(length) - F.size("seq"))).alias("seq"))
+
+
+def subgraph(graph: HinGraph, seeds: dict[str, DataFrame], fanouts: list[dict | int], seed: int = 0) -> tuple[HinGraph, dict[str, DataFrame]]:
+    """The network of the last sampled layer, with ids from 0 in each type, and the seeds under their new ids.
+
+    Layers are sampled as :func:`layers` does.  The nodes are the last frontier, which
+    is closed: the edges are those sampled for the layer before it, so both ends are
+    in it.  Nodes are (nid, old), numbered in the order of their old ids; all types are
+    numbered in one pass over ranges, so none is one task's.  A seed without edges stays.
+    Each frontier and sample is written once, not sampled again for each of its uses.
+    """
+    before = {n: written(df.select("nid").distinct(), "frontier") for n, df in layers(graph, seeds, fanouts[:-1], seed)[1].items()}
+    last = {c: written(e, "sampled") for c, e in layers(graph, before, fanouts[-1:], seed + len(fanouts) - 1)[0][0].items()}
+    frontier = dict(before)
+    for c, e in last.items():
+        found = e.select(F.col("src").alias("nid"))
+        frontier[c.src] = frontier[c.src].union(found) if c.src in frontier else found
+    kinds = sorted(frontier)
+    nodes = functools.reduce(DataFrame.unionByName, [frontier[n].select(F.struct(F.lit(k).alias("type"), F.col("nid").alias("old")).alias("key")) for k, n in enumerate(kinds)])
+    placed = dense_ids(nodes, "key").select("key.type", "key.old", F.col("nid").alias("place"))
+    first = placed.groupBy("type").agg(F.min("place").alias("first"))
+    ids = written(placed.join(F.broadcast(first), "type").select("type", "old", (F.col("place") - F.col("first")).alias("nid")), "subgraph")  # a row for each type
+    of = {n: ids.where(F.col("type") == k).select("nid", "old") for k, n in enumerate(kinds)}
+    edges = {}
+    for c, e in last.items():
+        src, dst = (of[t].select(F.col("nid").alias(f"new_{end}"), F.col("old").alias(end)) for t, end in ((c.src, "src"), (c.dst, "dst")))
+        edges[c] = e.join(src, "src").join(dst, "dst").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"))
+    begun = {n: df.select(F.col("nid").alias("old")).distinct().join(of[n], "old").select("nid", "old") for n, df in seeds.items()}
+    return HinGraph(of, edges, {}, graph.target if graph.target in of else None), begun

@@ -8,10 +8,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import features, propagate
+from .operators import features, layers, linalg, propagate, sample
 from .operators.cache import FeatureCache
-from .queries import _BRANDS, _CONTAINS, _CUSTOMERS, _IN_ORDER, _PLACED_BY, rounded
-from .scratch import new_path
+from .queries import _BRANDS, _CONTAINS, _CUSTOMERS, _IN_ORDER, _PLACED_BY, _RING, _ring, rounded
+from .scratch import new_path, written
 from .sources import rowstore
 from .sources.builders import build
 from .sources.relational import commerce
@@ -127,10 +127,10 @@ def raw_folder(spark: SparkSession, sf_dir: str) -> str:
 
 _RAW_EDGES = """e AS (SELECT 'places' AS a, 'placed-by' AS b, o_custkey::BIGINT AS src, o_orderkey::BIGINT AS dst FROM orders UNION ALL SELECT DISTINCT 'contains', 'in-order', l_orderkey, l_partkey FROM lineitem
     UNION ALL SELECT 'lives-in', 'home-of', c_custkey, c_nationkey FROM customer UNION ALL SELECT 'part-of', 'has-nation', n_nationkey, n_regionkey FROM nation),
-    both AS (SELECT a AS etype, src, dst FROM e UNION ALL SELECT b, dst, src FROM e)"""
+    ways AS (SELECT a AS etype, src, dst FROM e UNION ALL SELECT b, dst, src FROM e)"""
 
 
-@query(f"WITH {_RAW_EDGES} SELECT etype, src, dst FROM both")
+@query(f"WITH {_RAW_EDGES} SELECT etype, src, dst FROM ways")
 def raw_network(spark, sf_dir):
     """Every edge type of the network that is written as raw files and built from them by declaration."""
     g = build(spark, raw_folder(spark, sf_dir), _RAW).graph
@@ -141,3 +141,71 @@ def raw_network(spark, sf_dir):
 def raw_network_labels(spark, sf_dir):
     """The target nodes of the network built from raw files, with their classes and splits."""
     return build(spark, raw_folder(spark, sf_dir), _RAW).graph.nodes["customer"].select("nid", "label", "split")
+
+
+# ---- sampled subgraphs, powers, slots
+
+_PICK = lambda rows, n, seed: f"(SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY md5(src || '-' || dst || '-{seed}'), src) AS r FROM {rows}) WHERE r <= {n})"
+
+
+@query(
+    f"""WITH pb AS (SELECT o_orderkey AS src, o_custkey AS dst FROM orders), pl AS (SELECT dst AS src, src AS dst FROM pb), io AS (SELECT DISTINCT l_partkey AS src, l_orderkey AS dst FROM lineitem),
+    one AS (SELECT * FROM {_PICK("pb", 3, 5)} WHERE dst IN (SELECT c_custkey FROM customer)), f_order AS (SELECT DISTINCT src AS nid FROM one),
+    e AS (SELECT 'placed-by' AS etype, src, dst FROM {_PICK("pb", 2, 6)} WHERE dst IN (SELECT c_custkey FROM customer)
+      UNION ALL SELECT 'places', src, dst FROM {_PICK("pl", 2, 6)} WHERE dst IN (FROM f_order) UNION ALL SELECT 'in-order', src, dst FROM {_PICK("io", 2, 6)} WHERE dst IN (FROM f_order)),
+    n AS (SELECT 'customer' AS t, c_custkey AS old FROM customer UNION SELECT 'order', nid FROM f_order UNION SELECT 'order', src FROM e WHERE etype = 'placed-by'
+      UNION SELECT 'customer', src FROM e WHERE etype = 'places' UNION SELECT 'part', src FROM e WHERE etype = 'in-order'),
+    i AS (SELECT t, old, row_number() OVER (PARTITION BY t ORDER BY old) - 1 AS nid FROM n),
+    k AS (SELECT * FROM (VALUES ('placed-by', 'order', 'customer'), ('places', 'customer', 'order'), ('in-order', 'part', 'order')) AS x(etype, s, d))
+    SELECT e.etype, a.nid AS src, b.nid AS dst, a.old AS old_src, b.old AS old_dst FROM e JOIN k USING (etype) JOIN i a ON a.t = k.s AND a.old = e.src JOIN i b ON b.t = k.d AND b.old = e.dst"""
+)
+def sampled_subgraph(spark, sf_dir):
+    """Two layers sampled from all customers, re-numbered; edges under their new and old ids."""
+    g = commerce(spark, sf_dir)
+    g = g.of_meta(type(g.meta)(("customer", "order", "part"), tuple(g.meta.canonical(e) for e in ("placed-by", "places", "in-order"))))
+    small, _ = sample.subgraph(g, {"customer": g.nodes["customer"]}, [3, 2], seed=5)
+    parts = []
+    for c, e in small.edges.items():
+        a, b = (small.nodes[t].select(F.col("nid").alias(end), F.col("old").alias(f"old_{end}")) for t, end in ((c.src, "src"), (c.dst, "dst")))
+        parts.append(e.join(a, "src").join(b, "dst").select(F.lit(c.etype).alias("etype"), "src", "dst", "old_src", "old_dst"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS k FROM region UNION ALL SELECT 'n' || n_nationkey FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier),
+    a AS (SELECT k AS src, k AS dst FROM n UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation),
+    b AS (SELECT DISTINCT x.src, y.dst FROM a x JOIN a y ON x.dst = y.src) SELECT 1 AS power, src, dst FROM a UNION ALL SELECT 2, src, dst FROM b"""
+)
+def adjacency_powers(spark, sf_dir):
+    """People to nations to regions with loops: A and A²; A⁴ is A² again, so there are no more."""
+    t = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = lambda a, c: F.concat(F.lit(a), F.col(c))
+    nodes = [t(name).select(key(a, c).alias("nid")) for name, a, c in (("region", "r", "r_regionkey"), ("nation", "n", "n_nationkey"), ("customer", "c", "c_custkey"), ("supplier", "s", "s_suppkey"))]
+    ends = (("customer", "c", "c_custkey", "n", "c_nationkey"), ("supplier", "s", "s_suppkey", "n", "s_nationkey"), ("nation", "n", "n_nationkey", "r", "n_regionkey"))
+    edges = [t(name).select(key(a, x).alias("src"), key(b, y).alias("dst")) for name, a, x, b, y in ends]
+    powers = linalg.squared_powers(reduce(DataFrame.union, edges), reduce(DataFrame.union, nodes), 5)
+    return reduce(DataFrame.unionByName, [p.select(F.lit(2**k).alias("power"), "src", "dst") for k, p in enumerate(powers)])
+
+
+_SLOTS = f"""{_RING}, v AS (SELECT c_custkey AS nid, 0.5 * c_acctbal / 1000 AS a, -0.25 * (c_custkey % 7) AS b FROM customer),
+    z AS (SELECT f.dst, s.a, s.b, 0.3 * s.a + 0.2 * s.b - 0.1 * d.a + 0.4 * d.b AS z FROM f JOIN v s ON s.nid = f.src JOIN v d ON d.nid = f.dst), w AS (SELECT *, exp(CASE WHEN z >= 0 THEN z ELSE 0.2 * z END) AS w FROM z),
+    h AS (SELECT dst AS nid, sum(w * a) / sum(w) AS a, sum(w * b) / sum(w) AS b FROM w GROUP BY 1),
+    q AS (SELECT avg(0.7 * tanh(0.5 * a + 0.1)) AS qa, avg(0.7 * tanh(0.5 * b + 0.1)) AS qb FROM h)"""
+
+
+@query(
+    f"""WITH {_SLOTS} SELECT 'mean' AS how, nid, 0 AS i, round((a + b) / 2 + 1e-9, 6) AS x FROM h UNION ALL SELECT 'max', nid, 0, round(greatest(a, b) + 1e-9, 6) FROM h
+    UNION ALL SELECT 'concat', nid, 0, round(a + 1e-9, 6) FROM h UNION ALL SELECT 'concat', nid, 1, round(b + 1e-9, 6) FROM h
+    UNION ALL SELECT 'softmax', nid, 0, round((exp(qa) * a + exp(qb) * b) / (exp(qa) + exp(qb)) + 1e-9, 6) FROM h, q"""
+)
+def slot_attention_layer(spark, sf_dir):
+    """Customers with two slots; attention shared by both, slots merged in four ways."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    slot = lambda name, x: people.select(F.col("c_custkey").alias("nid"), F.lit(name).alias("slot"), F.array(x.cast("double")).alias("h"))
+    nodes = slot("balance", F.col("c_acctbal") / 1000).unionByName(slot("rest", F.col("c_custkey") % 7).where("h[0] <> 0"))
+    rows, _ = layers.slot_gat_conv(_ring(spark, sf_dir), nodes, {"balance": [[[0.5]]], "rest": [[[-0.25]]]}, {"balance": [[0.3]], "rest": [[0.2]]}, {"balance": [[-0.1]], "rest": [[0.4]]})
+    rows, parts = written(rows, "slots"), []
+    for how in ("mean", "max", "concat", "softmax"):
+        merged = layers.slots_merged(rows, ["balance", "rest"], 1, how, [[0.5]], [0.1], [0.7])
+        parts.append(merged.select(F.lit(how).alias("how"), "nid", F.posexplode("h").alias("i", "x")).select("how", "nid", "i", rounded("x").alias("x")))
+    return reduce(DataFrame.unionByName, parts)
