@@ -19,8 +19,12 @@ by (doc_id, place in the document), is equal to it or, for lines of at least
    known, and without it both must be equal.
 
 Keys are counted by grouped minima and maxima, which are combined before the shuffle,
-so a key that very many lines share is no task's burden.  The work on a line grows with
-its length times its logarithm.
+so a key that very many lines share is no task's burden.  A line is read whole for each
+stretch that it shares at a step, and each step has stretches a quarter as long; the
+pair of lines that share one share no other at that step, in runs of one character too.
+
+With one edit allowed at any length, short lines match often: "2." goes after "1.", and
+"Page 2" after "Page 1".  ``min_chars`` sets a least length for that.
 
 Defined results: a line without a visible character is always kept and matches
 nothing; null text stays null; rows without a doc_id are left as they are and are
@@ -61,17 +65,23 @@ def _without(line: Column, n: Column, i: Column) -> Column:
     return F.concat(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))
 
 
+def _begins_run(line: Column, a: Column, z: Column) -> Column:
+    """Whether a run of equal characters begins at one of the places a to z of a line."""
+    inside = F.substring(line, a, z - a + 2)
+    return (a == 0) | (F.replace(inside, F.substring(inside, 1, 1), F.lit("")) != "")
+
+
 def _lines(docs: DataFrame, text: str) -> DataFrame:
     rows = docs.where("doc_id is not null").select("doc_id", F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
     return rows.select("doc_id", "pos", _trimmed(F.col("raw")).alias("line")).where("line <> ''")
 
 
 def _shared(keys: DataFrame) -> DataFrame:
-    """The rows whose key another line has too, without the key."""
+    """The rows whose key another line has too."""
     dup = written(keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key"), "keys")
     if dup.count() <= MAX_BROADCAST_KEYS:
         dup = F.broadcast(dup)
-    return keys.join(dup, "key", "left_semi").drop("key")
+    return keys.join(dup, "key", "left_semi")
 
 
 def _first_lines(docs: DataFrame, text: str) -> DataFrame:
@@ -80,6 +90,7 @@ def _first_lines(docs: DataFrame, text: str) -> DataFrame:
     lines = _lines(docs, text).withColumn("n", F.length("line"))
     half = lambda m, b: _key(line, n, m, F.when(F.lit(b == 0), F.lit(0)).otherwise((m / 2).cast("int")), F.when(F.lit(b == 0), (m / 2).cast("int")).otherwise(m))
     keys = {f"k{2 * d + b}": half(n - d, b) for d in (0, 1) for b in (0, 1)}
+    keys["k3"] = F.when(_begins_run(line, ((n - 1) / 2).cast("int"), n - 1), keys["k3"])
     hashed = lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), "n", F.struct("doc_id", "pos").alias("at"), *(v.alias(k) for k, v in keys.items()))
     firsts = hashed.groupBy("h1", "h2").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", *keys)))
     return firsts.select("h1", "h2", "n", "at.doc_id", "at.pos", *keys)
@@ -99,7 +110,7 @@ def _near(docs: DataFrame, firsts: DataFrame, text: str, min_chars: int) -> Data
     # halves: hole b of class m, where m is the length of the shorter line of a pair
     holes = F.explode(F.array(*(F.struct(F.col(f"k{2 * d + b}").alias("key"), F.lit(d).alias("d"), F.lit(b).alias("b")) for d in (0, 1) for b in (0, 1))))
     halves = firsts.where(F.col("n") >= min_chars).select("h1", "h2", "n", "doc_id", "pos", holes.alias("x")).select("h1", "h2", "n", "doc_id", "pos", "x.*")
-    halves = _shared(halves)
+    halves = _shared(halves.where("key is not null"))
     wanted = written(halves.groupBy("h1", "h2", "n", "doc_id", "pos").agg(F.collect_set(F.struct("d", "b")).alias("holes")), "halves")
     lines = written(_texts(docs, wanted, text).select("h1", "h2", "n", "doc_id", "pos", "line", "holes"), "lines")
     # the shared stretch [a, z) of class m, in four again while it is long
@@ -111,22 +122,27 @@ def _near(docs: DataFrame, firsts: DataFrame, text: str, min_chars: int) -> Data
         cut = lambda q: (F.col("a") + (F.col("z") - F.col("a")).cast("long") * q / 4).cast("int")
         parts = stretches.join(texts, ["h1", "h2"]).withColumn("q", F.explode(F.array(*map(F.lit, range(4)))))
         parts = parts.select("h1", "h2", "n", "m", "line", cut(F.col("q")).alias("a"), cut(F.col("q") + 1).alias("z"))
+        parts = parts.where((n == m) | _begins_run(line, F.col("a"), F.col("z")))
         keyed = written(parts.select("h1", "h2", "n", "m", "a", "z", _key(line, n, m, F.col("a"), F.col("z")).alias("key")), "keyed")
         parts = written(_shared(keyed), "stretches")
         dropped(keyed)
         short.append(parts.where(F.col("z") - F.col("a") <= MAX_HOLE))
-        stretches = parts.where(F.col("z") - F.col("a") > MAX_HOLE)
+        stretches = parts.where(F.col("z") - F.col("a") > MAX_HOLE).drop("key")
         if stretches.isEmpty():
             break
-    eighths = functools.reduce(DataFrame.unionByName, short).select("h1", "h2", "m", "a", "z")
-    # the neighbourhood inside the stretch
-    inside = lines.select("h1", "h2", "n", "doc_id", "pos", "line").join(eighths, ["h1", "h2"])
-    gone = lambda i: F.xxhash64(F.substring(line, F.lit(1), i), F.substring(line, i + 2, n))
+    holes = functools.reduce(DataFrame.unionByName, short).select("h1", "h2", "m", "a", "z", "key")
+    # the neighbourhood inside the stretch, which for the longer line of a pair has one character more
+    inside = lines.select("h1", "h2", "n", "doc_id", "pos", "line").join(holes, ["h1", "h2"])
+    inside = inside.withColumn("before", F.substring(line, F.col("a"), 1)).withColumn("line", F.substring(line, F.col("a") + 1, F.col("z") - F.col("a") + n - m))
+    size, last = F.length("line"), F.length("line") - 1
+    hashed = lambda *of: F.xxhash64("key", "a", "z", *of)
     variant = lambda key, role, i: F.struct(key.alias("key"), F.lit(role).alias("role"), i.alias("i"))
-    substituted = F.transform(F.sequence(F.col("a"), F.col("z") - 1), lambda i: variant(F.xxhash64(F.lit(2), m, i, gone(i)), 2, i))
-    itself = F.array(variant(F.xxhash64(F.lit(1), m, F.xxhash64("line")), 0, F.lit(-1)))
-    shorter = F.transform(F.sequence(F.col("a"), F.col("z")), lambda i: variant(F.xxhash64(F.lit(1), m, F.xxhash64(_without(line, n, i))), 1, i))
-    of_class = F.when(n > m, shorter).when(F.col("a") < F.col("z"), F.concat(itself, substituted)).otherwise(itself)
+    every = F.sequence(F.lit(0), last)
+    substituted = F.transform(every, lambda i: variant(hashed(F.lit(2), i, _without(line, size, i)), 2, F.col("a") + i))
+    itself = F.array(variant(hashed(F.lit(1), line), 0, F.lit(-1)))
+    begins = lambda i: F.when(i == 0, (F.col("a") == 0) | (F.col("before") != F.substring(line, 1, 1))).otherwise(F.substring(line, i, F.lit(1)) != F.substring(line, i + 1, F.lit(1)))
+    shorter = F.transform(F.filter(every, begins), lambda i: variant(hashed(F.lit(1), _without(line, size, i)), 1, F.col("a") + i))
+    of_class = F.when(n > m, shorter).when(size > 0, F.concat(itself, substituted)).otherwise(itself)
     variants = inside.select("h1", "h2", "doc_id", "pos", F.explode(of_class).alias("x")).groupBy("h1", "h2", "doc_id", "pos", "x.key", "x.role").agg(F.min("x.i").alias("i"))
     variants = written(variants.select("key", "role", "i", F.struct("doc_id", "pos", "h1", "h2", "i").alias("at")), "variants")
     least = lambda role: F.min(F.when(F.col("role") == role, F.col("at")))

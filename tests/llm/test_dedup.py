@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -191,3 +192,26 @@ def test_components(spark):
             at[max(x, y)] = min(x, y)
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for i in at}
+
+
+def test_runs_and_periods_take_no_square(spark):
+    """Pairs of a million equal characters, and of a repeated pair of characters, each one edit apart."""
+    rows, n = [], 1_000_000
+    for k, x in enumerate(("=" * n, "ab" * (n // 2), "=" * (n // 2) + "-" + "=" * (n // 2))):
+        rows += [(10 * k, x), (10 * k + 1, x[:-1]), (10 * k + 2, x[: n // 3] + "Q" + x[n // 3 + 1 :]), (10 * k + 3, x[:-3])]
+    begun = time.perf_counter()
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert time.perf_counter() - begun < 60
+    # without its dash the line of doc 20 is that of doc 0, and the line of doc 23 that of doc 3
+    assert got == {0: 0, 1: 1, 2: 1, 3: 0, 10: 0, 11: 1, 12: 1, 13: 0, 20: 1, 21: 1, 22: 1, 23: 1}
+
+
+def test_runs_of_every_length_against_brute_force(spark):
+    draw = random.Random(11)
+    lines = ["=" * k for k in range(1, 140)] + ["ab" * k + "a" * (k % 2) for k in range(1, 80)] + ["=" * a + "-" + "=" * b for a, b in ((3, 60), (64, 64), (65, 64), (10, 130), (10, 129))]
+    lines += ["".join(draw.choices("ab", weights=(9, 1), k=draw.randint(60, 75))) for _ in range(120)]
+    lines += [x[:i] + draw.choice(["", "a", "ba"]) + x[i + 1 :] for x in draw.sample(lines, 80) for i in [draw.randrange(len(x))]]
+    draw.shuffle(lines)
+    rows = [(i, x) for i, x in enumerate(lines)]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: n for d, _, n, _ in expected_lines(rows)}
