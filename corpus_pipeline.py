@@ -20,8 +20,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier line matches, shorter ones than 20 characters only if equal; one without lines left goes."""
-    return line_dedup.without_repeated_lines(docs, min_chars=20).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without the lines that an earlier line is equal to or within one edit of; one without lines left goes."""
+    return line_dedup.without_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
