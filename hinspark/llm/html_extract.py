@@ -6,14 +6,19 @@ outermost article or main element, else the nearest sectioning block).  Scripts,
 menus, controls, and elements named as adverts or comments are left out.  The lines'
 text-to-tag ratios are smoothed with a Gaussian and clustered by a threshold, their
 standard deviation; a region is content if a line of it reaches the threshold, and
-articles that do go before all else.  On pages without such an article the content is
-the lowest element around all lines that reach it.  All text of the content is
-returned, short lines too.
+articles that do go before all else.  On pages without such an article ratios are
+smoothed within each region only, and the content is the lowest element around all
+lines that reach the threshold, without the lists and sections in it that hold no such
+line and mostly links; lines at the page's end that name a copyright aren't looked at.
+All other text of the content is returned, short lines too.
 
 Names of layout parts only vote inside an article: such a part goes if its text is
-mostly links or its ratios stay below the threshold.  A form's text goes unless the
-form is around an article, or holds most of a page without one.  Classes and ids count
-as whole words; an article or main inside an element dropped by its name is looked at
+mostly links or its ratios stay below the threshold.  Where a word of a name says
+advert, comment or notice (``advert-box``, ``user-comments``), the part goes if a line
+outside it reaches the threshold, so a wrapper of the whole article stays; a notice
+with a heading is a section of the article.  A form's text goes unless the form is
+around an article, or holds most of a page without one.  Other classes and ids count as
+whole words; an article or main inside an element dropped by its name is looked at
 again if the page has no other.
 
 Defined results: a null or empty page, or one without text, has empty text;
@@ -27,6 +32,7 @@ whole, in time that grows with their length.
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from typing import NamedTuple
@@ -84,7 +90,16 @@ LAYOUT = frozenset(
     "login-form newsletter-signup newsletter-form gdpr-notice".split()
 )
 
+#: Words of a name, between hyphens and underscores, that say that its element holds another text, or a notice.
+OTHER_WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus replies".split())
+NOTICE_WORDS = frozenset("notice notices cookie cookies consent gdpr disclaimer".split())
+
+#: Elements that may be a list of links between blocks of text.
+LISTS = SECTIONS | frozenset("dl ol table tbody tr ul".split())
+
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+_WORDS = re.compile(r"[-_\s]+")
+_COPYRIGHT = re.compile(r"(?i)\s*(copyright\b|\(c\)\s)|.*©")
 
 #: Levels of dropping; an article or main inside the second or third is looked at again.
 _NOT, _LAYOUT, _OTHER, _WHOLLY = range(4)
@@ -99,6 +114,8 @@ class _Line(NamedTuple):
     doubt: int  # the part of an article with a layout name that it lies in, or 0
     form: int  # the outermost form inside the article, or on the page, or 0
     linked: int  # characters inside links
+    anchors: int  # links that begin in it
+    named: int  # the innermost part named as another text or a notice that it lies in, or 0
 
 
 class _Open(NamedTuple):
@@ -111,6 +128,7 @@ class _Open(NamedTuple):
     articles: int
     doubt: int
     form: int
+    named: int
 
 
 class _Lines(HTMLParser):
@@ -127,15 +145,16 @@ class _Lines(HTMLParser):
         self.kinds: dict[int, int] = {}  # of a region that is an article: the level it was found in
         self.parents, self.names = [0], ["html"]  # of the containers, all block elements
         self.text: list[str] = []
-        self.tags = self.region = self.regions = self.container = self.doubt = self.form = self.linked = 0
+        self.around, self.notices, self.headed = [0], {0}, set()  # of the parts named so: the part around, which are notices, which have a heading
+        self.tags = self.region = self.regions = self.container = self.doubt = self.form = self.linked = self.anchors = self.named = 0
 
     def end_line(self) -> None:
         if not self.text:
             return
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append(_Line(text, self.tags, self.region, self.container, self.doubt, self.form, self.linked))
-            self.tags = self.linked = 0
+            self.lines.append(_Line(text, self.tags, self.region, self.container, self.doubt, self.form, self.linked, self.anchors, self.named))
+            self.tags = self.linked = self.anchors = 0
         self.text.clear()
 
     def updatepos(self, i: int, j: int) -> int:
@@ -172,8 +191,18 @@ class _Lines(HTMLParser):
             return _WHOLLY
         if tag in _HEADINGS or tag in PAGE_PARTS:
             return _NOT
-        names = f"{known.get('class') or ''} {known.get('id') or ''}".lower().split()
-        return _OTHER if not OTHER_TEXTS.isdisjoint(names) else _LAYOUT if not LAYOUT.isdisjoint(names) else _NOT
+        text = f"{known.get('class') or ''} {known.get('id') or ''}".lower()
+        names = text.split()
+        drops = _OTHER if not OTHER_TEXTS.isdisjoint(names) else _LAYOUT if not LAYOUT.isdisjoint(names) else _NOT
+        if drops != _OTHER and tag in BLOCK:
+            words = _WORDS.split(text)
+            other = not OTHER_WORDS.isdisjoint(words)
+            if other or not NOTICE_WORDS.isdisjoint(words):
+                self.around.append(self.named)
+                self.named = len(self.around) - 1
+                if not other:
+                    self.notices.add(self.named)
+        return drops
 
     def _close_last(self) -> str:
         last = self.open.pop()
@@ -182,7 +211,7 @@ class _Lines(HTMLParser):
             self.blocks[last.tag] -= 1
         else:
             self.scopes[-1][last.tag] -= 1
-        _, self.level, self.region, self.container, self.articles, self.doubt, self.form = last
+        _, self.level, self.region, self.container, self.articles, self.doubt, self.form, self.named = last
         return last.tag
 
     def _close(self, tag: str) -> None:
@@ -213,8 +242,13 @@ class _Lines(HTMLParser):
         if tag in VOID:
             return
         article = tag in ("article", "main")
+        opened = _Open(tag, self.level, self.region, self.container, self.articles, self.doubt, self.form, self.named)
         drops = self._drops(tag, attrs)
-        self.open.append(_Open(tag, self.level, self.region, self.container, self.articles, self.doubt, self.form))
+        self.open.append(opened)
+        if tag == "a":
+            self.anchors += 1
+        elif tag in _HEADINGS and tag != "p":
+            self.headed.add(self.named)
         if tag in BLOCK or tag == "head":
             self.scopes.append({})
             self.blocks[tag] = self.blocks.get(tag, 0) + 1
@@ -226,7 +260,7 @@ class _Lines(HTMLParser):
             self.form = self.form or len(self.names)
         found = self.level = max(self.level, drops)
         if article and not self.articles:
-            self.form = 0
+            self.form = self.named = 0
             if _NOT < found < _WHOLLY:
                 self.end_line()
                 self.level = _NOT
@@ -269,8 +303,46 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return spread / np.convolve(np.ones(len(ratios)), weights)[reach : reach + len(ratios)]
 
 
+def _by_region(lines: list[_Line], ratios: np.ndarray, sigma: float) -> np.ndarray:
+    """Ratios smoothed along the lines of each region, which see no other region's."""
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(lines):
+        places.setdefault(x.region, []).append(i)
+    out = ratios.copy()
+    for at in places.values():
+        if len(at) > 1:
+            out[at] = smoothed(ratios[at], sigma)
+    return out
+
+
+def _reaching(lines: list[_Line], smooth) -> list[_Line]:
+    """The lines whose smoothed ratio of text to tags reaches the deviation of all."""
+    ratios = smooth(np.array([len(x.text) / max(1, x.tags) for x in lines]))
+    threshold = float(ratios.std())
+    return [x for x, r in zip(lines, ratios.tolist(), strict=True) if r >= threshold]
+
+
+def _without_named(parser: _Lines, lines: list[_Line], over: list[_Line]) -> list[_Line]:
+    """Without parts named as other texts or notices, if there is text over the threshold outside them."""
+    size = len(parser.around)
+    if size == 1:
+        return lines
+    inside, headed = [0] * size, [k in parser.headed for k in range(size)]
+    for x in over:
+        inside[x.named] += 1
+    for k in range(size - 1, 0, -1):  # parts come after those around them
+        inside[parser.around[k]] += inside[k]
+        headed[parser.around[k]] = headed[parser.around[k]] or headed[k]
+    gone, left = [False] * size, len(over)
+    for k in range(1, size):
+        gone[k] = gone[parser.around[k]]
+        if not gone[k] and left > inside[k] and not (k in parser.notices and headed[k]):
+            gone[k], left = True, left - inside[k]
+    return [x for x in lines if not gone[x.named]]
+
+
 def _inside_common(parser: _Lines, lines: list[_Line], over: list[_Line]) -> list[str]:
-    """Texts of the lines inside the lowest container of all lines of ``over``."""
+    """Texts of the lines inside the lowest container of all lines of ``over``, without lists of links beside them."""
     parents, names = parser.parents, parser.names
     outer = set(parents[1:])
     # a block of text is no container of its siblings; a table's cell may hold a whole page
@@ -284,9 +356,20 @@ def _inside_common(parser: _Lines, lines: list[_Line], over: list[_Line]) -> lis
             ends.add(parents[last])
             heapq.heappush(heap, -parents[last])
     common = -heap[0]
+    content, size, linked, anchors = ([0] * len(parents) for _ in range(4))
+    for x in lines:
+        size[x.container] += len(x.text)
+        linked[x.container] += x.linked
+        anchors[x.container] += x.anchors
+    for x in over:
+        content[x.container] += 1
+    for c in range(len(parents) - 1, 0, -1):
+        for counts in (content, size, linked, anchors):
+            counts[parents[c]] += counts[c]
     inside = [common == 0] * len(parents)
     for c in range(1, len(parents)):
-        inside[c] = c == common or inside[parents[c]]
+        links = names[c] in LISTS and not content[c] and anchors[c] > 1 and 2 * linked[c] > size[c]
+        inside[c] = c == common or inside[parents[c]] and not links
     return [x.text for x in lines if inside[x.container]]
 
 
@@ -314,12 +397,18 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = _without_forms([x for x in parser.lines if kinds.get(x.region, _NONE) in (best, _NONE)], best == _NONE)
     if not lines:
         return ""
-    ratios = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]), sigma)
-    threshold = float(ratios.std())
-    over = [x for x, r in zip(lines, ratios.tolist(), strict=True) if r >= threshold]
+    over = _reaching(lines, lambda raw: smoothed(raw, sigma))
     articles = {x.region for x in over if x.region in kinds}
     if not articles:
-        return "\n\n".join(_inside_common(parser, lines, over))
+        end = len(lines)
+        while end and _COPYRIGHT.match(lines[end - 1].text):
+            end -= 1
+        lines = lines[:end] or lines
+        over = _reaching(lines, lambda raw: _by_region(lines, raw, sigma))
+        left = _without_named(parser, lines, over)
+        places = set(map(id, left))
+        return "\n\n".join(_inside_common(parser, left, [x for x in over if id(x) in places]))
+    lines = _without_named(parser, [x for x in lines if x.region in articles], [x for x in over if x.region in articles])
     # parts with a layout name stay where the ratios and the links say that they are text
     text = {x.doubt for x in over if x.doubt}
     for part in list(text):

@@ -162,6 +162,38 @@ def test_html_names_only_vote_inside_an_article(name):
     assert html_extract.main_text(f"<article>{BODY}<section id={name}><h2>Heading</h2><p>{text}</p></section></article>") == f"{BLOCKS}\n\nHeading\n\n{text}"
 
 
+LONG = "What we found here agrees with what others have found before, and this says so at some length."
+
+
+def test_html_links_and_copyright_beside_a_body_without_article():
+    page = f"<body><div><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div><div><a href=/h>Home</a><br><a href=/n>News</a></div><div>Copyright 2020 Foo</div></body>"
+    assert html_extract.main_text(page) == f"{LONG}\n\nShort.\n\n{LONG}"
+    # a block for each paragraph: their container is the page's
+    page = f"<body><ul><li><a href=/h>Home</a><li><a href=/n>News</a></ul><div>{LONG}</div><div>Short.</div><div>{LONG}</div><div><p><a href=/x>One more</a><p><a href=/y>Another</a></div><div>© Foo</div></body>"
+    assert html_extract.main_text(page) == f"{LONG}\n\nShort.\n\n{LONG}"
+
+
+def test_html_a_linked_paragraph_stays():
+    page = f"<body><div><p>{LONG}</p><p><a href=/x>All of this is a link</a></p><p>{LONG}</p></div></body>"
+    assert html_extract.main_text(page) == f"{LONG}\n\nAll of this is a link\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["notice", "user-comments", "reader-comments", "advert-box", "cookie-info", "post_comments", "top-ad", "gdpr-consent"])
+@pytest.mark.parametrize("text", ["We use cookies here.", LONG, f"{LONG}</p><p>{LONG}"])
+def test_html_named_parts_go_by_the_words_of_their_names(name, text):
+    part = f"<div class={name}><p>{text}</p></div>"
+    assert html_extract.main_text(f"<article>{BODY}{part}</article>") == BLOCKS
+    assert html_extract.main_text(f"<article>{BODY.replace('<p>Short', part + '<p>Short')}</article>") == BLOCKS
+    assert html_extract.main_text(f"<body><div><h1>Title</h1><p>{LONG}</p>{part}<p>{LONG}</p></div></body>") == f"Title\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["has-comments", "with-ads", "no-notice", "content-with-advert"])
+def test_html_named_wrappers_of_all_text_stay(name):
+    assert html_extract.main_text(f"<article><div class={name}>{BODY}<div class=advert-box>Buy this now, and another of it too, while there are some.</div></div></article>") == BLOCKS
+    assert html_extract.main_text(f"<body><div class={name}><article>{BODY}</article></div></body>") == BLOCKS
+    assert html_extract.main_text(f"<body><div class={name}><p>{LONG}</p><p>Short.</p></div><div>Copyright 2020 Foo</div></body>") == f"{LONG}\n\nShort."
+
+
 def test_html_items_without_end_tags():
     assert html_extract.main_text("<article><ul><li class=ad>Buy this<li>One<li>Two<ul><li>In</ul></ul><dl><dt>T<dd>D</dl><table><tr><td>a<td>b<tr><td>c</table></article>") == "One\n\nTwo\n\nIn\n\nT\n\nD\n\na\n\nb\n\nc"
 
