@@ -19,7 +19,9 @@ verified pair or through verified pairs that join the same component.
 4. Lists that still hold several components are joined in full, between
    components, under the size, position and bitmap filters; groups are expanded
    to their classes and the rest is verified.  A list of near copies is one
-   component by then, so its pairs are never all made.
+   component by then, so its pairs are never all made.  A long list is cut into
+   blocks by component, and each pair of blocks is a join key of its own, so no
+   task meets more than two blocks, whatever list they are of.
 
 Sets are compared by 64-bit shingle hashes, classes by 128-bit checksums.
 
@@ -50,6 +52,9 @@ _SLICES = 64
 #: Tables of counts that one task adds up at a time.
 _FAN_IN = 256
 
+#: Rows of a list that meet under one join key, from either side, about.
+BLOCK_ROWS = 2048
+
 #: Candidate ids are broadcast to fetch their texts while there are at most this many (16 MB); beyond, a shuffled join does.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -201,6 +206,30 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
     return links
 
 
+def _between_components(rest: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of class ids of one list and different components that pass the filters.
+
+    Rows have their list's number of ``blocks``; a row goes into the block of its
+    component's hash, on the left for every block to its right and the other way
+    round, so that each pair of blocks meets under one key and each pair of rows once.
+    """
+    block = F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
+    a = rest.select("*", block.alias("i"), other.alias("j")).alias("a")
+    b = rest.select("*", block.alias("j"), other.alias("i")).alias("b")
+    cross = a.join(
+        b,
+        (F.col("a.shingle") == F.col("b.shingle"))
+        & (F.col("a.i") == F.col("b.i"))
+        & (F.col("a.j") == F.col("b.j"))
+        & (F.col("a.component") < F.col("b.component"))
+        & _sizes_fit(F.col("a.n"), F.col("b.n"), percent)
+        & _positions_fit(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent)
+        & _may_link(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"), percent),
+    )
+    return cross.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+
+
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     docs = docs.select("doc_id", "text")
@@ -236,23 +265,15 @@ def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     # lists that still hold several components: all pairs between components that the filters let through
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
     placed = written(placed.select("cid", "n", "p1", "p2", "component"), "placed")
-    spread = placed.groupBy("n", "p1", "p2").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    spread = placed.groupBy("n", "p1", "p2").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS).alias("blocks")
     listed = lists.join(spread, ["n", "p1", "p2"])
-    open_ = listed.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("shingle")
-    rest = lists.join(open_, "shingle", "left_semi").join(placed, ["n", "p1", "p2"]).select("shingle", "pos", "cid", "component", "n")
-    inner = placed.join(spread.where("low <> high").select("n", "p1", "p2"), ["n", "p1", "p2"])
-    rest = rest.unionByName(inner.select(F.xxhash64("n", "p1", "p2").alias("shingle"), F.lit(0).alias("pos"), "cid", "component", "n"))
+    open_ = listed.groupBy("shingle").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("size").alias("size")).where("low <> high").select("shingle", blocks)
+    rest = lists.join(open_, "shingle").join(placed, ["n", "p1", "p2"]).select("shingle", "pos", "cid", "component", "n", "blocks")
+    inner = placed.join(spread.where("low <> high").select("n", "p1", "p2", blocks), ["n", "p1", "p2"])
+    rest = rest.unionByName(inner.select(F.xxhash64("n", "p1", "p2").alias("shingle"), F.lit(0).alias("pos"), "cid", "component", "n", "blocks"))
     rest = written(rest.join(bits.select("cid", "bits"), "cid"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    cross = a.join(
-        b,
-        (F.col("a.shingle") == F.col("b.shingle"))
-        & (F.col("a.component") < F.col("b.component"))
-        & _sizes_fit(F.col("a.n"), F.col("b.n"), percent)
-        & _positions_fit(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent)
-        & _may_link(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"), percent),
-    )
-    more = _verified(written(cross.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct(), "pairs"), classes, docs, n, percent)
+    more = _verified(written(_between_components(rest, percent), "pairs"), classes, docs, n, percent)
     found = components(links.unionByName(more))
 
     placed = classes.join(found, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))

@@ -215,3 +215,35 @@ def test_runs_of_every_length_against_brute_force(spark):
     rows = [(i, x) for i, x in enumerate(lines)]
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {d: n for d, _, n, _ in expected_lines(rows)}
+
+
+def test_a_long_list_of_unrelated_documents_is_cut_into_blocks(spark, monkeypatch):
+    """Thousands of classes in one list: pairs are those of one key, and no key holds more than two blocks."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(3000).select(F.lit(7).cast("long").alias("shingle"), F.lit(0).alias("pos"), F.col("id").alias("cid"), (F.col("id") - F.col("id") % 3).alias("component"), F.lit(10).cast("long").alias("n"), F.array(F.lit(8).cast("long"), F.pow(F.lit(2.0), F.col("id") % 61).cast("long")).alias("bits"))
+    few = rows.where("cid < 200")
+    one = {tuple(r) for r in ngram_join._between_components(few.withColumn("blocks", F.lit(1).cast("long")), 80).collect()}
+    cut = {tuple(r) for r in ngram_join._between_components(few.withColumn("blocks", F.lit(9).cast("long")), 80).collect()}
+    assert one == cut and one
+    block = F.pmod(F.xxhash64("component"), F.lit(30))
+    sizes = [r["count"] for r in rows.groupBy(block.alias("i")).count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 3 * 3000 / 30
+    plan = ngram_join._between_components(rows.withColumn("blocks", F.lit(30).cast("long")), 80)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and "Cross" not in plan
+
+
+@pytest.mark.parametrize("block_rows", [1, 5])
+def test_links_with_lists_in_blocks_against_brute_force(spark, monkeypatch, block_rows):
+    """With a table of two cells nothing is rare, so a shared passage is in many prefixes."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 6)
+    rng = random.Random(13)
+    shared = [f"s{i}" for i in range(9)]
+    rows = []
+    for d in range(90):
+        own = [f"w{rng.randrange(12)}" for _ in range(rng.randrange(1, 5))]
+        rows.append((d, " ".join(shared + own if rng.random() < 0.7 else own + shared)))
+    rows += [(100 + i, rows[i][1]) for i in range(0, 90, 9)]
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=4, percent=85).collect()
+    assert order(got) == order(groups(rows, 4, 85))
