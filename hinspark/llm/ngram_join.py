@@ -33,6 +33,7 @@ empty results; other columns are not used.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,25 +210,27 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, per
 def _between_components(rest: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of class ids of one list and different components that pass the filters.
 
-    Rows have their list's number of ``blocks``; a row goes into the block of its
-    component's hash, on the left for every block to its right and the other way
-    round, so that each pair of blocks meets under one key and each pair of rows once.
+    Rows have their list's number of ``blocks``.  A list of one block meets itself, and
+    is shuffled once.  In a longer one a row goes into the block of its component's
+    hash, on the left for every block to its right and the other way round, so that
+    each pair of blocks meets under one key and each pair of rows once.
     """
+
+    def met(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+        filters = (
+            (F.col("a.component") < F.col("b.component"))
+            & _sizes_fit(F.col("a.n"), F.col("b.n"), percent)
+            & _positions_fit(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent)
+            & _may_link(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"), percent)
+        )
+        same = functools.reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
+        return a.alias("a").join(b.alias("b"), same & filters).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+
+    short, long = rest.where("blocks = 1").drop("blocks"), rest.where("blocks > 1")
     block = F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int")))
-    a = rest.select("*", block.alias("i"), other.alias("j")).alias("a")
-    b = rest.select("*", block.alias("j"), other.alias("i")).alias("b")
-    cross = a.join(
-        b,
-        (F.col("a.shingle") == F.col("b.shingle"))
-        & (F.col("a.i") == F.col("b.i"))
-        & (F.col("a.j") == F.col("b.j"))
-        & (F.col("a.component") < F.col("b.component"))
-        & _sizes_fit(F.col("a.n"), F.col("b.n"), percent)
-        & _positions_fit(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos"), percent)
-        & _may_link(F.col("a.n"), F.col("b.n"), F.col("a.bits"), F.col("b.bits"), percent),
-    )
-    return cross.select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b")).distinct()
+    cut = met(long.select("*", block.alias("i"), other.alias("j")), long.select("*", block.alias("j"), other.alias("i")), ["shingle", "i", "j"])
+    return met(short, short, ["shingle"]).unionByName(cut).distinct()
 
 
 def link_documents(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
