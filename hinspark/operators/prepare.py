@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import functools
+from collections.abc import Iterable, Mapping
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..graph import HinGraph, Tables
 from ..types import CEType
+from . import linalg
 
 
 def without_featureless(graph: HinGraph, featured: Iterable[str], strict: bool = True) -> HinGraph:
@@ -91,3 +93,38 @@ def others_to_train(train: HinGraph, val: HinGraph, targets: Iterable[str | tupl
     held = wanted | {meta.inverse[t] for t in wanted if t in meta.inverse}
     back = replace(val, edges=val.edges.only(c for c in val.edges if c not in held))
     return united(train, back), replace(val, edges=val.edges.only(c for c in val.edges if c in wanted), inverse={})
+
+
+def with_identity(pattern: DataFrame, nodes: DataFrame) -> DataFrame:
+    """An adjacency (dst, src, w) made binary, with a loop at every node (nid), rows normalised."""
+    loops = nodes.select(F.col("nid").alias("dst"), F.col("nid").alias("src"))
+    both = pattern.where("w <> 0").select("dst", "src").union(loops).distinct()
+    return linalg.row_normalized(both.withColumn("w", F.lit(1.0)))
+
+
+def polynomial_inputs(graph: HinGraph, feats: Mapping[str, DataFrame], binary: Iterable[str] = (), order: Iterable[str] | None = None) -> tuple[DataFrame, dict[str, int], dict[CEType, DataFrame]]:
+    """What a polynomial of metapaths reads: (nid, slot, col, val) under global ids, the width of each type's block, and adjacencies under global ids.
+
+    Every type keeps its place: one without features has a single column of zeros, so
+    its block is one wide and the ids after it hold.  Adjacencies are normalised by row
+    within their type; those named ``binary`` are made binary over all nodes of the
+    network, with a loop at each, and normalised again.
+    """
+    order = list(order or graph.nodes)
+    first = graph.offsets(order)
+    widths, parts = {}, []
+    for n in order:
+        known = feats.get(n)
+        width = known.agg(F.max("col") + 1).first()[0] if known is not None else None
+        widths[n] = width or 1
+        if width:
+            parts.append(known.select((F.col("nid") + first[n]).alias("nid"), "slot", "col", "val"))
+    if not parts:
+        raise ValueError("no type has features")
+    every = functools.reduce(DataFrame.unionByName, [graph.nodes[n].select((F.col("nid") + first[n]).alias("nid")) for n in order])
+    adjs, binary = {}, set(binary)
+    for c in graph.edges:
+        local = linalg.row_normalized(linalg.adjacency(graph.edges[c]))
+        moved = local.select((F.col("dst") + first[c.dst]).alias("dst"), (F.col("src") + first[c.src]).alias("src"), "w")
+        adjs[c] = with_identity(moved, every) if c.etype in binary else moved
+    return functools.reduce(DataFrame.unionByName, parts), widths, adjs

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.storagelevel import StorageLevel
 
 from ..graph import HinGraph
+from ..scratch import written
 from ..types import CEType, Metapath, in_prefix_order, self_loop
 from . import linalg
 
@@ -234,3 +235,53 @@ class MetapathDataset:
         made = MetapathFeatures(adjs, dict(self.feats), persist=False).build(list(self.paths.values()))
         parts = [made[p].select(F.lit(n).alias("mp"), "nid", "slot", F.col("col").cast("long").alias("col"), "val") for n, p in self.paths.items()]
         return functools.reduce(DataFrame.unionByName, parts)
+
+
+def polynomial_along(adjs: Mapping[CEType, DataFrame], feats: Mapping[str, DataFrame], coefficients: Mapping[Metapath, float]) -> dict[str, DataFrame]:
+    """By end type, the sum over metapaths of coefficient · A_k … A_1 X, of (nid, slot, col, val).
+
+    Metapaths (without self loops) form a prefix tree, of which every edge is
+    multiplied once: a prefix's product is written, and both summed and gone on from.
+    """
+    parts: dict[str, list[DataFrame]] = {}
+
+    def walk(path: Metapath, x: DataFrame) -> None:
+        if path in coefficients:
+            parts.setdefault(path[-1].dst, []).append(x.withColumn("val", F.col("val") * coefficients[path]))
+        for c in sorted({p[len(path)] for p in coefficients if p[: len(path)] == path and len(p) > len(path)}):
+            more = sum(p[: len(path) + 1] == (*path, c) for p in coefficients) > 1
+            made = linalg.apply(adjs[c], x)
+            walk((*path, c), written(made, "product") if more else made)
+
+    starts = {p[0].src for p in coefficients}
+    for source in sorted(starts):
+        for c in sorted({p[0] for p in coefficients if p[0].src == source}):
+            made = linalg.apply(adjs[c], feats[source].select("nid", "slot", "col", "val"))
+            walk((c,), written(made, "product") if sum(p[0] == c for p in coefficients) > 1 else made)
+    return {n: _added(found) for n, found in parts.items()}
+
+
+def polynomial_back(adjs: Mapping[CEType, DataFrame], ends: Mapping[str, DataFrame], coefficients: Mapping[Metapath, float]) -> dict[str, DataFrame]:
+    """By start type, the sum over metapaths of coefficient · (A_k … A_1)ᵀ Y, Y by end type: the other half of the polynomial.
+
+    The same prefix tree from its leaves: what comes back along an edge is its end's
+    Y times the coefficient of the path so far plus all that came back further on, so
+    again every edge of the tree is multiplied once.
+    """
+    turned = {c: a.select(F.col("src").alias("dst"), F.col("dst").alias("src"), "w") for c, a in adjs.items()}
+
+    def back(path: Metapath) -> list[DataFrame]:
+        own = [ends[path[-1].dst].select("nid", "slot", "col", (F.col("val") * coefficients[path]).alias("val"))] if path in coefficients else []
+        nexts = sorted({p[len(path)] for p in coefficients if p[: len(path)] == path and len(p) > len(path)})
+        return own + [linalg.apply(turned[c], _added(back((*path, c)))) for c in nexts]
+
+    out: dict[str, list[DataFrame]] = {}
+    for c in sorted({p[0] for p in coefficients}):
+        out.setdefault(c.src, []).append(linalg.apply(turned[c], _added(back((c,)))))
+    return {n: _added(found) for n, found in out.items()}
+
+
+def _added(parts: list[DataFrame]) -> DataFrame:
+    if len(parts) == 1:
+        return parts[0].select("nid", "slot", "col", "val")
+    return functools.reduce(DataFrame.unionByName, [p.select("nid", "slot", "col", "val") for p in parts]).groupBy("nid", "slot", "col").agg(F.sum("val").alias("val"))

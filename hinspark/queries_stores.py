@@ -8,14 +8,16 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import features, layers, linalg, propagate, sample
+from .operators import evaluate, features, layers, linalg, prepare, propagate, sample, sequences
 from .operators.cache import FeatureCache
+from .plans import stages
 from .queries import _BRANDS, _CONTAINS, _CUSTOMERS, _IN_ORDER, _PLACED_BY, _RING, _ring, rounded
 from .scratch import new_path, written
 from .sources import rowstore
 from .sources.builders import build
 from .sources.relational import commerce
 from .sources.specs import Relation, Spec
+from .types import CEType, expansions
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +211,94 @@ def slot_attention_layer(spark, sf_dir):
         merged = layers.slots_merged(rows, ["balance", "rest"], 1, how, [[0.5]], [0.1], [0.7])
         parts.append(merged.select(F.lit(how).alias("how"), "nid", F.posexplode("h").alias("i", "x")).select("how", "nid", "i", rounded("x").alias("x")))
     return reduce(DataFrame.unionByName, parts)
+
+
+# ---- sequences, polynomials, stages
+
+
+@query(
+    f"""WITH {_RING}, v AS (SELECT c_custkey AS nid, c_acctbal / 1000 AS x, (c_custkey % 7)::DOUBLE AS y, (c_nationkey % 2)::DOUBLE AS r FROM customer),
+    a AS (SELECT nid, nid AS node, 0 AS depth FROM v UNION ALL SELECT DISTINCT src, dst, 1 FROM f WHERE src <> dst),
+    s AS (SELECT nid, node, row_number() OVER (PARTITION BY nid ORDER BY depth, md5(nid || '-' || node || '-4'), node) AS k FROM a), q AS (SELECT s.nid, k, x, y, r FROM s JOIN v ON v.nid = node WHERE k <= 3),
+    z AS (SELECT i.nid, i.x, i.y, j.x AS fx, -0.5 * j.y AS fy, exp((0.3 * (CASE WHEN i.x >= 0 THEN 0.5 * i.x ELSE 0.005 * i.x END) - 0.2 * 0.25 * i.y + 0.1 * (CASE WHEN j.x >= 0 THEN j.x ELSE 0.01 * j.x END) + 0.4 * 0.01 * -0.5 * j.y
+      + 0.5 * (i.r + 0.5 * (1 - i.r)) * (0.2 * j.r - (1 - j.r))) / 2) AS e FROM q i JOIN q j ON i.nid = j.nid WHERE i.k = 1),
+    c AS (SELECT nid, x + sum(e * fx) / sum(e) + 0.5 * sum(e * fy) / sum(e) AS a, y + sum(e * fy) / sum(e) AS b FROM z GROUP BY nid, x, y),
+    n AS (SELECT nid, a, b, (a + b) / 2 AS m, sqrt(((a - b) / 2) ** 2 + 1e-5) AS d FROM c)
+    SELECT nid, round((a - m) / d + 1e-9, 5) AS x, round(2 * (b - m) / d + 0.1 + 1e-9, 5) AS y FROM n"""
+)
+def sequence_attention_layer(spark, sf_dir):
+    """Customers with up to two neighbours attend to each other inside their sequences, with their nations' encodings."""
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    nodes = people.select(F.col("c_custkey").alias("nid"), F.array(F.col("c_acctbal") / 1000, (F.col("c_custkey") % 7).cast("double")).alias("h"))
+    half = (F.col("c_nationkey") % 2).cast("double")
+    relations = people.select(F.col("c_custkey").alias("nid"), F.array(half, 1 - half).alias("h"))
+    seqs = sample.node_sequences(_ring(spark, sf_dir), nodes.select("nid"), 3, 1, 4)
+    rows = sequences.sequence_attention(
+        sequences.gathered(seqs, nodes, relations),
+        [[0.5, 0.0], [0.0, 0.25]], [[1.0, 0.0], [0.0, -0.5]], [[0.3, -0.2]], [[0.1, 0.4]], [[[1.0, 0.5]]], [[[0.2, -1.0]]], [[1.0, 0.5], [0.0, 1.0]], [1.0, 2.0], [0.0, 0.1], beta=0.5, temper=2.0,
+    )
+    return sequences.first_places(rows).select("nid", F.round(F.get("h", 0) + 1e-9, 5).alias("x"), F.round(F.get("h", 1) + 1e-9, 5).alias("y"))
+
+
+@query(
+    """WITH yn AS (SELECT n_nationkey::BIGINT AS nid, 'region' AS slot, n_regionkey::BIGINT AS col, 0.5 AS val FROM nation),
+    yc AS (SELECT c_custkey AS nid, 'nation' AS slot, c_nationkey::BIGINT AS col, -1.5 AS val FROM customer UNION ALL SELECT c_custkey, 'region', n_regionkey, 0.25 FROM customer JOIN nation ON c_nationkey = n_nationkey),
+    zn AS (SELECT c_nationkey::BIGINT AS nid, slot, col, sum(-1.5 * val) AS val FROM yc JOIN customer ON c_custkey = nid GROUP BY ALL),
+    zr AS (SELECT n_regionkey::BIGINT AS nid, slot, col, sum(v) AS val FROM (SELECT nid, slot, col, 0.5 * val AS v FROM yn UNION ALL SELECT c_nationkey, slot, col, 0.25 * val FROM yc JOIN customer ON c_custkey = nid) JOIN nation ON n_nationkey = nid GROUP BY ALL)
+    SELECT 'there' AS way, 'nation' AS ntype, nid, slot, col, round(val + 1e-9, 6)::DOUBLE AS val FROM yn UNION ALL SELECT 'there', 'customer', nid, slot, col, round(val + 1e-9, 6) FROM yc
+    UNION ALL SELECT 'back', 'nation', nid, slot, col, round(val + 1e-9, 6) FROM zn UNION ALL SELECT 'back', 'region', nid, slot, col, round(val + 1e-9, 6) FROM zr"""
+)
+def metapath_polynomial(spark, sf_dir):
+    """A polynomial of all metapaths of two hops from regions by nations to customers, and its transpose on the result."""
+    g = commerce(spark, sf_dir)
+    steps = [g.meta.canonical(e) for e in ("has-nation", "home-of")]
+    adjs = linalg.row_normalized_adjacencies(g.edges, set(steps))
+    paths = expansions(steps, 2)
+    coefficients = dict(zip(paths, (0.5, -1.5, 0.25), strict=True))
+    there = propagate.polynomial_along(adjs, {n: features.identity(g.nodes[n], n) for n in ("region", "nation")}, coefficients)
+    back = propagate.polynomial_back(adjs, there, coefficients)
+    parts = [df.select(F.lit(way).alias("way"), F.lit(n).alias("ntype"), "nid", "slot", F.col("col").cast("long").alias("col"), rounded("val").alias("val")) for way, made in (("there", there), ("back", back)) for n, df in made.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    f"""WITH {_RING}, k AS (SELECT max(c_custkey) + 1 AS c FROM customer), m AS (SELECT c, (SELECT max(n_nationkey) + 1 FROM nation) AS n FROM k),
+    every AS (SELECT c_custkey AS g FROM customer UNION ALL SELECT c + n_nationkey FROM nation, m), b AS (SELECT dst, src FROM f UNION SELECT g, g FROM every)
+    SELECT 'cites' AS etype, dst::BIGINT AS dst, src::BIGINT AS src, round(1.0 / count(*) OVER (PARTITION BY dst) + 1e-9, 6) AS w FROM b
+    UNION ALL SELECT 'lives-in', c + c_nationkey, c_custkey, round(1.0 / count(*) OVER (PARTITION BY c_nationkey) + 1e-9, 6) FROM customer, m"""
+)
+def polynomial_preparation(spark, sf_dir):
+    """Customers that cite each other and live in nations, made ready for a polynomial: nations have no features and keep their place."""
+    g = commerce(spark, sf_dir)
+    lives, cites = g.meta.canonical("lives-in"), CEType("customer", "cites", "customer")
+    g = replace(g, nodes=g.nodes.only(("customer", "nation")), edges=g.edges.only([lives]) | {cites: _ring(spark, sf_dir)}, inverse={})
+    _, _, adjs = prepare.polynomial_inputs(g, {"customer": features.identity(g.nodes["customer"], "customer")}, binary=["cites"])
+    return reduce(DataFrame.unionByName, [a.select(F.lit(c.etype).alias("etype"), "dst", "src", rounded("w").alias("w")) for c, a in adjs.items()])
+
+
+def _stage_sql(k: int) -> str:
+    """A stage's examples, counts of classes by nation, probabilities, guesses and score."""
+    guessed = f" UNION SELECT p.nid, p.pred FROM g{k - 1} p JOIN customers c ON c.nid = p.nid WHERE c.split IN ('val', 'test') AND p.p > 0.5" if k else ""
+    return f"""x{k} AS (SELECT nid, label FROM customers WHERE split = 'train'{guessed}),
+    l{k} AS (SELECT n.nation, n.cls, count(x.nid)::DOUBLE AS logit FROM (SELECT n_nationkey AS nation, cls FROM nation, range(0, 5) AS t(cls)) n LEFT JOIN (SELECT c_nationkey, x{k}.nid, label FROM x{k} JOIN customer ON c_custkey = x{k}.nid) x ON x.c_nationkey = n.nation AND x.label = n.cls GROUP BY 1, 2),
+    q{k} AS (SELECT nation, cls, exp(logit - max(logit) OVER w) / sum(exp(logit - 100)) OVER w * exp(max(logit) OVER w - 100) AS p FROM l{k} WINDOW w AS (PARTITION BY nation)),
+    b{k} AS (SELECT nation, cls AS pred, p FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY p DESC, cls) AS r FROM q{k}) WHERE r = 1),
+    g{k} AS (SELECT c_custkey AS nid, pred, p FROM customer JOIN b{k} ON nation = c_nationkey), s{k} AS (SELECT {k} AS stage, avg((pred = label)::INT) AS score FROM g{k} JOIN customers USING (nid) WHERE split = 'val')"""
+
+
+@query(
+    f"""WITH {_CUSTOMERS}, {", ".join(_stage_sql(k) for k in range(3))}, best AS (SELECT stage FROM (FROM s0 UNION ALL FROM s1 UNION ALL FROM s2) ORDER BY round(score, 9) DESC, stage LIMIT 1)
+    SELECT stage, nid, pred FROM best JOIN (SELECT 0 AS stage, nid, pred FROM g0 UNION ALL SELECT 1, nid, pred FROM g1 UNION ALL SELECT 2, nid, pred FROM g2) USING (stage)"""
+)
+def self_training_stages(spark, sf_dir):
+    """Three stages whose model counts a nation's examples by class; guesses of the best one."""
+    nodes = commerce(spark, sf_dir).nodes["customer"]
+    homes = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("nid"), F.col("c_nationkey").alias("nation"))
+
+    def learn(number: int, examples: DataFrame) -> DataFrame:
+        per = examples.select("nid", "label").distinct().join(homes, "nid").groupBy("nation", F.col("label").alias("cls")).agg(F.count("*").cast("double").alias("logit"))
+        cells = homes.withColumn("cls", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+        return cells.join(per, ["nation", "cls"], "left").select("nid", "cls", F.coalesce("logit", F.lit(0.0)).alias("logit"))
+
+    best = stages.self_training(nodes, learn, 3, 0.5, batch=64, share=0.25)
+    return evaluate.argmax_class(best.logits).select(F.lit(best.number).alias("stage"), "nid", "pred")

@@ -143,6 +143,26 @@ class MetaGraph:
         return [(w[-1].etype, walks[w[:-1]], i) for w, i in walks.items() if len(w) > 1]
 
 
+def expansions(cetypes: Iterable[CEType], max_hops: int) -> list[Metapath]:
+    """All walks of one to max_hops edge types, shorter ones first, without self loops."""
+    layer: list[Metapath] = [(c,) for c in cetypes if not c.is_self_loop]
+    found = list(layer)
+    for _ in range(max_hops - 1):
+        layer = [(*walk, c) for walk in layer for c in cetypes if c.src == walk[-1].dst and not c.is_self_loop]
+        found += layer
+    return found
+
+
+def transposed(path: Metapath, inverse: dict[CEType, CEType]) -> Metapath:
+    """The walk back: each edge type's inverse, the last first."""
+    return tuple(inverse[c] for c in reversed(path))
+
+
+def coded(path: Metapath, codes: dict[CEType, str]) -> str:
+    """A walk as the codes of its edge types, two letters each, one after the other."""
+    return "".join(codes[c] for c in path)
+
+
 class Aliases:
     """Short names of metapaths: the shortest unique capitalised prefix of each node type, the last type first."""
 
