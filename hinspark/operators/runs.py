@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from .atomize import dense_ids
+
 
 def read_csvs(spark: SparkSession, root: str, schema: str, matching: str = ".*") -> DataFrame:
     """All CSV files below a folder whose name doesn't start with _ and whose path matches; ``profile`` is the path below the folder without .csv."""
@@ -108,9 +110,9 @@ def p_values(means: DataFrame, best: str, group: str = "profile") -> DataFrame:
 
 
 def reindexed(leaves: DataFrame) -> DataFrame:
-    """(nid, tree, leaf) with ``id``: leaves numbered from 0 by tree, then leaf."""
-    ids = leaves.select("tree", "leaf").distinct().withColumn("id", (F.row_number().over(Window.orderBy("tree", "leaf")) - 1).cast("long"))
-    return leaves.join(ids, ["tree", "leaf"])
+    """(nid, tree, leaf) with ``id``: leaves numbered from 0 by tree, then leaf, in ranges of them."""
+    ids = dense_ids(leaves.select(F.struct("tree", "leaf").alias("key")), "key")
+    return leaves.join(ids.select("key.tree", "key.leaf", F.col("nid").alias("id")), ["tree", "leaf"])
 
 
 def formatted(means: DataFrame) -> DataFrame:

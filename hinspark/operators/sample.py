@@ -129,9 +129,16 @@ def drawn(candidates: DataFrame, per_head: DataFrame, seed: int = 0) -> DataFram
 
 
 def k_folds(rows: DataFrame, k: int, stratum: Column | None, key: str, seed: int = 0) -> DataFrame:
-    """``fold`` from 0 to k - 1, even within each stratum."""
-    w = Window.partitionBy(F.lit(0) if stratum is None else stratum).orderBy(hash_order(F.col(key), seed=seed), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("long"))
+    """``fold`` from 0 to k - 1, even within each stratum.
+
+    Keys are numbered in the order of (stratum, hash) by ranges, so neither all rows nor
+    a large stratum is one task's; rows of one key share a fold.
+    """
+    keyed = rows.withColumn("__key", F.struct((F.lit(0) if stratum is None else stratum).alias("s"), hash_order(F.col(key), seed=seed).alias("h"), F.col(key).alias("k")))
+    ids = dense_ids(keyed, "__key").withColumnRenamed("nid", "__place")
+    first = ids.groupBy(F.struct("__key.s").alias("__s")).agg(F.min("__place").alias("__first"))
+    placed = ids.withColumn("__s", F.struct("__key.s")).join(first, "__s").select("__key", F.pmod(F.col("__place") - F.col("__first"), F.lit(k)).cast("long").alias("fold"))
+    return keyed.join(placed, "__key").drop("__key")
 
 
 def proportional_split(rows: DataFrame, key: str, label: str, train: float, val: float, seed: int = 0) -> DataFrame:
@@ -172,9 +179,13 @@ def layers(graph, seeds: dict[str, DataFrame], fanouts: list[dict | int], seed:
 
 
 def block_shuffled(rows: DataFrame, key: str, chunk: int, batch: int, seed: int = 0) -> DataFrame:
-    """``batch`` of each row: chunks of consecutive keys keep together, in a hashed order; keys count from 0 without gaps."""
+    """``batch`` of each row: chunks of consecutive keys keep together, in a hashed order; keys count from 0 without gaps.
+
+    Chunks are numbered by ranges of their hashes.
+    """
     block = F.floor(F.col(key) / chunk)
-    order = rows.select(block.alias("__b")).distinct().withColumn("__o", F.row_number().over(Window.orderBy(hash_order(F.col("__b"), seed=seed), "__b")) - 1)
+    hashed = rows.select(F.struct(hash_order(block, seed=seed).alias("h"), block.alias("b")).alias("__key"))
+    order = dense_ids(hashed, "__key").select(F.col("__key.b").alias("__b"), F.col("nid").alias("__o"))
     placed = rows.withColumn("__b", block).join(order, "__b")
     return placed.withColumn("batch", F.floor((F.col("__o") * chunk + F.pmod(F.col(key), F.lit(chunk))) / batch).cast("long")).drop("__b", "__o")
 
