@@ -7,10 +7,9 @@ from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from ..graph import HinGraph
-from ..scratch import written
+from ..scratch import dropped, written
 from ..types import CEType, Metapath, in_prefix_order, self_loop
 from . import linalg
 
@@ -54,8 +53,9 @@ def along(graph: HinGraph, feats: DataFrame, path: list[str | tuple], reduce: st
 class MetapathFeatures:
     """A_k … A_1 X of many metapaths: products share their common prefixes, features first.
 
-    The prefix tree is built from names.  A prefix that several metapaths go on from
-    is persisted (memory, then disk) and freed by :meth:`free`.  Features always
+    The prefix tree is built from names.  A prefix that several metapaths go on from,
+    or that is asked for itself too, is written once, so no product is made twice and
+    lost executors cost none; :meth:`free` deletes what was written.  Features always
     multiply first, so nothing wider than features is ever made.
     """
 
@@ -71,7 +71,8 @@ class MetapathFeatures:
         for t in {*trimmed.values(), *prefixes}:
             if len(t) > 1:
                 branching.setdefault(t[:-1], set()).add(t)
-        self.shared = {t for t, nexts in branching.items() if len(nexts) > 1}
+        asked = set(trimmed.values())
+        self.shared = {t for t, nexts in branching.items() if len(nexts) + (t in asked) > 1}
         return {p: self._product(p[0].src, trimmed[p]) for p in in_prefix_order(paths)}
 
     def _product(self, source: str, path: Metapath) -> DataFrame:
@@ -87,14 +88,14 @@ class MetapathFeatures:
             else:
                 made = linalg.compose(adj, x)
             if self.persist and path in self.shared:
-                made = made.persist(StorageLevel.MEMORY_AND_DISK)
+                made = written(made, "prefix")
                 self.held.append(made)
             self.known[path] = made
         return self.known[path]
 
     def free(self) -> None:
         while self.held:
-            self.held.pop().unpersist()
+            dropped(self.held.pop())
 
 
 def walk_counts(graph: HinGraph, paths: list[Metapath]) -> dict[Metapath, DataFrame]:
@@ -103,7 +104,7 @@ def walk_counts(graph: HinGraph, paths: list[Metapath]) -> dict[Metapath, DataFr
     used = {c for p in paths for c in p if not c.is_self_loop}
     bare = {c: graph.edges[c].select("dst", "src").distinct().withColumn("w", F.lit(1).cast("long")) for c in used}
     ones = {p[0].src: graph.nodes[p[0].src].select("nid", F.lit("one").alias("slot"), F.lit(0).alias("col"), F.lit(1).cast("long").alias("val")) for p in paths}
-    made = MetapathFeatures(bare, ones, persist=False).build(list(begun.values()))
+    made = MetapathFeatures(bare, ones).build(list(begun.values()))
     return {p: made[q].agg(F.coalesce(F.sum("val"), F.lit(0)).alias("n")) for p, q in begun.items()}
 
 
@@ -232,7 +233,7 @@ class MetapathDataset:
         adjs = {c: linalg.adjacency(self.graph.edges[c]) for c in used}
         if self.normalize:
             adjs = {c: linalg.row_normalized(a) for c, a in adjs.items()}
-        made = MetapathFeatures(adjs, dict(self.feats), persist=False).build(list(self.paths.values()))
+        made = MetapathFeatures(adjs, dict(self.feats)).build(list(self.paths.values()))
         parts = [made[p].select(F.lit(n).alias("mp"), "nid", "slot", F.col("col").cast("long").alias("col"), "val") for n, p in self.paths.items()]
         return functools.reduce(DataFrame.unionByName, parts)
 

@@ -343,7 +343,7 @@ def metapath_features(spark, sf_dir):
     """Two metapaths from the brand that share their prefix."""
     g = commerce(spark, sf_dir)
     a, b, c = (g.meta.canonical(e) for e in ("brand-of", "in-order", "placed-by"))
-    f = propagate.MetapathFeatures(linalg.row_normalized_adjacencies(g.edges, {a, b, c}), {"brand": features.identity(g.nodes["brand"], "brand")}, persist=False)
+    f = propagate.MetapathFeatures(linalg.row_normalized_adjacencies(g.edges, {a, b, c}), {"brand": features.identity(g.nodes["brand"], "brand")})
     made = f.build([(a, b, c), (a, b)])
     out = None
     for path, df in made.items():
