@@ -13,7 +13,7 @@ from hinspark.scratch import written
 def test_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == [q for q in queries.QUERIES if q != "pipeline"] and "pipeline" in names
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{i}" for i in range(1, 14)}
     assert [s for s, _ in corpus_pipeline.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
 
 
@@ -33,7 +33,7 @@ def test_stages(spark, sf_dir, docs):
         if k == 0:
             assert set(got) == {d for d, t in rows if model.predict(t)[0] != "und" and model.predict(t)[1] >= 0.5}
         elif k == 1:
-            want = {d: t for d, _, n, t in expected_lines(rows, min_chars=20) if n == 0 or t.strip()}
+            want = {d: t for d, _, n, t in expected_lines(rows) if n == 0 or t.strip()}
             assert {d: r["text"] for d, r in got.items()} == want and all(r["n_chars"] == len(r["text"]) for r in got.values())
         elif k == 2:
             assert set(got) == {d for d, _, c in groups(rows, 5, 80) if c == d}
@@ -49,7 +49,7 @@ def test_stages(spark, sf_dir, docs):
 def test_sql_twins(name, spark, sf_dir):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     df = queries.QUERIES[name](spark, sf_dir)
     twin = con.sql(queries.oracle_sql()[name])
