@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .operators import evaluate, features, layers, linalg, prepare, propagate, sample, sequences
+from .operators import evaluate, features, layers, linalg, prepare, propagate, runs, sample, sequences, trees
 from .operators.cache import FeatureCache
 from .plans import stages
 from .queries import _BRANDS, _CONTAINS, _CUSTOMERS, _IN_ORDER, _PLACED_BY, _RING, _ring, rounded
@@ -302,3 +302,21 @@ def self_training_stages(spark, sf_dir):
 
     best = stages.self_training(nodes, learn, 3, 0.5, batch=64, share=0.25)
     return evaluate.argmax_class(best.logits).select(F.lit(best.number).alias("stage"), "nid", "pred")
+
+
+# ---- trees
+
+
+def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(nid, x, label, split): a customer's balance, nation, orders and what they cost."""
+    per = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("nid")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("price"))
+    people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("nid"), "c_acctbal", "c_nationkey")
+    x = F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.coalesce("n", F.lit(0)).cast("double"), F.coalesce("price", F.lit(0.0)))
+    return people.join(per, "nid", "left").join(commerce(spark, sf_dir).nodes["customer"], "nid").select("nid", x.alias("x"), "label", "split")
+
+
+@query()
+def tree_leaf_ids(spark, sf_dir):
+    """Customers' leaves in boosted trees of each class, numbered from 0 over all trees."""
+    rows = customer_rows(spark, sf_dir)
+    return runs.reindexed(trees.leaves(trees.boosted(rows, 5, 3, 3), rows)).select("nid", "tree", "leaf", "id")
