@@ -3,7 +3,8 @@
 Long texts are cut before encoding where a match of the split pattern always
 ends: after a character that is no white space, before a space or line feed.
 Every alternative of the pattern that takes the former stops before the latter,
-and none looks back, so the pieces' ids joined are the whole text's ids.
+and none looks back, so the pieces' ids joined are the whole text's ids.  That holds
+for one pattern, which is known here; under another one a text is encoded whole.
 
 Defined results: null text encodes as empty text: no ids; special tokens'
 strings are ordinary text; other columns are carried through.
@@ -27,6 +28,9 @@ from . import arrays
 PIECE_CHARS = 1 << 16
 _SAFE = re.compile(r"(?<=\S)[ \n]")
 
+#: Fixed value: the split pattern of which that holds; under any other one a text is encoded whole.
+CUTTABLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 @lru_cache(maxsize=2)
 def encoding(rank_file: str, pattern: str):
@@ -53,7 +57,7 @@ def safe_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 def encode_pieces(text: str | None, rank_file: str, pattern: str) -> Iterator[np.ndarray]:
     """The text's ids, piece by piece, as little-endian unsigned 32-bit integers."""
     coder = encoding(rank_file, pattern)
-    for piece in safe_pieces(text or ""):
+    for piece in safe_pieces(text or "") if pattern == CUTTABLE else (text or "",):
         if piece:
             yield np.array(coder.encode_ordinary(piece), dtype="<u4")
 

@@ -43,8 +43,12 @@ def committed(folder: str, name: str):
     """A writable stream that gets its name only when all is written.
 
     A task that runs twice, or again after an executor is lost, writes a
-    temporary file of its own and then replaces the same name with equal bytes.
+    temporary file of its own.  Its bytes are those that have the name already, as
+    far as any do: a file system that moves onto a name replaces them, and where one
+    refuses to, as hdfs: does, the temporary file goes.
     """
+    from pyarrow import fs
+
     system, path = opened(folder)
     system.create_dir(path, recursive=True)
     temporary = f"{path}/_temporary-{uuid.uuid4().hex}"
@@ -52,7 +56,12 @@ def committed(folder: str, name: str):
     try:
         yield stream
         stream.close()
-        system.move(temporary, f"{path}/{name}")
+        try:
+            system.move(temporary, f"{path}/{name}")
+        except OSError:
+            if system.get_file_info(f"{path}/{name}").type == fs.FileType.NotFound:
+                raise
+            system.delete_file(temporary)
     except BaseException:
         stream.close()
         system.delete_file(temporary)

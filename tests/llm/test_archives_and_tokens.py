@@ -175,3 +175,44 @@ def test_round_trip(docs, odd, ranks):
 
 def test_special_strings_are_text(ranks):
     assert len(list(bpe.encode_pieces("<|endoftext|>", *ranks))[0]) > 1
+
+
+class _Refusing:
+    """The local file system, which moves onto no name that there is."""
+
+    def __init__(self, fail=False):
+        from pyarrow import fs
+
+        self.local, self.fail = fs.LocalFileSystem(), fail
+
+    def __getattr__(self, name):
+        return getattr(self.local, name)
+
+    def move(self, a, b):
+        if self.fail or os.path.exists(b):
+            raise OSError(f"{b} is there")
+        self.local.move(a, b)
+
+
+def test_a_task_that_runs_again_where_names_are_not_replaced(tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "opened", lambda uri: (_Refusing(), str(tmp_path / "out")))
+    for _ in range(2):
+        with files.committed("any", "part") as stream:
+            stream.write(b"same")
+    assert os.listdir(tmp_path / "out") == ["part"] and (tmp_path / "out/part").read_bytes() == b"same"
+    with pytest.raises(RuntimeError), files.committed("any", "other") as stream:
+        raise RuntimeError
+    monkeypatch.setattr(files, "opened", lambda uri: (_Refusing(fail=True), str(tmp_path / "out")))
+    with pytest.raises(OSError), files.committed("any", "new") as stream:
+        stream.write(b"x")
+    assert os.listdir(tmp_path / "out") == ["part"]
+
+
+def test_other_patterns_are_not_cut(ranks):
+    rank_file, pattern = ranks
+    assert pattern == bpe.CUTTABLE
+    spaced = r"[^ ]+| +[^ ]* "  # a match may go on over a space
+    text = ("word, " * 30_000) + "end"
+    whole = bpe.encoding(rank_file, spaced).encode_ordinary(text)
+    assert [i for p in bpe.encode_pieces(text, rank_file, spaced) for i in p.tolist()] == whole
+    assert len(list(bpe.encode_pieces(text, rank_file, spaced))) == 1 < len(list(bpe.encode_pieces(text, rank_file, pattern)))
