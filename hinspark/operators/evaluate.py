@@ -54,6 +54,11 @@ def ranking(scored: DataFrame, head: list[str], score: str = "score", tie: str =
     ).agg(*(F.avg(c).alias(c) for c in ("mrr", "amrr", "nmrr", "ndcg")))
 
 
+def link_metrics(scored: DataFrame, head: list[str], score: str = "score", tie: str = "dst", y: str = "y") -> DataFrame:
+    """One row mrr, amrr, nmrr, ndcg, auc of scored links: ranked for each head, and over all pairs."""
+    return ranking(scored, head, score, tie, y).crossJoin(F.broadcast(roc_auc(scored, score, y)))  # one row each
+
+
 def argmax_class(logits: DataFrame, key: str = "nid") -> DataFrame:
     """(key, pred) of (key, cls, logit): the largest logit, the smallest class on ties."""
     return logits.groupBy(key).agg(F.max_by("cls", F.struct("logit", -F.col("cls"))).alias("pred"))

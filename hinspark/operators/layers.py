@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import dot, gelu, l2_normalized, leaky_relu, matvec
+from ..functions.vectors import dot, elu, gelu, l2_normalized, leaky_relu, matvec, prelu
+from ..scratch import written
 from ..types import CEType
 from .evaluate import softmax
 
@@ -78,8 +79,8 @@ def _per_head(h: Column, w: list[list[list[float]]]) -> Column:
     return F.array(*(matvec(m, F.slice(h, i * width + 1, width)) for i, m in enumerate(turned)))
 
 
-def typed_attention(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame], dst: str, query: list[list[float]], key: dict[str, list[list[float]]], relation: dict[CEType, list[list[list[float]]]], prior: dict[CEType, list[float]]) -> DataFrame:
-    """(dst, src, etype, head, a): attention of one node type's nodes over all their in-edges, whatever the edge type.
+def typed_attention(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame], dst: str, query: list[list[float]], key: dict[str, list[list[float]]], relation: dict[CEType, list[list[list[float]]]], prior: dict[CEType, list[float]], per_type: bool = False) -> DataFrame:
+    """(dst, src, etype, head, a): attention of one node type's nodes over all their in-edges, whatever the edge type, or ``per_type``.
 
     A score is query · (key · relation matrix) of a head, times the relation's prior,
     over the root of the head's width; softmax is over a node's edges of all types.
@@ -99,17 +100,22 @@ def typed_attention(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame],
         x = F.array(*(dot(F.slice("q", h * width + 1, width), F.get("k", h)) * (prior[c][h] / width**0.5) * weight for h in range(heads)))
         part = both.select("dst", "src", F.lit(i).alias("etype"), F.posexplode(x).alias("head", "x"))
         scored = part if scored is None else scored.unionByName(part)
-    return softmax(scored, ["dst", "head"], "x", "a").select("dst", "src", "etype", "head", "a")
+    return softmax(scored, ["dst", *(["etype"] if per_type else []), "head"], "x", "a").select("dst", "src", "etype", "head", "a")
 
 
-def hgt_conv(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame], dst: str, query: list[list[float]], key: dict[str, list[list[float]]], value: dict[str, list[list[float]]], relation: dict[CEType, list[list[list[float]]]], message: dict[CEType, list[list[list[float]]]], prior: dict[CEType, list[float]], out: list[list[float]], skip: float) -> DataFrame:
+def hgt_conv(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame], dst: str, query: list[list[float]], key: dict[str, list[list[float]]], value: dict[str, list[list[float]]], relation: dict[CEType, list[list[list[float]]]], message: dict[CEType, list[list[list[float]]]], prior: dict[CEType, list[float]], out: list[list[float]], skip: float, per_type: bool = False) -> DataFrame:
     """Typed attention over messages, then gelu(out · sum), mixed with the node's own vector by a gate, sigmoid(skip).
 
-    A node without in-edges has a sum of zeros.
+    A node without in-edges has a sum of zeros.  With ``per_type``, the older form: the
+    edges of each type have a softmax of their own, messages are averaged over the edge
+    types into the node type, those without an edge counted as zeros, and there's no gelu.
     """
     import math
 
-    attention = typed_attention(edges, nodes, dst, query, key, relation, prior)
+    attention = typed_attention(edges, nodes, dst, query, key, relation, prior, per_type)
+    if per_type:
+        attention = attention.withColumn("a", F.col("a") / sum(c.dst == dst for c in edges))
+    active = (lambda x: x) if per_type else gelu
     sent = None
     for i, c in enumerate(edges):
         if c.dst != dst:
@@ -124,7 +130,7 @@ def hgt_conv(edges: dict[CEType, DataFrame], nodes: dict[str, DataFrame], dst: s
     gate = 1 / (1 + math.exp(-skip))
     mixed = nodes[dst].join(joined, F.col("nid") == F.col("dst"), "left")
     s = F.coalesce("s", F.array_repeat(F.lit(0.0), len(query)))
-    return mixed.select("nid", F.zip_with(matvec(out, s), F.col("h"), lambda x, y: gelu(x) * gate + y.cast("double") * (1 - gate)).alias("h"))
+    return mixed.select("nid", F.zip_with(matvec(out, s), F.col("h"), lambda x, y: active(x) * gate + y.cast("double") * (1 - gate)).alias("h"))
 
 
 def attention_residual(now: Column, before: Column | None, alpha: float) -> Column:
@@ -286,3 +292,100 @@ def slots_merged(rows: DataFrame, slots: list[str], width: int, how: str, w: lis
     if how not in made:
         raise ValueError(how)
     return known.select("nid", made[how]().alias("h"))
+
+
+def han_conv(paths: dict[str, DataFrame], nodes: DataFrame, left: dict[str, list[float]], right: dict[str, list[float]], w: list[list[float]], q: list[float], slope: float = 0.2) -> DataFrame:
+    """Attention over each metapath's pairs (src, dst), elu, then attention over the metapaths.
+
+    A node without a pair of a metapath counts there with zeros, as the mean over nodes is over all of them.
+    """
+    out = None
+    for mp, edges in paths.items():
+        seen = gat_conv(edges, nodes, left[mp], right[mp], slope).withColumnRenamed("h", "m")
+        part = nodes.join(seen, "nid", "left").select("nid", F.lit(mp).alias("mp"), F.transform(F.coalesce("m", F.transform("h", lambda x: F.lit(0.0))), lambda x: elu(x)).alias("h"))  # transform would give a second argument its index
+        out = part if out is None else out.unionByName(part)
+    return semantic_attention(out, w, q)
+
+
+def group_norm(h: Column, groups: int, eps: float = 1e-5) -> Column:
+    """Each of ``groups`` equal stretches of a vector less its mean, over its population deviation."""
+    width = (F.size(h) / groups).cast("int")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    # bound as lambdas' arguments, mean and deviation are made once for a stretch
+    centred = lambda a: F.flatten(F.transform(F.array(total(a) / width), lambda m: F.transform(a, lambda x: x - m)))
+    scaled = lambda a: F.flatten(F.transform(F.array(F.sqrt(total(F.transform(a, lambda x: x * x)) / width + eps)), lambda d: F.transform(a, lambda x: x / d)))
+    parts = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.slice(h, i * width + 1, width))
+    return F.flatten(F.transform(F.transform(parts, centred), scaled))
+
+
+def _vector(v: list[float]) -> Column:
+    return F.array(*map(F.lit, v))
+
+
+def affine(w: list[list[float]], b: list[float], x: Column) -> Column:
+    return F.zip_with(matvec(w, x), _vector(b), lambda u, v: u + v)
+
+
+def readout(h: Column, hidden: list[tuple[list[list[float]], list[float], float]], w: list[list[float]], b: list[float]) -> Column:
+    """Logits: for each hidden layer (matrix, offsets, slope) affine, normalised, parametric relu; then affine."""
+    for matrix, offset, slope in hidden:
+        h = F.transform(group_norm(affine(matrix, offset, h), 1), lambda x: prelu(x, F.lit(slope)))  # noqa: B023
+    return affine(w, b, h)
+
+
+def srgcn(edges: dict[CEType, DataFrame], feats: dict[str, DataFrame], projection: dict[str, tuple[list[list[float]], list[float]]], logits: list[dict[CEType, float]], heads: int, residual: float, target: str, hidden: list, w: list[list[float]], b: list[float]) -> DataFrame:
+    """(nid, h): logits of the target's nodes by a whole relational network.
+
+    Features of each type are projected into one space and normalised by head; a layer
+    for each entry of ``logits`` sends means along relations, weighted by a softmax
+    over the relations into a type; from the second layer on ``residual`` of a node's vector
+    before is added.  A node without a message keeps zeros.  Layers are made for the
+    types only that the target still needs.
+    """
+    needed = [{target}]
+    for _ in logits:
+        needed.insert(0, needed[0] | {c.src for c in edges if c.dst in needed[0]})
+    width = len(next(iter(projection.values()))[1])
+    now = {n: feats[n].select("nid", group_norm(affine(*projection[n], F.col("h")), heads).alias("h")) for n in feats if n in needed[0]}
+    zeros = F.array_repeat(F.lit(0.0), width)
+    for i, weights in enumerate(logits):
+        after = {}
+        for n in needed[i + 1]:
+            into = {c: e for c, e in edges.items() if c.dst == n and c.src in now}
+            got = now[n].withColumnRenamed("h", "own")
+            if into:
+                got = got.join(srgcn_conv(into, now, {c: weights[c] for c in into}, n), "nid", "left")
+            else:
+                got = got.withColumn("h", zeros)
+            sent = F.coalesce("h", zeros)
+            h = F.zip_with(sent, "own", lambda x, y: x + residual * y) if i else sent
+            after[n] = written(got.select("nid", h.alias("h")), "layer")
+        now = after
+    return now[target].select("nid", readout(F.col("h"), hidden, w, b).alias("h"))
+
+
+def paths_stacked(per_path: DataFrame, widths: dict[str, int]) -> DataFrame:
+    """(nid, hs) of (nid, mp, h): a node's vectors in the order of ``widths``, zeros where a metapath has none; as many as metapaths at most."""
+    known = per_path.groupBy("nid").agg(F.map_from_entries(F.collect_list(F.struct("mp", "h"))).alias("m"))
+    return known.select("nid", F.array(*(F.coalesce(F.element_at("m", F.lit(mp)), F.array_repeat(F.lit(0.0), n)) for mp, n in widths.items())).alias("hs"))
+
+
+def path_projection(hs: Column, w: list[list[list[float]]], b: list[list[float]], slope: float) -> Column:
+    """Each metapath's vector by its own matrix and offsets, normalised over all metapaths of the node together, parametric relu."""
+    parts = F.flatten(F.array(*(affine(m, v, F.get(hs, i)) for i, (m, v) in enumerate(zip(w, b, strict=True)))))
+    flat = F.transform(group_norm(parts, 1), lambda x: prelu(x, F.lit(slope)))
+    width = len(b[0])
+    return F.array(*(F.slice(flat, i * width + 1, width) for i in range(len(b))))
+
+
+def searched_paths(hs: Column, alpha: list[float], sampled: list[int]) -> Column:
+    """The sampled metapaths' vectors added up by the softmax of their weights."""
+    import math
+
+    top = max(alpha[i] for i in sampled)
+    mass = sum(math.exp(alpha[i] - top) for i in sampled)
+    out = None
+    for i in sampled:
+        part = F.transform(F.get(hs, i), lambda x: x.cast("double") * (math.exp(alpha[i] - top) / mass))  # noqa: B023
+        out = part if out is None else F.zip_with(out, part, lambda x, y: x + y)
+    return out

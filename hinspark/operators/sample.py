@@ -35,15 +35,23 @@ def unlinked_tails(edges: DataFrame, n_tails: int, seed: int = 0, tries: int = 8
     """(src, dst, neg): for each edge an even draw from the tails 0 to n_tails - 1 that its head isn't linked to.
 
     The first of ``tries`` draws that is free is taken; where none was, a place among
-    the head's free tails is drawn.  Only a head linked to every tail has null.
+    the head's free tails is drawn.  Only a head linked to every tail has null.  Every
+    edge has one draw first, and only edges still without a tail have the others.
     """
     links = edges.select("src", "dst").distinct()
-    drawn = links.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
-    drawn = drawn.withColumn("neg", F.floor(hash_uniform(F.col("src"), F.col("dst"), F.col("t"), seed=seed) * n_tails).cast("long"))
-    free = drawn.join(links.select("src", F.col("dst").alias("neg")), ["src", "neg"], "left_anti")
-    first = written(links.join(free.groupBy("src", "dst").agg(F.min_by("neg", "t").alias("neg")), ["src", "dst"], "left"), "draws")
-    placed = _placed_tails(links, first.where("neg is null").select("src", "dst"), n_tails, F.lit(tries), seed)
-    found = first.where("neg is not null").unionByName(placed)
+    taken = links.select("src", F.col("dst").alias("neg"))
+
+    def free(todo: DataFrame, low: int, high: int) -> DataFrame:
+        draws = todo.withColumn("t", F.explode(F.sequence(F.lit(low), F.lit(high))))
+        draws = draws.withColumn("neg", F.floor(hash_uniform(F.col("src"), F.col("dst"), F.col("t"), seed=seed) * n_tails).cast("long"))
+        return draws.join(taken, ["src", "neg"], "left_anti").groupBy("src", "dst").agg(F.min_by("neg", "t").alias("neg"))
+
+    found, todo, low = None, links, 0
+    for high in sorted({0, tries - 1}):
+        first = written(todo.join(free(todo, low, high), ["src", "dst"], "left"), "draws")
+        some, todo, low = first.where("neg is not null"), first.where("neg is null").select("src", "dst"), high + 1
+        found = some if found is None else found.unionByName(some)
+    found = found.unionByName(_placed_tails(links, todo, n_tails, F.lit(tries), seed))
     return edges.select("src", "dst").join(found, ["src", "dst"], "left")
 
 
@@ -89,16 +97,45 @@ def random_pairs(edges: DataFrame, n_heads: int, n_tails: int, seed: int = 0, tr
         low, tries = low + tries, 2 * tries
 
 
-def two_hop_candidates(links: DataFrame, positives: DataFrame) -> DataFrame:
+def two_hop_candidates(links: DataFrame, positives: DataFrame, tails: tuple[int, int] | None = None) -> DataFrame:
     """(src, dst) for each head of ``positives``: nodes two undirected links away, neither linked to it nor itself.
 
-    ``links`` are (src, dst) over one id space.
+    ``links`` are (src, dst) over one id space; of it ``tails`` is the range (first, after
+    the last) that candidates come from, if not all: other ends are never made.
     """
     both = links.select("src", "dst").union(links.select("dst", "src")).distinct()
     heads = positives.select("src").distinct()
     first = both.join(heads, "src", "left_semi")
-    two = first.select("src", F.col("dst").alias("mid")).join(both.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src <> dst").distinct()
-    return two.join(both, ["src", "dst"], "left_anti")
+    ends = both if tails is None else both.where((F.col("dst") >= tails[0]) & (F.col("dst") < tails[1]))
+    two = first.select("src", F.col("dst").alias("mid")).join(ends.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src <> dst").distinct()
+    return two.join(ends, ["src", "dst"], "left_anti")
+
+
+def reached_within(graph: HinGraph, heads: DataFrame, head: str, tail: str, hops: int) -> DataFrame:
+    """(src, dst): for each head (nid) the nodes of type ``tail`` from which at most ``hops`` edges, of any types, lead to it.
+
+    With no edge a head leads to itself, where both types are one.  Walked against the
+    edges from the heads, through node types only that the tails can still lead to in
+    the hops that are left; a level has each pair once.
+    """
+    useful = [{tail}]
+    for _ in range(hops):
+        useful.append(useful[-1] | {c.dst for c in graph.edges if c.src in useful[-1]})
+    level, found = {head: heads.select(F.col("nid").alias("src"), F.col("nid").alias("at")).distinct()}, []
+    for left in range(hops, -1, -1):
+        if tail in level:
+            found.append(level[tail])
+        if left == 0:
+            break
+        ahead: dict[str, list[DataFrame]] = {}
+        for c, e in graph.edges.items():
+            if c.dst in level and c.src in useful[left - 1]:
+                step = level[c.dst].join(e.select(F.col("dst").alias("at"), F.col("src").alias("to")), "at").select("src", F.col("to").alias("at"))
+                ahead.setdefault(c.src, []).append(step)
+        level = {n: functools.reduce(DataFrame.unionByName, parts).distinct() for n, parts in ahead.items()}
+    if not found:
+        return heads.select(F.col("nid").alias("src"), F.col("nid").alias("dst")).where("false")
+    return functools.reduce(DataFrame.unionByName, found).distinct().select("src", F.col("at").alias("dst"))
 
 
 def n_hop_candidates(steps: list[DataFrame], direct: DataFrame) -> DataFrame:
@@ -117,15 +154,16 @@ def n_hop_candidates(steps: list[DataFrame], direct: DataFrame) -> DataFrame:
 def drawn(candidates: DataFrame, per_head: DataFrame, seed: int = 0) -> DataFrame:
     """(src, k, dst): for each head as many draws with replacement as ``per_head`` (src, n) says.
 
-    Candidates are numbered per head by their hash; a draw picks a number, so no
-    head's list is ever gathered.
+    Candidates are numbered in the order of (head, hash) by ranges, and a draw picks a
+    number among its head's: no head's list is one task's, and draws meet candidates
+    by the number alone, however many one head has.
     """
-    w = Window.partitionBy("src").orderBy(hash_order(F.col("src"), F.col("dst"), seed=seed), "dst")
-    numbered = candidates.withColumn("i", F.row_number().over(w) - 1)
-    sizes = candidates.groupBy("src").agg(F.count("*").alias("size"))
-    picks = per_head.join(sizes, "src").select("src", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("k"))
-    picks = picks.withColumn("i", F.floor(hash_uniform(F.col("src"), F.col("k"), seed=seed + 1) * F.col("size")).cast("int"))
-    return picks.join(numbered, ["src", "i"]).select("src", "k", "dst")
+    key = F.struct("src", hash_order(F.col("src"), F.col("dst"), seed=seed).alias("h"), "dst")
+    numbered = dense_ids(candidates.select(key.alias("__key")), "__key").select("__key.src", "__key.dst", "nid")
+    ranges = numbered.groupBy("src").agg(F.min("nid").alias("first"), F.count("*").alias("size"))
+    picks = per_head.join(ranges, "src").select("src", "first", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("k"))
+    place = F.col("first") + F.floor(hash_uniform(F.col("src"), F.col("k"), seed=seed + 1) * F.col("size")).cast("long")
+    return picks.select("src", "k", place.alias("nid")).join(numbered.select("nid", "dst"), "nid").select("src", "k", "dst")
 
 
 def k_folds(rows: DataFrame, k: int, stratum: Column | None, key: str, seed: int = 0) -> DataFrame:
