@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.vectors import bce_with_logits, sigmoid
@@ -22,15 +24,23 @@ def roc_auc(scored: DataFrame, score: str = "score", y: str = "y") -> DataFrame:
 
 
 def with_running_sum(rows: DataFrame, order: str, value: str, to: str) -> DataFrame:
-    """Sum of ``value`` over all rows before each one in a total order, in two passes over range partitions.
+    """Sum of ``value`` over all rows before each one in a total order; see :func:`with_running_sums`."""
+    return with_running_sums(rows, order, {value: to})
+
+
+def with_running_sums(rows: DataFrame, order: str, sums: dict[str, str]) -> DataFrame:
+    """Sums of columns, each to a column, over all rows before each one in a total order, in two passes over range partitions.
 
     Written between the passes: bounds of ranges are sampled, so ranges made twice may differ.
     """
     parts = written(rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("__p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    total = parts.groupBy("__p").agg(F.sum(value).alias("__t"))
-    before = total.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-    return parts.withColumn(to, F.coalesce(F.sum(value).over(inside), F.lit(0))).join(F.broadcast(before), "__p").withColumn(to, F.col(to) + F.col("__b")).drop("__p", "__b")  # a row for each partition
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    total = parts.groupBy("__p").agg(*(F.sum(v).alias(f"__t{i}") for i, v in enumerate(sums)))
+    before = total.select("__p", *(F.coalesce(F.sum(f"__t{i}").over(earlier), F.lit(0)).alias(f"__b{i}") for i in range(len(sums))))
+    run = parts.withColumns({to: F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, to in sums.items()})
+    run = run.join(F.broadcast(before), "__p").withColumns({to: F.col(to) + F.col(f"__b{i}") for i, to in enumerate(sums.values())})  # a row for each partition
+    return run.drop("__p", *(f"__b{i}" for i in range(len(sums))))
 
 
 def ranking(scored: DataFrame, head: list[str], score: str = "score", tie: str = "dst", y: str = "y") -> DataFrame:
@@ -91,18 +101,31 @@ def f1_multi(scored: DataFrame, thresholds: DataFrame | float = 0.5) -> DataFram
     return _micro_macro(scored.groupBy("cls").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn")))
 
 
-def best_thresholds(scored: DataFrame) -> DataFrame:
+def best_thresholds(scored: DataFrame, objective: Callable[[Column, Column, Column], Column] = _f1) -> DataFrame:
     """(cls, threshold, f1): for each class the least probability that, as an exclusive bound just below it, gives the best F1.
 
-    An exact scan of all distinct probabilities, by running counts from above.
+    An exact scan of all distinct probabilities, by running counts from above over
+    ranges of (class, probability), so no class is one task's.  ``objective`` of true
+    positives, false positives and false negatives may stand for F1; what it gives is
+    under ``f1`` all the same.
     """
     per = scored.groupBy("cls", sigmoid(F.col("logit")).alias("p")).agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count("*").alias("n"))
-    down = Window.partitionBy("cls").orderBy(F.desc("p"))
-    all_ = per.groupBy("cls").agg(F.sum("pos").alias("total"))
-    run = per.withColumns({"tp": F.sum("pos").over(down), "k": F.sum("n").over(down), "lower": F.lead("p").over(down)}).join(all_, "cls")
-    f1 = _f1(F.col("tp"), F.col("k") - F.col("tp"), F.col("total") - F.col("tp"))
-    limit = F.coalesce((F.col("p") + F.col("lower")) / 2, F.col("p") / 2)
-    return run.select("cls", limit.alias("threshold"), f1.alias("f1")).groupBy("cls").agg(F.max_by(F.struct("threshold", "f1"), F.struct("f1", -F.col("threshold"))).alias("b")).select("cls", "b.threshold", "b.f1")
+    run = with_running_sums(per.withColumn("at", F.struct("cls", (-F.col("p")).alias("down"))), "at", {"pos": "tp", "n": "k"})
+    first = run.groupBy("cls").agg(F.min("tp").alias("tp0"), F.min("k").alias("k0"), F.sum("pos").alias("total"))
+    tp, k = F.col("tp") + F.col("pos") - F.col("tp0"), F.col("k") + F.col("n") - F.col("k0")
+    counted = run.join(F.broadcast(first), "cls").select("cls", "p", objective(tp, k - tp, F.col("total") - tp).alias("f1"))  # a row for each class
+    best = counted.groupBy("cls").agg(F.max_by(F.struct("p", "f1"), F.struct("f1", -F.col("p"))).alias("b")).select("cls", "b.p", "b.f1")
+    lower = per.select("cls", F.col("p").alias("q")).join(F.broadcast(best), "cls").groupBy("cls", "p", "f1").agg(F.max(F.when(F.col("q") < F.col("p"), F.col("q"))).alias("q"))
+    return lower.select("cls", F.coalesce((F.col("p") + F.col("q")) / 2, F.col("p") / 2).alias("threshold"), "f1")
+
+
+def searched_f1(scored: DataFrame, split: str = "split", learn: str = "train", objective: Callable[[Column, Column, Column], Column] = _f1) -> DataFrame:
+    """(split, micro_f1, macro_f1) of (nid, cls, logit, y, split): thresholds are searched on one split and used on all; a class it doesn't have keeps 0.5."""
+    limits = best_thresholds(scored.where(F.col(split) == learn), objective).select("cls", "threshold")
+    at = scored.where(F.col(split).isNotNull()).join(F.broadcast(limits), "cls", "left")  # a row for each class
+    hit, true = sigmoid(F.col("logit")) > F.coalesce("threshold", F.lit(0.5)), F.col("y") == 1
+    per = at.groupBy(split, "cls").agg(F.count_if(hit & true).alias("tp"), F.count_if(hit & ~true).alias("fp"), F.count_if(~hit & true).alias("fn"))
+    return per.groupBy(split).agg(_f1(F.sum("tp"), F.sum("fp"), F.sum("fn")).alias("micro_f1"), F.avg(_f1(F.col("tp"), F.col("fp"), F.col("fn"))).alias("macro_f1"))
 
 
 def threshold_grid(scored: DataFrame, steps: int, low: float = 0.0, high: float = 1.0) -> DataFrame:

@@ -61,6 +61,13 @@ def early_stopping(history: DataFrame, group: list[str], patience: int, minimise
     return h.withColumn("stop", F.coalesce(F.col("__at") == F.col("__i"), F.lit(False))).drop("__b", "__i", "__last", "__at")
 
 
+def missed_checkpoints(history: DataFrame, checkpoints: DataFrame, group: list[str], minimise: bool = True) -> DataFrame:
+    """(group, epoch): the first epoch at which a run is worse than the (epoch, bound) asked of it there; runs that miss none aren't in it."""
+    asked = history.join(F.broadcast(checkpoints.select("epoch", "bound")), "epoch")  # a short list, a row for each epoch asked about
+    worse = F.col("value") > F.col("bound") if minimise else F.col("value") < F.col("bound")
+    return asked.where(worse).groupBy(*group).agg(F.min("epoch").alias("epoch"))
+
+
 def best_scalars(history: DataFrame, group: list[str], metric: str, minimise: bool = True) -> DataFrame:
     """(group, tag, value) of all scalars at the epoch where a metric is best, the first on ties."""
     of = history.where(F.col("tag") == metric)

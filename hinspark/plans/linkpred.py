@@ -36,6 +36,18 @@ class LinkTask:
         positives = {s: links.where(F.col("split") == s).select("src", "dst") for s in ("train", "val")}
         return LinkTask(_with_links(graph, c, positives["train"]), c, positives)
 
+    def folds(self, k: int, seed: int = 0) -> DataFrame:
+        """(src, dst, fold): training and validation links in k even folds; tests' links are in none."""
+        links = functools.reduce(DataFrame.unionByName, [self.positives[s].select("src", "dst") for s in ("train", "val") if s in self.positives]).distinct()
+        keyed = links.withColumn("link", F.struct("src", "dst"))
+        return sample.k_folds(keyed, k, None, "link", seed).select("src", "dst", "fold")
+
+    def held(self, folds: DataFrame, fold: int) -> LinkTask:
+        """The task with one fold for validation and the others for training; inverse edges follow."""
+        placed = written(folds, "folds")
+        positives = {**self.positives, "train": placed.where(F.col("fold") != fold).select("src", "dst"), "val": placed.where(F.col("fold") == fold).select("src", "dst")}
+        return replace(self, graph=_with_links(self.graph, self.target, positives["train"]), positives=positives)
+
     def known(self, split: str) -> HinGraph:
         """The network with the links of all splits up to this one, both ways."""
         more = [_with_links(replace(self.graph, edges={}, inverse=self.graph.inverse), self.target, self.positives[s]) for s in SPLITS[1 : SPLITS.index(split) + 1] if s in self.positives]

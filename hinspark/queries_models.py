@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .functions.vectors import dot
-from .operators import evaluate, features, layers, linalg, propagate
+from .operators import evaluate, features, layers, linalg, propagate, runs
 from .plans import inputs
 from .plans.linkpred import LinkTask
 from .queries import _BRANDS, _BUYS, _CONTAINS, _CUSTOMERS, _IN_ORDER, _NATION_LOOP, _PLACED_BY, _RING, _VEC, _customer_vectors, _ring, _typed, buys, rounded
@@ -92,6 +92,50 @@ def link_metrics(spark, sf_dir):
     return evaluate.link_metrics(scored, ["src"]).select(*(rounded(c).alias(c) for c in ("mrr", "amrr", "nmrr", "ndcg", "auc")))
 
 
+@query(
+    f"""WITH {_BASKETS}, f AS (SELECT src, dst, (row_number() OVER (ORDER BY md5('{{' || src || ', ' || dst || '}}-3'), src, dst) - 1) % 4 AS fold FROM links),
+    t AS (SELECT src, dst, CASE WHEN fold = 1 THEN 'val' ELSE 'train' END AS split FROM f) SELECT split, src, count(*) AS links, sum(dst)::BIGINT AS parts FROM t GROUP BY 1, 2"""
+)
+def link_kfold(spark, sf_dir):
+    """All lines in four even folds; one is held out, and the network's edges and their inverse follow."""
+    task = baskets(spark, sf_dir)
+    task = task.held(task.folds(4, 3), 1)
+    inverse = task.graph.edges[task.graph.inverse[task.target]]
+    parts = [inverse.select(F.lit("train").alias("split"), F.col("dst").alias("src"), F.col("src").alias("dst")), task.positives["val"].select(F.lit("val").alias("split"), "src", "dst")]
+    return parts[0].unionByName(parts[1]).groupBy("split", "src").agg(F.count("*").alias("links"), F.sum("dst").alias("parts"))
+
+
+# ---- thresholds and checkpoints
+
+_MANY = f"""{_CUSTOMERS}, g AS (SELECT nid, cls, split, ((nid * 37 + cls * 11) % 101) / 25.0 - 2 AS logit, CASE WHEN (nid * 37 + cls * 11) % 101 + (nid % 40) > 60 THEN 1 ELSE 0 END AS y FROM customers, range(0, 3) AS r(cls)),
+    per AS (SELECT cls, logit, sum(y) AS pos, count(*) AS n FROM g WHERE split = 'train' GROUP BY 1, 2), run AS (SELECT cls, logit, sum(pos) OVER w AS tp, sum(n) OVER w AS k, sum(pos) OVER (PARTITION BY cls) AS total FROM per WINDOW w AS (PARTITION BY cls ORDER BY logit DESC)),
+    best AS (SELECT cls, arg_max(logit, row(2.0 * tp / (k + total), -logit)) AS lowest FROM run GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {_MANY}, c AS (SELECT split, cls, count(*) FILTER (logit >= lowest AND y = 1) AS tp, count(*) FILTER (logit >= lowest AND y = 0) AS fp, count(*) FILTER (logit < lowest AND y = 1) AS fn FROM g JOIN best USING (cls) WHERE split IS NOT NULL GROUP BY 1, 2)
+    SELECT split, round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) + 1e-9, 6) AS micro_f1, round(avg(2 * tp / (2 * tp + fp + fn)) + 1e-9, 6) AS macro_f1 FROM c GROUP BY 1"""
+)
+def threshold_search(spark, sf_dir):
+    """Thresholds of three classes searched on the training customers and used on every split."""
+    n = commerce(spark, sf_dir).nodes["customer"].select("nid", "split", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("cls"))
+    cell = F.pmod(F.col("nid") * 37 + F.col("cls") * 11, F.lit(101))
+    scored = n.withColumns({"logit": cell / 25.0 - 2, "y": (cell + F.pmod(F.col("nid"), F.lit(40)) > 60).cast("int")})
+    return evaluate.searched_f1(scored).select("split", rounded("micro_f1").alias("micro_f1"), rounded("macro_f1").alias("macro_f1"))
+
+
+@query(
+    """WITH h AS (SELECT o_custkey AS run, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS epoch, o_totalprice AS value FROM orders), c AS (SELECT * FROM (VALUES (2, 150000.0), (5, 200000.0)) AS t(epoch, bound))
+    SELECT run, min(epoch) AS epoch FROM h JOIN c USING (epoch) WHERE value > bound GROUP BY 1"""
+)
+def checkpoint_thresholds(spark, sf_dir):
+    """Customers' orders as the epochs of runs: where each first is above what is asked at the second and the fifth."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    history = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), F.row_number().over(w).cast("long").alias("epoch"), F.col("o_totalprice").alias("value"))
+    asked = spark.createDataFrame([(2, 150000.0), (5, 200000.0)], "epoch long, bound double")
+    return runs.missed_checkpoints(history, asked, ["run"])
+
+
 # ---- inputs of models
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hinspark import queries_models
 from hinspark.graph import HinGraph
-from hinspark.operators import evaluate, layers, sample
+from hinspark.operators import evaluate, layers, runs, sample
 from hinspark.plans import inputs
 from hinspark.plans.linkpred import LinkTask
 from hinspark.types import CEType
@@ -153,3 +153,44 @@ def test_twin(name, spark, sf_dir):
     got = sorted(repr(tuple(r[c] for c in order)) for r in df.collect())
     want = sorted(repr(tuple(r[twin.columns.index(c)] for c in order)) for r in twin.fetchall())
     assert order == sorted(twin.columns) and got == want
+
+
+def test_folds_hold_each_link_out_once(task):
+    folds = task.folds(3, 1)
+    placed = {(r.src, r.dst): r.fold for r in folds.collect()}
+    assert len(placed) == 6 and sorted(placed.values()) == [0, 0, 1, 1, 2, 2]
+    held = task.held(folds, 2)
+    train = {p for p, f in placed.items() if f != 2}
+    assert {tuple(r) for r in held.positives["train"].collect()} == train
+    assert {(r.dst, r.src) for r in held.graph.edges[LIKED].select("src", "dst").collect()} == train
+    assert {tuple(r) for r in held.positives["val"].collect()} == set(placed) - train
+    assert [tuple(r) for r in held.positives["test"].collect()] == [(4, 4)]
+
+
+def test_thresholds_by_another_objective(spark):
+    rows = [(i, 0, float(i - 5), int(i in (3, 6, 7, 9))) for i in range(10)]
+    scored = spark.createDataFrame(rows, "nid long, cls int, logit double, y int")
+    precise = evaluate.best_thresholds(scored, lambda tp, fp, fn: tp - 10 * fp).first()
+    assert precise.f1 == 1 and 1 / (1 + math.exp(-3)) < precise.threshold < 1 / (1 + math.exp(-4))
+    assert evaluate.best_thresholds(scored.limit(0)).count() == 0
+
+
+def test_searched_f1_keeps_half_for_classes_it_never_saw(spark):
+    rows = [(0, 0, -2.0, 1, "train"), (1, 0, -3.0, 0, "train"), (2, 0, -2.1, 1, "val"), (3, 1, 1.0, 1, "val"), (4, 1, -1.0, 0, "val"), (5, 0, 9.0, 1, None)]
+    got = {r.split: r for r in evaluate.searched_f1(spark.createDataFrame(rows, "nid long, cls int, logit double, y int, split string")).collect()}
+    assert set(got) == {"train", "val"} and got["val"].micro_f1 == got["val"].macro_f1 == 1.0
+
+
+def test_running_sums_over_ranges(spark):
+    rows = spark.range(500).select(((F.col("id") * 37) % 501).alias("at"), F.col("id").alias("a"), (F.col("id") % 3).alias("b"))
+    seen_a = seen_b = 0
+    for r in sorted(evaluate.with_running_sums(rows, "at", {"a": "before_a", "b": "before_b"}).collect(), key=lambda r: r["at"]):
+        assert (r.before_a, r.before_b) == (seen_a, seen_b)
+        seen_a, seen_b = seen_a + r.a, seen_b + r.b
+
+
+def test_missed_checkpoints(spark):
+    history = spark.createDataFrame([("x", 1, 9.0), ("x", 2, 5.0), ("x", 3, 4.0), ("y", 2, 1.0), ("y", 3, 1.0)], "run string, epoch long, value double")
+    asked = spark.createDataFrame([(2, 4.0), (3, 4.0)], "epoch long, bound double")
+    assert [tuple(r) for r in runs.missed_checkpoints(history, asked, ["run"]).collect()] == [("x", 2)]
+    assert sorted(tuple(r) for r in runs.missed_checkpoints(history, asked, ["run"], minimise=False).collect()) == [("y", 2)]
