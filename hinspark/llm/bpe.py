@@ -7,7 +7,8 @@ and none looks back, so the pieces' ids joined are the whole text's ids.  That h
 for one pattern, which is known here; under another one a text is encoded whole.
 
 Defined results: null text encodes as empty text: no ids; special tokens'
-strings are ordinary text; other columns are carried through.
+strings are ordinary text; repeated rows are encoded one by one; texts of any length are
+encoded whole; an empty table gives an empty one; other columns are carried through.
 """
 
 from __future__ import annotations

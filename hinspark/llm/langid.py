@@ -1,7 +1,7 @@
 """Language identification by multilingual mixture inference.
 
-A document is a mixture of languages: each letter trigram is drawn from one of
-them.  Expectation-maximisation estimates the shares from the trigrams'
+A document is a mixture of languages: each trigram, of bytes of letters and gaps, is
+drawn from one of them.  Expectation-maximisation estimates the shares from the trigrams'
 likelihoods, and the set of languages is the one of the best penalised
 likelihood: languages are added one by one while the log-likelihood grows by
 more than ``penalty`` times half the logarithm of the number of trigrams.  The
@@ -13,7 +13,10 @@ chosen by a hash of their id).  Each sampled text counts whole.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 so is every text when nothing was learned.  Equal likelihoods go to the language
-that sorts first.  Rows with a null id are neither held out nor learned from.
+that sorts first.  Rows with a null id are neither held out nor learned from; repeated
+rows are learned from, and judged, one by one.  Texts of any length are read whole.  An
+empty table gives an empty one.  Other columns are carried through, where the results
+replace columns of their names.
 """
 
 from __future__ import annotations
@@ -109,11 +112,13 @@ def held_out(key: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs_per_language: int = 2000, max_languages: int = 1000, **kw) -> Mixture:
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", max_docs_per_language: int = 2000, max_languages: int = 256, **kw) -> Mixture:
     """Learn from rows with a text and a language.
 
-    ``max_docs_per_language`` bounds the sample; ``max_languages`` bounds the
-    table of counts that reaches the driver, and more languages are an error.
+    ``max_docs_per_language`` bounds the sample.  A language's counts are made one dense
+    row of CELLS numbers on the executors, and rows reach the driver one by one:
+    ``max_languages`` bounds the model that it holds and broadcasts, half a MB each, so
+    134 MB by default; more languages are an error.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().limit(max_languages + 1).collect()}
@@ -137,11 +142,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), type=pa.string()), pa.array(at), pa.array(c[at])], names=["lang", "cell", "n"])
 
+    def dense(part: pa.Table) -> pa.Table:
+        counts = np.zeros(CELLS, dtype=np.int64)
+        counts[part["cell"].to_numpy()] = part["n"].to_numpy()
+        return pa.table({"lang": part["lang"].slice(0, 1), "counts": pa.array([counts.tobytes()], type=pa.binary())})
+
     cells = arrays.batched(rows.where(keep).select("lang", "text")).mapInArrow(count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    table = cells.toPandas()  # at most max_languages * CELLS rows, whatever the input
     languages = sorted(sizes)
-    counts = np.zeros((len(languages), CELLS))
-    counts[table["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(dtype=np.int64), table["cell"].to_numpy(dtype=np.int64)] = table["n"]
+    place, counts = {name: i for i, name in enumerate(languages)}, np.zeros((len(languages), CELLS))
+    for row in cells.groupBy("lang").applyInArrow(dense, "lang string, counts binary").toLocalIterator():  # a group has CELLS rows at most
+        counts[place[row.lang]] = np.frombuffer(row.counts, dtype=np.int64)
     return Mixture(languages, counts, **kw)
 
 

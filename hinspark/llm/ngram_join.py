@@ -28,7 +28,7 @@ Sets are compared by 64-bit shingle hashes, classes by 128-bit checksums.
 Defined results: a text without words, or null, has an empty set and no links;
 a null id has its component's smallest id, or null where no document has one;
 rows that share an id are one document to other documents; empty tables give
-empty results; other columns are not used.
+empty results; texts of any length are read whole; other columns are not used.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ the tokens that reach into it.
 Defined results: an empty document counts 0; tokens after a file's last separator
 are a last document with ``ended`` false; an empty file has no documents; null text
 is written as an empty document; repeated rows are documents of their own; other
-columns are not used; an empty table gives no documents; a file whose size is no
+columns are not used; texts of any length are written whole; an empty table gives no
+documents; a file whose size is no
 multiple of the id's size is an error, as is an id of a text that is the separator or
 doesn't fit the file's type.
 """

@@ -17,7 +17,7 @@ refers to is found on digests alone and meets the page in the sorted stream, so
 payloads are shuffled once.  Shards are routed to partitions of their own.
 
 Defined results: null html is an empty payload; repeated rows are records of their own;
-other columns are not used; a null page_id is written last, is
+payloads of any length are written whole; other columns are not used; a null page_id is written last, is
 always a response, and is read back as null; rows that share the smallest page_id of
 a payload are all responses; a null url gets the target ``urn:page:<id>``; an
 empty table gives no files and an empty manifest.
