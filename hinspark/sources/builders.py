@@ -258,7 +258,7 @@ def _links(reader: _Reader, spec: Spec, nodes, forward, back, feats) -> Built:
         (a, _), (b, m) = reader.ranges[c.src], reader.ranges[c.dst]
         known = reader.links.select(F.col("head").alias("src"), F.col("tail").alias("dst")).unionByName(held().select(F.col("head").alias("src"), F.col("tail").alias("dst")))
         positives = Tables(test)[c].select((F.col("src") + a).alias("src"))
-        candidates = sample.two_hop_candidates(known, positives).where(F.col("dst").between(b, b + m - 1))
+        candidates = sample.two_hop_candidates(known, positives, (b, b + m))
         drawn = sample.drawn(candidates, positives.groupBy("src").agg(F.count("*").alias("n")), reader.seed)
         return drawn.select((F.col("src") - a).alias("src"), (F.col("dst") - b).alias("dst"))
 
