@@ -7,7 +7,7 @@ after its join, so a chain of products never fans out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..scratch import dropped, written
 from ..types import CEType
@@ -104,6 +104,50 @@ def pattern(adj: DataFrame) -> DataFrame:
     return adj.select("dst", "src").distinct()
 
 
+#: Pairs left out that a node may carry with it; a node with more meets them in a join.
+LEFT_OUT = 16
+#: Nodes of one list, and pairs of one task, where lists are paired.
+LIST_NODES, TASK_PAIRS = 512, 20_000_000
+
+
+def joined_pairs(first: DataFrame, second: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """Distinct (src, dst) that some middle node joins, of distinct (src, mid) and distinct (mid, dst); pairs of ``without`` (src, dst) are left out.
+
+    Nodes with one middle node can't meet an end twice, so their pairs are neither
+    shuffled nor compared: lists of them and of the ends are paired, and both lists
+    unfolded, in tasks of bounded numbers of pairs, however large a middle node is.
+    The pairs of all other nodes are grouped together with those left out.
+    """
+    kind = first.schema["src"].dataType
+    ends = F.count("*").alias("n"), F.min("mid").alias("mid")
+    out = first.groupBy("src").agg(*ends)
+    if without is None:
+        out = out.withColumn("skip", F.array().cast(T.ArrayType(kind)))
+    else:
+        without = without.select("src", "dst").distinct()
+        few = without.join(without.groupBy("src").agg(F.count("*").alias("k")).where(F.col("k") <= LEFT_OUT), "src").groupBy("src").agg(F.max("k").alias("k"), F.collect_list("dst").alias("skip"))
+        many = without.groupBy("src").agg(F.count("*").alias("k")).where(F.col("k") > LEFT_OUT).select("src", "k", F.lit(None).cast(T.ArrayType(without.schema["dst"].dataType)).alias("skip"))
+        out = out.join(few.unionByName(many), "src", "left").withColumn("skip", F.when(F.col("k").isNull(), F.array().cast(T.ArrayType(without.schema["dst"].dataType))).otherwise(F.col("skip")))
+    out = written(out.select("src", "n", "mid", "skip"), "middles")
+    lone = (F.col("n") == 1) & F.col("skip").isNotNull()
+    heads, others = out.where(lone).select("mid", "src", "skip"), first.join(out.where(~lone).select("src"), "src", "left_semi")
+    tails = second.join(heads.select("mid").distinct(), "mid", "left_semi")
+    sizes = written(heads.groupBy("mid").agg(F.count("*").alias("a")).join(tails.groupBy("mid").agg(F.count("*").alias("b")), "mid"), "sizes")
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+
+    def lists(rows: DataFrame, node: str, size: str, item: Column) -> DataFrame:
+        place = F.pmod(F.xxhash64(node), F.floor(F.col(size) / LIST_NODES) + 1)
+        return rows.join(sizes.select("mid", size), "mid").groupBy("mid", place.alias(f"{size}_place")).agg(F.collect_list(item).alias(f"{size}_list"))
+
+    paired = lists(heads, "src", "a", F.struct("src", "skip")).join(lists(tails, "dst", "b", F.col("dst")), "mid")
+    spread = paired.repartition(int(pairs // TASK_PAIRS) + 1, "mid", "a_place", "b_place")
+    single = spread.select(F.explode("a_list").alias("a"), "b_list").select("a.src", "a.skip", F.explode("b_list").alias("dst")).where(~F.array_contains("skip", F.col("dst"))).select("src", "dst")
+    met = others.join(second, "mid").select("src", "dst", F.lit(False).alias("out"))
+    if without is not None:
+        met = met.unionByName(without.join(out.where(~lone).select("src"), "src", "left_semi").select("src", "dst", F.lit(True).alias("out")))
+    return single.unionByName(met.groupBy("src", "dst").agg(F.bool_or("out").alias("out")).where("not out").select("src", "dst"))
+
+
 def within_hops(edges: DataFrame, hops: int) -> DataFrame:
     """Distinct (src, dst), src <> dst, joined by exactly ``hops`` edges of one node type."""
     step = edges.select("src", "dst").distinct()

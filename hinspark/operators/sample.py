@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.vectors import hash_order, hash_uniform
 from ..graph import HinGraph
 from ..scratch import written
+from . import linalg
 from .atomize import dense_ids
 
 
@@ -107,8 +108,9 @@ def two_hop_candidates(links: DataFrame, positives: DataFrame, tails: tuple[int,
     heads = positives.select("src").distinct()
     first = both.join(heads, "src", "left_semi")
     ends = both if tails is None else both.where((F.col("dst") >= tails[0]) & (F.col("dst") < tails[1]))
-    two = first.select("src", F.col("dst").alias("mid")).join(ends.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").where("src <> dst").distinct()
-    return two.join(ends, ["src", "dst"], "left_anti")
+    known = first if tails is None else ends.join(heads, "src", "left_semi")
+    without = known.select("src", "dst").union(heads.select("src", F.col("src").alias("dst")))
+    return linalg.joined_pairs(first.select("src", F.col("dst").alias("mid")), ends.select(F.col("src").alias("mid"), "dst"), without)
 
 
 def reached_within(graph: HinGraph, heads: DataFrame, head: str, tail: str, hops: int) -> DataFrame:
@@ -138,17 +140,32 @@ def reached_within(graph: HinGraph, heads: DataFrame, head: str, tail: str, hops
     return functools.reduce(DataFrame.unionByName, found).distinct().select("src", F.col("at").alias("dst"))
 
 
-def n_hop_candidates(steps: list[DataFrame], direct: DataFrame) -> DataFrame:
+def n_hop_candidates(steps: list[DataFrame | list[DataFrame]], direct: DataFrame) -> DataFrame:
     """(src, dst) joined by any of the step tables one after the other, without direct edges.
 
-    Each step is (src, dst) over the ids of the one before; with an identity step
-    first the node itself is a candidate, as where both ends are of one type.
+    Each step is (src, dst) over the ids of the one before, or a list of tables over
+    ids between that are no candidates; with an identity step first the node itself is
+    a candidate, as where both ends are of one type.  A step leaves out the pairs that
+    are known before it, so pairs of different steps needn't be compared.
     """
-    reached, now = None, None
-    for e in steps:
-        now = e.select("src", "dst").distinct() if now is None else now.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
-        reached = now if reached is None else reached.union(now)
-    return reached.distinct().join(direct.select("src", "dst"), ["src", "dst"], "left_anti")
+    found, now, known = None, None, direct.select("src", "dst").distinct()
+    for n, step in enumerate(steps):
+        *between, last = step if isinstance(step, list) else [step]
+        for e in between:
+            now = _ahead(now, e)
+        new = _ahead(now, last, known)
+        found = new if found is None else found.unionByName(new)
+        if n + 1 < len(steps):
+            now, known = _ahead(now, last), known.unionByName(new)
+    return found
+
+
+def _ahead(now: DataFrame | None, step: DataFrame, without: DataFrame | None = None) -> DataFrame:
+    """Distinct (src, dst) one step on from ``now``, or the step's own."""
+    step = step.select("src", "dst").distinct()
+    if now is None:
+        return step if without is None else step.join(without, ["src", "dst"], "left_anti")
+    return linalg.joined_pairs(now.select("src", F.col("dst").alias("mid")), step.select(F.col("src").alias("mid"), "dst"), without)
 
 
 def drawn(candidates: DataFrame, per_head: DataFrame, seed: int = 0) -> DataFrame:
