@@ -179,9 +179,9 @@ def metapath_pattern(graph: HinGraph, paths: list[list[str | tuple]]) -> DataFra
         now = linalg.pattern(linalg.adjacency(graph.edges[steps[0]]))
         for c in steps[1:]:
             step = graph.edges[c].select(F.col("src").alias("mid"), "dst").distinct()
-            now = step.join(now.select(F.col("dst").alias("mid"), "src"), "mid").select("dst", "src").distinct()
+            now = linalg.joined_pairs(now.select("src", F.col("dst").alias("mid")), step).select("dst", "src")
         out = now if out is None else out.union(now)
-    return out.distinct()
+    return out if len(paths) == 1 else out.distinct()
 
 
 def rows_along(graph: HinGraph, feats: DataFrame, path: Metapath, wanted: DataFrame, normalize: bool = True) -> DataFrame:
