@@ -440,9 +440,7 @@ def two_hop_negative_candidates(spark, sf_dir):
 def nhop_negative_candidates(spark, sf_dir):
     g = commerce(spark, sf_dir)
     supplier = g.nodes["supplier"].select(F.col("nid").alias("src"), F.col("nid").alias("dst"))
-    to = linalg.pattern(linalg.adjacency(g.edge("based-in"))).select("src", "dst")
-    pairs = to.join(g.edge("base-of").select(F.col("src").alias("mid"), F.col("dst").alias("to")), F.col("dst") == F.col("mid")).select("src", F.col("to").alias("dst"))
-    return sample.n_hop_candidates([supplier, pairs], supplier)
+    return sample.n_hop_candidates([supplier, [g.edge("based-in"), g.edge("base-of")]], supplier)
 
 
 @query(
