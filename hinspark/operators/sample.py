@@ -12,6 +12,9 @@ from ..scratch import written
 from . import linalg
 from .atomize import dense_ids
 
+#: Parts of a stratum that are numbered apart.
+STRATUM_PARTS = 64
+
 
 def split_first_lines(lines: DataFrame, line: str = "line_no", share: int = 5) -> DataFrame:
     """The first ⌊n / share⌋ rows by line number are ``val``, the others ``train``; line numbers count from 0 without gaps."""
@@ -191,8 +194,12 @@ def k_folds(rows: DataFrame, k: int, stratum: Column | None, key: str, seed: int
     """
     keyed = rows.withColumn("__key", F.struct((F.lit(0) if stratum is None else stratum).alias("s"), hash_order(F.col(key), seed=seed).alias("h"), F.col(key).alias("k")))
     ids = dense_ids(keyed, "__key").withColumnRenamed("nid", "__place")
-    first = ids.groupBy(F.struct("__key.s").alias("__s")).agg(F.min("__place").alias("__first"))
-    placed = ids.withColumn("__s", F.struct("__key.s")).join(first, "__s").select("__key", F.pmod(F.col("__place") - F.col("__first"), F.lit(k)).cast("long").alias("fold"))
+    if stratum is not None:  # a stratum meets its first place in parts, so a large one isn't one task's
+        first = ids.groupBy(F.struct("__key.s").alias("__s")).agg(F.min("__place").alias("__first"))
+        first = first.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(STRATUM_PARTS - 1).cast("long"))))
+        ids = ids.withColumns({"__s": F.struct("__key.s"), "__part": F.pmod(F.col("__place"), F.lit(STRATUM_PARTS).cast("long"))}).join(first, ["__s", "__part"])
+        ids = ids.select("__key", (F.col("__place") - F.col("__first")).alias("__place"))
+    placed = ids.select("__key", F.pmod(F.col("__place"), F.lit(k)).cast("long").alias("fold"))
     return keyed.join(placed, "__key").drop("__key")
 
 

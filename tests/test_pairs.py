@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from hinspark.operators import linalg, sample
 
 
@@ -35,3 +37,20 @@ def test_pairs_of_a_hub_are_not_shuffled(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Generate explode(b_list") < plan.index("RepartitionByExpression")
         assert "Aggregate" not in plan[: plan.index("Generate explode(b_list")]
+
+
+def test_folds_without_strata_join_nothing_by_a_constant(spark):
+    """All rows used to meet the one stratum's first place in one task."""
+    rows = spark.range(5000).withColumnRenamed("id", "nid")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for stratum, parts in ((None, 0), (F.lit("all"), 64)):
+            folds = sample.k_folds(rows, 5, stratum, "nid", 3)
+            assert sorted(r["count"] for r in folds.groupBy("fold").count().collect()) == [1000] * 5
+            plan = folds._jdf.queryExecution().executedPlan().toString()
+            assert ("hashpartitioning(__s" in plan) == bool(parts) and ("__part" in plan) == bool(parts)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
