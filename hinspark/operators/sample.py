@@ -78,27 +78,29 @@ def _placed_tails(links: DataFrame, wanted: DataFrame, n_tails: int, t: Column,
 def random_pairs(edges: DataFrame, n_heads: int, n_tails: int, seed: int = 0, tries: int = 8) -> DataFrame:
     """As many (src, dst) as edges, both ends drawn evenly and again until the pair is no edge.
 
-    Rounds of draws are written, each twice as long as the one before and only for
-    the edges still without a pair; without any free pair it's an error.
+    Every edge has one draw first; only for those that met an edge more are made, in
+    rounds that are written, each longer than the one before.  Without any free pair
+    it's an error.
     """
-    links = edges.select("src", "dst").distinct()
+    counted = written(edges.groupBy("src", "dst").agg(F.count("*").alias("n")), "links")
+    links = counted.select("src", "dst")
     if links.where(F.col("src").between(0, n_heads - 1) & F.col("dst").between(0, n_tails - 1)).count() >= n_heads * n_tails:
         raise ValueError("every pair is an edge")
-    counted = edges.groupBy("src", "dst").agg(F.count("*").alias("n"))
-    todo = counted.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    taken = links.select(F.col("src").alias("head"), F.col("dst").alias("tail"), F.lit(True).alias("taken"))
     u = lambda end: hash_uniform(F.col("src"), F.col("dst"), F.col("k"), F.col("t"), F.lit(end), seed=seed)
-    out, low = None, 0
-    while True:
-        drawn = todo.withColumn("t", F.explode(F.sequence(F.lit(low), F.lit(low + tries - 1))))
-        drawn = drawn.withColumns({"head": F.floor(u(0) * n_heads).cast("long"), "tail": F.floor(u(1) * n_tails).cast("long")})
-        free = drawn.join(links.select(F.col("src").alias("head"), F.col("dst").alias("tail")), ["head", "tail"], "left_anti")
+    ends = lambda todo: todo.withColumns({"head": F.floor(u(0) * n_heads).cast("long"), "tail": F.floor(u(1) * n_tails).cast("long")})
+    todo = counted.select("src", "dst", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("k"))
+    drawn = written(ends(todo.withColumn("t", F.lit(0))).join(taken, ["head", "tail"], "left").select("src", "dst", "k", "head", "tail", "taken"), "draws")
+    out = drawn.where("taken is null").select(F.col("head").alias("src"), F.col("tail").alias("dst"))
+    todo, low, tries = drawn.where("taken").select("src", "dst", "k"), 1, max(1, tries - 1)
+    while not todo.isEmpty():
+        again = ends(todo.withColumn("t", F.explode(F.sequence(F.lit(low), F.lit(low + tries - 1)))))
+        free = again.join(taken, ["head", "tail"], "left_anti")
         best = written(free.groupBy("src", "dst", "k").agg(F.min_by(F.struct("head", "tail"), "t").alias("pair")), "draws")
-        pairs = best.select(F.col("pair.head").alias("src"), F.col("pair.tail").alias("dst"))
-        out = pairs if out is None else out.unionByName(pairs)
+        out = out.unionByName(best.select(F.col("pair.head").alias("src"), F.col("pair.tail").alias("dst")))
         todo = written(todo.join(best, ["src", "dst", "k"], "left_anti"), "todo")
-        if todo.isEmpty():
-            return out
         low, tries = low + tries, 2 * tries
+    return out
 
 
 def two_hop_candidates(links: DataFrame, positives: DataFrame, tails: tuple[int, int] | None = None) -> DataFrame:

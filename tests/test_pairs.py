@@ -54,3 +54,24 @@ def test_folds_without_strata_join_nothing_by_a_constant(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def _plans(monkeypatch):
+    """Optimised plans of the tables that sampling writes, by their names."""
+    plans, kept = [], sample.written
+
+    def written(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(sample, "written", written)
+    return plans
+
+
+def test_every_edge_has_one_draw_first(spark, monkeypatch):
+    """All eight draws of every edge used to meet the links, though the first nearly always does."""
+    edges, plans = spark.range(300).selectExpr("id % 30 as src", "id * 7 % 50 as dst").distinct(), _plans(monkeypatch)
+    got, links = sample.random_pairs(edges, 60, 60, 3).collect(), {tuple(r) for r in edges.collect()}
+    assert len(got) == len(links) and not links & {tuple(r) for r in got}
+    draws = [plan for name, plan in plans if name == "draws"]
+    assert len(draws) > 1 and [plan.count("Generate explode") for plan in draws[:2]] == [1, 1] and "min_by" not in draws[0]
