@@ -130,7 +130,17 @@ def joined_pairs(first: DataFrame, second: DataFrame, without: DataFrame | None
         out = out.join(few.unionByName(many), "src", "left").withColumn("skip", F.when(F.col("k").isNull(), F.array().cast(T.ArrayType(without.schema["dst"].dataType))).otherwise(F.col("skip")))
     out = written(out.select("src", "n", "mid", "skip"), "middles")
     lone = (F.col("n") == 1) & F.col("skip").isNotNull()
-    heads, others = out.where(lone).select("mid", "src", "skip"), first.join(out.where(~lone).select("src"), "src", "left_semi")
+    others = first.join(out.where(~lone).select("src"), "src", "left_semi")
+    met = others.join(second, "mid").select("src", "dst", F.lit(False).alias("out"))
+    if without is not None:
+        met = met.unionByName(without.join(out.where(~lone).select("src"), "src", "left_semi").select("src", "dst", F.lit(True).alias("out")))
+    met = met.groupBy("src", "dst").agg(F.bool_or("out").alias("out")).where("not out").select("src", "dst")
+    heads = out.where(lone).select("mid", "src", "skip")
+    return met if heads.isEmpty() else _paired_lists(heads, second).unionByName(met)
+
+
+def _paired_lists(heads: DataFrame, second: DataFrame) -> DataFrame:
+    """(src, dst) of heads (mid, src, skip) and all ends of their middle node but those that they skip."""
     tails = second.join(heads.select("mid").distinct(), "mid", "left_semi")
     sizes = written(heads.groupBy("mid").agg(F.count("*").alias("a")).join(tails.groupBy("mid").agg(F.count("*").alias("b")), "mid"), "sizes")
     pairs = sizes.agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
@@ -141,11 +151,8 @@ def joined_pairs(first: DataFrame, second: DataFrame, without: DataFrame | None
 
     paired = lists(heads, "src", "a", F.struct("src", "skip")).join(lists(tails, "dst", "b", F.col("dst")), "mid")
     spread = paired.repartition(int(pairs // TASK_PAIRS) + 1, "mid", "a_place", "b_place")
-    single = spread.select(F.explode("a_list").alias("a"), "b_list").select("a.src", "a.skip", F.explode("b_list").alias("dst")).where(~F.array_contains("skip", F.col("dst"))).select("src", "dst")
-    met = others.join(second, "mid").select("src", "dst", F.lit(False).alias("out"))
-    if without is not None:
-        met = met.unionByName(without.join(out.where(~lone).select("src"), "src", "left_semi").select("src", "dst", F.lit(True).alias("out")))
-    return single.unionByName(met.groupBy("src", "dst").agg(F.bool_or("out").alias("out")).where("not out").select("src", "dst"))
+    unfolded = spread.select(F.explode("a_list").alias("a"), "b_list").select("a.src", "a.skip", F.explode("b_list").alias("dst"))
+    return unfolded.where(~F.array_contains("skip", F.col("dst"))).select("src", "dst")
 
 
 def within_hops(edges: DataFrame, hops: int) -> DataFrame:

@@ -14,6 +14,8 @@ from .atomize import dense_ids
 
 #: Parts of a stratum that are numbered apart.
 STRATUM_PARTS = 64
+#: Candidates of a head that are one list.
+LISTED = 4096
 
 
 def split_first_lines(lines: DataFrame, line: str = "line_no", share: int = 5) -> DataFrame:
@@ -109,21 +111,23 @@ def two_hop_candidates(links: DataFrame, positives: DataFrame, tails: tuple[int,
     ``links`` are (src, dst) over one id space; of it ``tails`` is the range (first, after
     the last) that candidates come from, if not all: other ends are never made.
     """
-    both = links.select("src", "dst").union(links.select("dst", "src")).distinct()
-    heads = positives.select("src").distinct()
-    first = both.join(heads, "src", "left_semi")
-    ends = both if tails is None else both.where((F.col("dst") >= tails[0]) & (F.col("dst") < tails[1]))
-    known = first if tails is None else ends.join(heads, "src", "left_semi")
+    both = links.select("src", "dst").union(links.select("dst", "src"))
+    heads = written(positives.select("src").distinct(), "heads")
+    low, high = heads.agg(F.min("src"), F.max("src")).first()
+    first = written(both.where(F.col("src").between(F.lit(low), F.lit(high))).join(heads, "src", "left_semi").distinct(), "first")
+    ends = written((both if tails is None else both.where((F.col("dst") >= tails[0]) & (F.col("dst") < tails[1]))).distinct(), "ends")
+    known = first if tails is None else first.where((F.col("dst") >= tails[0]) & (F.col("dst") < tails[1]))
     without = known.select("src", "dst").union(heads.select("src", F.col("src").alias("dst")))
     return linalg.joined_pairs(first.select("src", F.col("dst").alias("mid")), ends.select(F.col("src").alias("mid"), "dst"), without)
 
 
-def reached_within(graph: HinGraph, heads: DataFrame, head: str, tail: str, hops: int) -> DataFrame:
-    """(src, dst): for each head (nid) the nodes of type ``tail`` from which at most ``hops`` edges, of any types, lead to it.
+def reached_within(graph: HinGraph, heads: DataFrame, head: str, tail: str, hops: int, without: DataFrame | None = None) -> DataFrame:
+    """(src, dst): for each head (nid) the nodes of type ``tail`` from which at most ``hops`` edges, of any types, lead to it, but for pairs of ``without``.
 
     With no edge a head leads to itself, where both types are one.  Walked against the
     edges from the heads, through node types only that the tails can still lead to in
-    the hops that are left; a level has each pair once.
+    the hops that are left; a level that is gone on from has each pair once, and what was
+    found is grouped together with the pairs left out.
     """
     useful = [{tail}]
     for _ in range(hops):
@@ -139,10 +143,16 @@ def reached_within(graph: HinGraph, heads: DataFrame, head: str, tail: str, hops
             if c.dst in level and c.src in useful[left - 1]:
                 step = level[c.dst].join(e.select(F.col("dst").alias("at"), F.col("src").alias("to")), "at").select("src", F.col("to").alias("at"))
                 ahead.setdefault(c.src, []).append(step)
-        level = {n: functools.reduce(DataFrame.unionByName, parts).distinct() for n, parts in ahead.items()}
+        level = {n: functools.reduce(DataFrame.unionByName, parts) for n, parts in ahead.items()}
+        if left > 1:
+            level = {n: written(df.distinct(), "level") for n, df in level.items()}
     if not found:
         return heads.select(F.col("nid").alias("src"), F.col("nid").alias("dst")).where("false")
-    return functools.reduce(DataFrame.unionByName, found).distinct().select("src", F.col("at").alias("dst"))
+    pairs = functools.reduce(DataFrame.unionByName, found).select("src", F.col("at").alias("dst"))
+    if without is None:
+        return pairs.distinct()
+    out = without.join(heads.select(F.col("nid").alias("src")).distinct(), "src", "left_semi").select("src", "dst", F.lit(True).alias("out"))
+    return pairs.withColumn("out", F.lit(False)).unionByName(out).groupBy("src", "dst").agg(F.bool_or("out").alias("out")).where("not out").select("src", "dst")
 
 
 def n_hop_candidates(steps: list[DataFrame | list[DataFrame]], direct: DataFrame) -> DataFrame:
@@ -176,10 +186,25 @@ def _ahead(now: DataFrame | None, step: DataFrame, without: DataFrame | None = N
 def drawn(candidates: DataFrame, per_head: DataFrame, seed: int = 0) -> DataFrame:
     """(src, k, dst): for each head as many draws with replacement as ``per_head`` (src, n) says.
 
-    Candidates are numbered in the order of (head, hash) by ranges, and a draw picks a
-    number among its head's: no head's list is one task's, and draws meet candidates
-    by the number alone, however many one head has.
+    A head's candidates are numbered in the order of their hashes.  Those of a head with
+    ``LISTED`` at most are one list, hashed and sorted where they have met; those of
+    larger heads are numbered by ranges, so no long list is one task's.
     """
+    candidates = written(candidates.select("src", "dst"), "candidates")
+    sizes = written(candidates.groupBy("src").agg(F.count("*").alias("size")), "sizes")
+    few = candidates.join(sizes.where(F.col("size") <= LISTED).select("src"), "src").groupBy("src").agg(F.collect_set("dst").alias("dst"))
+    ordered = F.array_sort(F.transform("dst", lambda d: F.struct(hash_order(F.col("src"), d, seed=seed).alias("h"), d.alias("dst"))))
+    picks = few.select("src", ordered.alias("c"), F.size("dst").alias("size")).join(per_head, "src").select("src", "c", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))).alias("k"))
+    place = F.floor(hash_uniform(F.col("src"), F.col("k"), seed=seed + 1) * F.col("size"))
+    out = picks.select("src", "k", F.get("c", place.cast("int"))["dst"].alias("dst"))
+    large = sizes.where(F.col("size") > LISTED).select("src")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_drawn_by_ranges(candidates.join(large, "src", "left_semi"), per_head, seed))
+
+
+def _drawn_by_ranges(candidates: DataFrame, per_head: DataFrame, seed: int) -> DataFrame:
+    """(src, k, dst): candidates are numbered in the order of (head, hash), and a draw picks a number among its head's."""
     key = F.struct("src", hash_order(F.col("src"), F.col("dst"), seed=seed).alias("h"), "dst")
     numbered = dense_ids(candidates.select(key.alias("__key")), "__key").select("__key.src", "__key.dst", "nid")
     ranges = numbered.groupBy("src").agg(F.min("nid").alias("first"), F.count("*").alias("size"))

@@ -65,7 +65,11 @@ class LinkTask:
         low, tail = first[self.target.src], self.target.dst
         at = order.index(tail) + 1
         ends = (first[tail], first[order[at]] if at < len(order) else (1 << 63) - 1)
-        links = everything.homogeneous(order)[1].select("src", "dst")
+        one_way = {}  # links are undirected here: of two inverse edge types one will do
+        for c in everything.edges:
+            if everything.inverse.get(c) not in one_way:
+                one_way[c] = None
+        links = replace(everything, edges=everything.edges.only(one_way)).homogeneous(order)[1].select("src", "dst")
         pairs = sample.two_hop_candidates(links, positives.select((F.col("src") + low).alias("src")), ends)
         candidates = pairs.select((F.col("src") - low).alias("src"), (F.col("dst") - ends[0]).alias("dst"))
         others = sample.drawn(candidates, positives.groupBy("src").agg(F.count("*").alias("n")), seed)
@@ -89,8 +93,7 @@ class LinkTask:
             raise ValueError(f"{how} is none of uniform, hops, static")
         known = self.known(split)
         heads = positives.select(F.col("src").alias("nid")).distinct()
-        near = sample.reached_within(known, heads, self.target.src, self.target.dst, hops)
-        candidates = near.join(known.edges[self.target].select("src", "dst"), ["src", "dst"], "left_anti")
+        candidates = sample.reached_within(known, heads, self.target.src, self.target.dst, hops, known.edges[self.target])
         return sample.drawn(candidates, positives.groupBy("src").agg((F.count("*") * k).alias("n")), seed).select("src", "dst")
 
     def sampled(self, choice: Mapping[str, str], **kw) -> DataFrame:

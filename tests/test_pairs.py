@@ -75,3 +75,15 @@ def test_every_edge_has_one_draw_first(spark, monkeypatch):
     assert len(got) == len(links) and not links & {tuple(r) for r in got}
     draws = [plan for name, plan in plans if name == "draws"]
     assert len(draws) > 1 and [plan.count("Generate explode") for plan in draws[:2]] == [1, 1] and "min_by" not in draws[0]
+
+
+def test_short_lists_are_drawn_from_as_ranges_are(spark, monkeypatch):
+    """Every candidate used to be numbered over all heads, its hash shuffled twice and written."""
+    candidates = spark.range(900).selectExpr("id % 7 * (id % 3) as src", "id * 11 % 131 as dst").distinct()
+    asked, plans = spark.range(15).selectExpr("id as src", "id % 5 + 1 as n"), _plans(monkeypatch)
+    got = {}
+    for limit in (4096, 40, 0):
+        monkeypatch.setattr(sample, "LISTED", limit)
+        got[limit] = sorted(map(tuple, sample.drawn(candidates, asked, 4).collect()))
+        assert limit < 4096 or not any("md5" in plan for _, plan in plans)
+    assert got[4096] == got[40] == got[0] and got[0]
