@@ -47,6 +47,20 @@ def bag_of_words(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return normalized_bow(cells, "row", "weight"), normalized_bow(cells, "word", "weight")
 
 
+def bag_of_words_both(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(row, word, per_row, per_word): both weights of :func:`bag_of_words` beside each other.
+
+    Texts are shuffled by their rows, so that a row's words are counted and added up
+    where they are, and written; only the word's sums need another shuffle.
+    """
+    counts = words(rows.select(F.col(key).alias("row"), F.col(text).alias("text")).repartition("row"), "row", "text")
+    whole = Window.partitionBy("row")
+    n = F.col("n").cast("double")
+    cells = written(counts.select("row", "word", n.alias("n"), (n * F.count("*").over(whole) / F.greatest(F.sum(n).over(whole), F.lit(1e-6))).alias("per_row")), "cells")
+    of_word = cells.groupBy("word").agg(F.count("*").alias("__n"), F.greatest(F.sum("n"), F.lit(1e-6)).alias("__s"))
+    return cells.join(of_word, "word").select("row", "word", "per_row", (F.col("n") * F.col("__n") / F.col("__s")).alias("per_word"))
+
+
 def numeric_columns(rows: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Numeric columns as nodes: (row, col, weight) normalised per row, and per column over all rows."""
     long = rows.select(F.col(key).alias("row"), F.expr(f"stack({len(columns)}, {', '.join(f'{chr(39)}{c}{chr(39)}, cast({c} as double)' for c in columns)}) as (col, weight)"))

@@ -177,8 +177,8 @@ def atomize_onehot(spark, sf_dir):
     round(n * count(*) OVER (PARTITION BY word) / greatest(sum(n) OVER (PARTITION BY word), 1e-6) + 1e-9, 6) AS per_word FROM n"""
 )
 def atomize_bow_docs(spark, sf_dir):
-    per_row, per_word = atomize.bag_of_words(atomize.words(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    return per_row.join(per_word.withColumnRenamed("weight", "x"), ["row", "word"]).select("row", "word", rounded("weight").alias("per_row"), rounded("x").alias("per_word"))
+    both = atomize.bag_of_words_both(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return both.select("row", "word", rounded("per_row").alias("per_row"), rounded("per_word").alias("per_word"))
 
 
 @query(

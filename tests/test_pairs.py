@@ -6,7 +6,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from hinspark.operators import linalg, sample
+from hinspark import queries
+from hinspark.operators import atomize, linalg, sample
 
 
 def _pairs(df):
@@ -87,3 +88,13 @@ def test_short_lists_are_drawn_from_as_ranges_are(spark, monkeypatch):
         got[limit] = sorted(map(tuple, sample.drawn(candidates, asked, 4).collect()))
         assert limit < 4096 or not any("md5" in plan for _, plan in plans)
     assert got[4096] == got[40] == got[0] and got[0]
+
+
+def test_both_weights_of_words_need_one_shuffle_of_cells(spark, sf_dir):
+    """Cells used to be joined to the sums of their rows and words apart, and then to each other."""
+    rows = spark.createDataFrame([(1, "a b A  c"), (1, "b"), (2, "c c\tc"), (3, ""), (4, None), (5, "d a")], "doc_id long, text string")
+    per_row, per_word = atomize.bag_of_words(atomize.words(rows, "doc_id", "text"))
+    want = sorted(map(tuple, per_row.join(per_word.withColumnRenamed("weight", "x"), ["row", "word"]).collect()))
+    assert sorted(map(tuple, atomize.bag_of_words_both(rows, "doc_id", "text").collect())) == want
+    plan = queries.atomize_bow_docs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
