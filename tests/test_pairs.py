@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hinspark import queries
 from hinspark.operators import atomize, linalg, sample
+from hinspark.sources import relational
 
 
 def _pairs(df):
@@ -98,3 +99,13 @@ def test_both_weights_of_words_need_one_shuffle_of_cells(spark, sf_dir):
     assert sorted(map(tuple, atomize.bag_of_words_both(rows, "doc_id", "text").collect())) == want
     plan = queries.atomize_bow_docs(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1
+
+
+def test_lines_are_grouped_in_tasks_of_bounded_size(spark, sf_dir, monkeypatch):
+    """Tasks used to grow with the lines, as many as the session's partitions whatever the table."""
+    want = sorted(map(tuple, queries.row_normalize(spark, sf_dir).collect()))
+    monkeypatch.setattr(relational, "TASK_ROWS", 500)
+    made = queries.row_normalize(spark, sf_dir)
+    assert sorted(map(tuple, made.collect())) == want
+    lines = relational.table(spark, sf_dir, "lineitem")
+    assert relational.commerce(spark, sf_dir).edge("contains").rdd.getNumPartitions() == -(-lines.count() // 500)
