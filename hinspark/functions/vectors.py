@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
 
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once: as a lambda's argument it isn't made again wherever f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -17,8 +23,7 @@ def norm(a: Column) -> Column:
 
 def l2_normalized(a: Column, eps: float = 1e-12) -> Column:
     """a / max(|a|, eps)."""
-    size = F.greatest(norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return bound(a, lambda v: bound(F.greatest(norm(v), F.lit(eps)), lambda size: F.transform(v, lambda x: x.cast("double") / size)))
 
 
 def z_scored(a: Column) -> Column:
@@ -33,12 +38,11 @@ def z_scored(a: Column) -> Column:
 
 def bilinear(a: Column, w: list[list[float]], b: Column) -> Column:
     """aᵀ W b, W given as rows."""
-    rows = F.array(*(F.array(*map(F.lit, row)) for row in w))
-    return dot(a, F.transform(rows, lambda r: dot(r, b)))
+    return dot(a, matvec(w, b))
 
 
 def matvec(w: list[list[float]], x: Column) -> Column:
-    return F.transform(F.array(*(F.array(*map(F.lit, row)) for row in w)), lambda r: dot(r, x))
+    return bound(x, lambda v: F.transform(F.array(*(F.array(*map(F.lit, row)) for row in w)), lambda r: dot(r, v)))
 
 
 def one_hot(index: Column, width: int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import dot, elu, gelu, l2_normalized, leaky_relu, matvec, prelu
+from ..functions.vectors import bound, dot, elu, gelu, l2_normalized, leaky_relu, matvec, prelu
 from ..scratch import written
 from ..types import CEType
 from .evaluate import softmax
@@ -309,13 +309,16 @@ def han_conv(paths: dict[str, DataFrame], nodes: DataFrame, left: dict[str, list
 
 def group_norm(h: Column, groups: int, eps: float = 1e-5) -> Column:
     """Each of ``groups`` equal stretches of a vector less its mean, over its population deviation."""
-    width = (F.size(h) / groups).cast("int")
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    # bound as lambdas' arguments, mean and deviation are made once for a stretch
-    centred = lambda a: F.flatten(F.transform(F.array(total(a) / width), lambda m: F.transform(a, lambda x: x - m)))
-    scaled = lambda a: F.flatten(F.transform(F.array(F.sqrt(total(F.transform(a, lambda x: x * x)) / width + eps)), lambda d: F.transform(a, lambda x: x / d)))
-    parts = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.slice(h, i * width + 1, width))
-    return F.flatten(F.transform(F.transform(parts, centred), scaled))
+
+    def normed(v: Column) -> Column:
+        width = (F.size(v) / groups).cast("int")
+        centred = lambda a: bound(total(a) / width, lambda m: F.transform(a, lambda x: x - m))
+        scaled = lambda a: bound(F.sqrt(total(F.transform(a, lambda x: x * x)) / width + eps), lambda d: F.transform(a, lambda x: x / d))
+        parts = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: F.slice(v, i * width + 1, width))
+        return F.flatten(F.transform(F.transform(parts, centred), scaled))
+
+    return bound(h, normed)
 
 
 def _vector(v: list[float]) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.vectors import dot, leaky_relu, matvec
+from ..functions.vectors import bound, dot, leaky_relu, matvec
 from .layers import vector_sum
 
 
@@ -47,11 +47,14 @@ def gathered(sequences: DataFrame, nodes: DataFrame, relations: DataFrame) -> Da
 
 
 def _layer_norm(h: Column, gain: list[float], bias: list[float], eps: float = 1e-5) -> Column:
-    n = F.size(h)
-    mean = F.aggregate(h, F.lit(0.0), lambda s, x: s + x) / n
-    centred = F.transform(h, lambda x: x - mean)
-    deviation = F.sqrt(F.aggregate(centred, F.lit(0.0), lambda s, x: s + x * x) / n + eps)
-    return F.zip_with(F.zip_with(centred, F.array(*map(F.lit, gain)), lambda x, g: x / deviation * g), F.array(*map(F.lit, bias)), lambda x, b: x + b)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    centred = bound(h, lambda v: bound(total(v) / F.size(v), lambda m: F.transform(v, lambda x: x - m)))
+
+    def scaled(c: Column) -> Column:
+        deviation = F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x) / F.size(c) + eps)
+        return bound(deviation, lambda d: F.zip_with(F.zip_with(c, F.array(*map(F.lit, gain)), lambda x, g: x / d * g), F.array(*map(F.lit, bias)), lambda x, b: x + b))
+
+    return bound(centred, scaled)
 
 
 def sequence_attention(rows: DataFrame, left: list[list[float]], right: list[list[float]], att_left: list[list[float]], att_right: list[list[float]], source: list[list[list[float]]], target: list[list[list[float]]], out: list[list[float]], gain: list[float], bias: list[float], beta: float = 1.0, temper: float = 1.0, slope: float = 0.01) -> DataFrame:
@@ -61,37 +64,39 @@ def sequence_attention(rows: DataFrame, left: list[list[float]], right: list[lis
     leaky(right h_j) + beta · (source r_i) · (target r_j), over the temper; its softmax
     over j weighs right h_j.  Heads are put side by side, mapped by ``out``, added to h
     and normalised.  All is done inside a row; relation encodings go on unchanged.
+    A place's parts of the scores are made before places meet, and what a formula names
+    twice is bound, so that work grows with the pairs of places and nothing is made again.
     """
     heads, width = len(att_left), len(left) // len(att_left)
     part = lambda v, k: F.slice(v, k * width + 1, width)
     lit = lambda v: F.array(*map(F.lit, v))
-    sides = F.transform(
-        "items",
-        lambda x: F.struct(
+
+    def side(x: Column) -> Column:
+        leaky = lambda v: F.transform(v, lambda y: leaky_relu(y, slope))
+        mine = bound(leaky(matvec(left, x["h"])), lambda v: F.array(*(dot(part(v, k), lit(att_left[k])) for k in range(heads))))
+        theirs = bound(matvec(right, x["h"]), lambda v: F.array(*(F.struct(dot(leaky(part(v, k)), lit(att_right[k])).alias("a"), part(v, k).alias("f")) for k in range(heads))))
+        return F.struct(
             x["h"].alias("h"),
             x["r"].alias("r"),
-            F.transform(matvec(left, x["h"]), lambda y: leaky_relu(y, slope)).alias("l"),
-            matvec(right, x["h"]).alias("f"),
+            mine.alias("l"),
+            theirs.alias("k"),
             F.array(*(matvec(m, x["r"]) for m in source)).alias("s"),
             F.array(*(matvec(m, x["r"]) for m in target)).alias("t"),
-        ),
-    )
-    prepared = rows.select("nid", sides.alias("p"))
-
-    def context(x: Column, k: int) -> Column:
-        mine = dot(part(x["l"], k), lit(att_left[k]))
-        score = lambda y: (mine + dot(F.transform(part(y["f"], k), lambda v: leaky_relu(v, slope)), lit(att_right[k])) + beta * dot(F.get(x["s"], k), F.get(y["t"], k))) / temper
-        scored = F.transform("p", lambda y: F.struct(score(y).alias("x"), part(y["f"], k).alias("v")))
+        )
+
+    def context(p: Column, x: Column, k: int) -> Column:
+        score = lambda y: (F.get(x["l"], k) + F.get(y["k"], k)["a"] + beta * dot(F.get(x["s"], k), F.get(y["t"], k))) / temper
+        scored = F.transform(p, lambda y: F.struct(score(y).alias("x"), F.get(y["k"], k)["f"].alias("v")))
         zero = F.struct(F.lit(0.0).alias("m"), F.array_repeat(F.lit(0.0), width).alias("v"))
-        top = F.array_max(F.transform(scored, lambda y: y["x"]))
-        add = lambda s, y: F.struct((s["m"] + F.exp(y["x"] - top)).alias("m"), F.zip_with(s["v"], y["v"], lambda a, b: a + F.exp(y["x"] - top) * b).alias("v"))
-        return F.aggregate(scored, zero, add, lambda s: F.transform(s["v"], lambda v: v / s["m"]))
+        weighed = lambda s: bound(F.array_max(F.transform(s, lambda y: y["x"])), lambda top: F.transform(s, lambda y: F.struct(F.exp(y["x"] - top).alias("e"), y["v"].alias("v"))))
+        add = lambda s, y: F.struct((s["m"] + y["e"]).alias("m"), F.zip_with(s["v"], y["v"], lambda a, b: a + y["e"] * b).alias("v"))
+        return F.aggregate(bound(scored, weighed), zero, add, lambda s: F.transform(s["v"], lambda v: v / s["m"]))
 
-    def done(x: Column) -> Column:
-        mapped = matvec(out, F.concat(*(context(x, k) for k in range(heads))))
+    def done(p: Column, x: Column) -> Column:
+        mapped = matvec(out, F.concat(*(context(p, x, k) for k in range(heads))))
         return F.struct(_layer_norm(F.zip_with(x["h"], mapped, lambda a, b: a + b), gain, bias).alias("h"), x["r"].alias("r"))
 
-    return prepared.select("nid", F.transform("p", done).alias("items"))
+    return rows.select("nid", bound(F.transform("items", side), lambda p: F.transform(p, lambda x: done(p, x))).alias("items"))
 
 
 def first_places(rows: DataFrame) -> DataFrame:

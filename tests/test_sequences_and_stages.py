@@ -6,8 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from hinspark.functions import vectors
 from hinspark.graph import HinGraph
-from hinspark.operators import linalg, prepare, propagate, sequences
+from hinspark.operators import layers, linalg, prepare, propagate, sequences
 from hinspark.plans import stages
 from hinspark.types import CEType, coded, expansions, transposed
 
@@ -63,6 +64,20 @@ def test_sequence_attention_in_two_layers(spark):
         assert got[i] == pytest.approx(items[0][0], abs=1e-9)
 
 
+def test_values_that_a_formula_names_twice_are_made_once(spark):
+    """A score's largest, a sum or a whole context used to be made again for each element, and what is random shows it."""
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: i + F.rand(5))
+    one = spark.range(20).select(vectors.matvec([[1.0, 0, 0, 2.0]] * 3, drawn).alias("m"), vectors.l2_normalized(drawn).alias("n"), layers.group_norm(drawn, 1, 0.0).alias("g"), sequences._layer_norm(drawn, [1.0] * 4, [0.0] * 4, 0.0).alias("s"))
+    for r in one.collect():
+        assert len(set(r.m)) == 1 and sum(x * x for x in r.n) == pytest.approx(1)
+        for v in (r.g, r.s):
+            assert sum(v) == pytest.approx(0, abs=1e-9) and sum(x * x for x in v) == pytest.approx(4)
+    items = spark.createDataFrame([(1, [([1.0, 2.0], [1.0]), ([0.5, 0.0], [2.0])])], "nid long, items array<struct<h:array<double>,r:array<double>>>")
+    m = [[0.5, 0.0], [0.0, 0.25]]
+    plan = sequences.sequence_attention(items, m, m, [[0.3, -0.2]], [[0.1, 0.4]], [[[1.0]]], [[[0.2]]], m, [1.0, 2.0], [0.0, 0.1])._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("exp(") == 1
+
+
 def test_degree_conv_and_relation_encoding(spark):
     edges, h = [(0, 1), (0, 2), (1, 2), (2, 2), (0, 1)], {0: [1.0, -2.0], 1: [0.5, 3.0], 2: [-1.0, 1.0], 3: [4.0, 4.0]}
     w, b, scale = [[0.5, 1.0], [-1.0, 0.25], [2.0, 0.0]], [0.1, -0.2, 0.3], {0: 2.0, 1: -0.5}
