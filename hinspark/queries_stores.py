@@ -15,7 +15,7 @@ from .queries import _BRANDS, _CONTAINS, _CUSTOMERS, _IN_ORDER, _PLACED_BY, _RIN
 from .scratch import new_path, written
 from .sources import rowstore
 from .sources.builders import build
-from .sources.relational import commerce
+from .sources.relational import commerce, spread
 from .sources.specs import Relation, Spec
 from .types import CEType, expansions
 
@@ -309,7 +309,7 @@ def self_training_stages(spark, sf_dir):
 
 def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(nid, x, label, split): a customer's balance, nation, orders and what they cost."""
-    per = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("nid")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("price"))
+    per = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", "o_totalprice"), "o_custkey").groupBy(F.col("o_custkey").alias("nid")).agg(F.count("*").alias("n"), F.max("o_totalprice").alias("price"))
     people = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("nid"), "c_acctbal", "c_nationkey")
     x = F.array(F.col("c_acctbal"), F.col("c_nationkey").cast("double"), F.coalesce("n", F.lit(0)).cast("double"), F.coalesce("price", F.lit(0.0)))
     return people.join(per, "nid", "left").join(commerce(spark, sf_dir).nodes["customer"], "nid").select("nid", x.alias("x"), "label", "split")
@@ -318,5 +318,5 @@ def customer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def tree_leaf_ids(spark, sf_dir):
     """Customers' leaves in boosted trees of each class, numbered from 0 over all trees."""
-    rows = customer_rows(spark, sf_dir)
+    rows = written(customer_rows(spark, sf_dir), "rows")
     return runs.reindexed(trees.leaves(trees.boosted(rows, 5, 3, 3), rows)).select("nid", "tree", "leaf", "id")

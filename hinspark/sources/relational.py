@@ -23,7 +23,7 @@ SPLIT = """CASE WHEN pmod(c_custkey * 7 + 3, 10) <= 4 THEN 'train' WHEN pmod(c_c
 TASK_ROWS = 500_000
 
 
-def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows by their keys in tasks of bounded size, where the session's number of partitions would make larger ones.
 
     Groups of these keys, and sums over the same ones afterwards, are made in those tasks.
@@ -51,7 +51,7 @@ def commerce(spark: SparkSession, sf_dir: str) -> HinGraph:
         return lambda: t(name).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
 
     def per_line(a: str, weight):
-        return lambda: _spread(t("lineitem"), a, "l_partkey").groupBy(F.col(a).alias("src"), F.col("l_partkey").alias("dst")).agg(weight().alias("weight"))
+        return lambda: spread(t("lineitem"), a, "l_partkey").groupBy(F.col(a).alias("src"), F.col("l_partkey").alias("dst")).agg(weight().alias("weight"))
 
     nodes = {
         "customer": customers,

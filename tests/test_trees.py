@@ -39,6 +39,17 @@ def test_leaf_ids_are_equal_on_reruns(spark, sf_dir):
     assert {(t, leaf): i for _, t, leaf, i in a} == {p: i for i, p in enumerate(pairs)}
 
 
+def test_rows_are_scored_in_one_pass(spark, rows):
+    """A pass for each class used to be united, and Spark put all of them into one task."""
+    models = trees.boosted(rows, 3, 2, 2)
+    for made in (trees.leaves(models, rows), trees.margins(models, rows)):
+        assert "Union" not in made._jdf.queryExecution().optimizedPlan().toString()
+    for c, m in enumerate(models):
+        alone = {(r.nid, r.tree + 2 * c, r.leaf) for r in trees.leaves([m], rows).collect()}
+        assert alone == {tuple(r) for r in trees.leaves(models, rows).collect() if r.tree // 2 == c}
+        assert {(r.nid, c, r.logit) for r in trees.margins([m], rows).collect()} == {tuple(r) for r in trees.margins(models, rows).collect() if r.cls == c}
+
+
 def test_only_training_rows_teach(spark, rows):
     from pyspark.sql import functions as F
 
