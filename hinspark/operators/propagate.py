@@ -149,15 +149,19 @@ def label_features(adjs: dict[CEType, DataFrame], path: Metapath, labels: DataFr
     The product A is never made: labels go along the metapath edge by edge, and what
     comes back to its own node is taken off by the diagonal.  Paths are counted
     beside the weights, so a cell that only its own node's paths reach is left out.
+    What has come to a node between is written: its size is then known, and where few
+    nodes gather many labels they go to the edges, not all edges to their tasks.
     """
     steps = [c for c in path if not c.is_self_loop]
     if len(steps) < 2 or steps[0].src != steps[-1].dst:
         raise ValueError("labels go along closed metapaths of two edges at least")
     one = F.lit(1).cast("long").alias("n")
     reached = labels.select("nid", "slot", "col", "val", one)
-    for c in steps:
+    for i, c in enumerate(steps):
         joined = adjs[c].join(reached, F.col("src") == F.col("nid"))
         reached = joined.groupBy(F.col("dst").alias("nid"), "slot", "col").agg(F.sum(F.col("w") * F.col("val")).alias("val"), F.sum("n").alias("n"))
+        if i < len(steps) - 1:
+            reached = written(reached, "reached")
     # paths from labelled nodes up to the last edge, which must lead back
     ahead = adjs[steps[0]].join(labels.select(F.col("nid").alias("src")).distinct(), "src", "left_semi").select("dst", "src", "w", one)
     for c in steps[1:-1]:

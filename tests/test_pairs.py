@@ -6,8 +6,8 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from hinspark import queries
-from hinspark.operators import atomize, linalg, sample
+from hinspark import queries, scratch
+from hinspark.operators import atomize, linalg, propagate, sample
 from hinspark.sources import relational
 
 
@@ -109,3 +109,14 @@ def test_lines_are_grouped_in_tasks_of_bounded_size(spark, sf_dir, monkeypatch):
     assert sorted(map(tuple, made.collect())) == want
     lines = relational.table(spark, sf_dir, "lineitem")
     assert relational.commerce(spark, sf_dir).edge("contains").rdd.getNumPartitions() == -(-lines.count() // 500)
+
+
+def test_labels_that_few_nodes_gathered_are_sent_to_the_edges(spark, sf_dir, monkeypatch):
+    """One task used to hold all cells of the last edge, as it was the gathered labels' one partition that edges were sent to."""
+    made = []
+    monkeypatch.setattr(propagate, "written", lambda df, name: made.append(scratch.written(df, name)) or made[-1])
+    out = queries.label_propagate_no_leak(spark, sf_dir)
+    assert [set(df.columns) for df in made] == [{"nid", "slot", "col", "val", "n"}]
+    assert made[0].count() <= 25 * 5
+    build = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin [src" in line and "[nid" in line]
+    assert build and all("BuildRight" in line for line in build)
