@@ -13,6 +13,22 @@ from ..scratch import dropped, written
 from ..types import CEType
 
 
+#: Rows that a task groups.
+TASK_ROWS = 500_000
+
+
+def in_tasks(rows: DataFrame, n: int, *keys: str, limit: int | None = None) -> DataFrame:
+    """The n rows by their keys in tasks of bounded size, where the session's number of partitions would make larger ones."""
+    tasks = -(-n // (limit or TASK_ROWS))
+    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
+def source_rows(df: DataFrame) -> int:
+    """Rows of the Parquet files that a table is made of, by their footers: at least as many as its own, where it filters, groups or adds columns."""
+    files = [f for f in df.inputFiles() if f.endswith(".parquet")]
+    return df.sparkSession.read.parquet(*files).count() if files else 0
+
+
 def weight_of(edges: DataFrame) -> Column:
     return F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in edges.columns else F.lit(1.0)
 
@@ -56,6 +72,18 @@ def apply(adj: DataFrame, feats: DataFrame) -> DataFrame:
     return joined.groupBy(F.col("dst").alias("nid"), "slot", "col").agg(F.sum(F.col("w") * F.col("val")).alias("val"))
 
 
+def by_source(adj: DataFrame, feats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of :func:`apply` by the sources in tasks of bounded size: until its sums are shuffled, a task holds those of its own edges.
+
+    Not for features of few rows, which a broadcast brings to the edges where they are:
+    few sources may have all edges.
+    """
+    edges, cells = source_rows(adj), source_rows(feats)
+    if min(edges, cells) <= TASK_ROWS:
+        return adj, feats
+    return in_tasks(adj, max(edges, cells), "src"), in_tasks(feats, max(edges, cells), "nid")
+
+
 def messages(edges: DataFrame, feats: DataFrame, message=None) -> DataFrame:
     """(dst, slot, col, val, eid) along each edge: the source's value times the weight, or what ``message(val, weight)`` makes of them."""
     make = message or (lambda val, weight: val * weight)

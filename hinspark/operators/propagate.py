@@ -84,7 +84,7 @@ class MetapathFeatures:
             if x is None:  # no features: the product of adjacencies itself
                 made = adj
             elif "slot" in x.columns:
-                made = linalg.apply(adj, x)
+                made = linalg.apply(*linalg.by_source(adj, x))
             else:
                 made = linalg.compose(adj, x)
             if self.persist and path in self.shared:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..graph import HinGraph, Tables, reversed_edges
-from ..operators import atomize
+from ..operators import atomize, linalg
 from ..types import CEType
 
 
@@ -20,16 +20,15 @@ SPLIT = """CASE WHEN pmod(c_custkey * 7 + 3, 10) <= 4 THEN 'train' WHEN pmod(c_c
 
 
 #: Rows that a task groups.
-TASK_ROWS = 500_000
+TASK_ROWS = linalg.TASK_ROWS
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """The rows by their keys in tasks of bounded size, where the session's number of partitions would make larger ones.
 
-    Groups of these keys, and sums over the same ones afterwards, are made in those tasks.
+    Groups of these keys, and sums over the same ones or more afterwards, are made in those tasks.
     """
-    tasks = -(-rows.count() // TASK_ROWS)
-    return rows.repartition(tasks, *keys) if tasks > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    return linalg.in_tasks(rows, rows.count(), *keys, limit=TASK_ROWS)
 
 
 def commerce(spark: SparkSession, sf_dir: str) -> HinGraph:
@@ -48,10 +47,10 @@ def commerce(spark: SparkSession, sf_dir: str) -> HinGraph:
         return lambda: t(name).select(F.col(key).cast("long").alias("nid"))
 
     def pair(name: str, a: str, b: str):
-        return lambda: t(name).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
+        return lambda: spread(t(name).select(F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst")), "src")
 
     def per_line(a: str, weight):
-        return lambda: spread(t("lineitem"), a, "l_partkey").groupBy(F.col(a).alias("src"), F.col("l_partkey").alias("dst")).agg(weight().alias("weight"))
+        return lambda: spread(t("lineitem"), a).groupBy(F.col(a).alias("src"), F.col("l_partkey").alias("dst")).agg(weight().alias("weight"))
 
     nodes = {
         "customer": customers,

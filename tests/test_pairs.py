@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hinspark import queries, scratch
-from hinspark.operators import atomize, linalg, propagate, sample
+from hinspark.operators import atomize, features, linalg, propagate, sample
 from hinspark.sources import relational
 
 
@@ -120,3 +120,19 @@ def test_labels_that_few_nodes_gathered_are_sent_to_the_edges(spark, sf_dir, mon
     assert made[0].count() <= 25 * 5
     build = [line for line in out._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin [src" in line and "[nid" in line]
     assert build and all("BuildRight" in line for line in build)
+
+
+def test_products_are_made_in_tasks_of_bounded_size(spark, sf_dir, monkeypatch):
+    """Only the lines were spread: orders, and what comes along them, stayed in as many tasks as the session has partitions."""
+    want = sorted(map(tuple, queries.metapath_features(spark, sf_dir).collect()))
+    for module in (relational, linalg):
+        monkeypatch.setattr(module, "TASK_ROWS", 40)
+    assert sorted(map(tuple, queries.metapath_features(spark, sf_dir).collect())) == want
+    g = relational.commerce(spark, sf_dir)
+    orders = g.nodes["order"].count()
+    assert g.edge("places").rdd.getNumPartitions() == -(-orders // 40)
+    cells = features.identity(g.nodes["order"], "order")
+    adj, feats = linalg.by_source(linalg.row_normalized(linalg.adjacency(g.edge("placed-by"))), cells)
+    assert adj.rdd.getNumPartitions() == feats.rdd.getNumPartitions() == -(-orders // 40)
+    few = features.identity(g.nodes["nation"], "nation")
+    assert linalg.by_source(adj, few) == (adj, few)
